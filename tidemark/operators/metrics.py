@@ -62,21 +62,19 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
     )
 
 
-def roc_points(
-    df: DataFrame,
-    score: str = "score",
-    label: str = "label",
-    by: Sequence[str] = (),
-    drop_intermediate: bool = True,
-) -> DataFrame:
-    """ROC curve points ``(by…, threshold, fps, tps, fpr, tpr)``."""
-    by = list(by)
+def _desc_run(df: DataFrame, score: str, label: str, by: Sequence[str]):
+    """Per-score counts with running totals in descending score order, plus group totals."""
     counts = score_counts(df, score, label, by).withColumn("one", F.lit(1).cast("long"))
     run = running_totals(counts, by, [F.col("score").desc()], ["pos", "neg", "one"])
     totals = counts.groupBy(*by).agg(
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.count(F.lit(1)).alias("_n_pts")
     )
-    pts = _join_totals(run, totals, by)
+    return _join_totals(run, totals, by), totals
+
+
+def _curve(run: DataFrame, totals: DataFrame, by: Sequence[str], drop_intermediate: bool) -> DataFrame:
+    by = list(by)
+    pts = run
     if drop_intermediate:
         nxt = run.select(
             *by,
@@ -112,17 +110,23 @@ def roc_points(
     return curve.unionByName(origin)
 
 
-def auroc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Exact area under the ROC curve per group, ties counted one half."""
-    by = list(by)
-    counts = score_counts(df, score, label, by)
-    run = running_totals(counts, by, [F.col("score").asc()], ["neg"])
-    num = F.col("pos").cast("double") * (F.col("cum_neg").cast("double") - 0.5 * F.col("neg").cast("double"))
-    agg = run.groupBy(*by).agg(
-        F.sum(num).alias("_num"),
-        F.sum("pos").alias("n_pos"),
-        F.sum("neg").alias("n_neg"),
-    )
+def roc_points(
+    df: DataFrame,
+    score: str = "score",
+    label: str = "label",
+    by: Sequence[str] = (),
+    drop_intermediate: bool = True,
+) -> DataFrame:
+    """ROC curve points ``(by…, threshold, fps, tps, fpr, tpr)``."""
+    run, totals = _desc_run(df, score, label, by)
+    return _curve(run, totals, by, drop_intermediate)
+
+
+def _auc_from_run(run: DataFrame, by: Sequence[str]) -> DataFrame:
+    # negatives strictly below score_i = N - cum_neg_i (descending order); ties count one half
+    below = F.col("_N").cast("double") - F.col("cum_neg").cast("double")
+    num = F.col("pos").cast("double") * (below + 0.5 * F.col("neg").cast("double"))
+    agg = run.groupBy(*by).agg(F.sum(num).alias("_num"), F.first("_P").alias("n_pos"), F.first("_N").alias("n_neg"))
     return agg.select(
         *by,
         (F.col("_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("auroc"),
@@ -131,6 +135,12 @@ def auroc(df: DataFrame, score: str = "score", label: str = "label", by: Sequenc
     )
 
 
+def auroc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve per group, ties counted one half."""
+    run, _ = _desc_run(df, score, label, by)
+    return _auc_from_run(run, by)
+
+
 def tpr_at_fpr(points: DataFrame, fpr_budget_pct: float, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """TPR linearly interpolated at FPR = budget/100 (last point at a repeated FPR)."""
     x = float(fpr_budget_pct) / 100.0
@@ -227,16 +237,36 @@ def roc_report(
     by: Sequence[str] = (),
     fpr_budgets_pct: Sequence[float] = (),
 ) -> DataFrame:
-    """AUROC, FPR@95%TPR, TPR@5%FPR and interpolated TPR at each budget, one row per group."""
+    """AUROC, FPR@95%TPR, TPR@5%FPR and interpolated TPR at each budget, one row per group.
+
+    One running-totals pass feeds both the area and the curve; all curve
+    summaries are a single aggregate.
+    """
     by = list(by)
-    pts = roc_points(df, score, label, by)
-    out = auroc(df, score, label, by).join(fpr95_tpr05(pts, by), by) if by else auroc(df, score, label).crossJoin(
-        fpr95_tpr05(pts)
-    )
+    run, totals = _desc_run(df, score, label, by)
+    curve = _curve(run, totals, by, True)
+    aggs = [
+        F.min(F.when(F.col("tpr") >= 0.95, F.col("fpr"))).alias("fpr95"),
+        F.max(F.when(F.col("fpr") <= 0.05, F.col("tpr"))).alias("tpr05"),
+    ]
+    finals = []
     for b in fpr_budgets_pct:
-        t = tpr_at_fpr(pts, b, by)
-        out = out.join(t, by) if by else out.crossJoin(t)
-    return out
+        x = float(b) / 100.0
+        n = _pct_name(b)
+        le = F.col("fpr") <= F.lit(x)
+        aggs += [
+            F.max(F.when(le, F.col("fpr"))).alias(f"_fl{n}"),
+            F.max(F.when(le, F.col("tpr"))).alias(f"_tl{n}"),
+            F.min(F.when(~le, F.col("fpr"))).alias(f"_fr{n}"),
+            F.min(F.when(~le, F.col("tpr"))).alias(f"_tr{n}"),
+        ]
+        fl, tl, fr, tr = (F.col(f"_{p}{n}") for p in ("fl", "tl", "fr", "tr"))
+        finals.append(
+            F.when(fr.isNull(), tl).otherwise(tl + (tr - tl) * (F.lit(x) - fl) / (fr - fl)).alias(f"tpr_at_{n}fpr")
+        )
+    summary = curve.groupBy(*by).agg(*aggs).select(*by, "fpr95", "tpr05", *finals)
+    auc = _auc_from_run(run, by)
+    return auc.join(summary, by) if by else auc.crossJoin(summary)
 
 
 def metrics_table(

@@ -4,9 +4,11 @@
 Here the ordered rows are range-partitioned into slices, each slice computes
 its local running sums with a window partitioned by ``(slice, group)``, and a
 per-slice totals table (at most ``slices + groups`` rows) supplies the offset
-of every earlier slice. The input is materialised first in the reliable
-checkpoint folder, so the range bounds that Spark samples are the same for
-every consumer and for every retried task.
+of every earlier slice. Both branches read one range exchange, which Spark
+reuses within a query (``ReusedExchange`` in the plan), so the sampled
+bounds are shared and retried map tasks use the same partitioner. When
+exchange reuse is switched off, or ``stable=True`` is asked for, the input is
+first materialised in the reliable checkpoint folder instead.
 """
 
 from __future__ import annotations
@@ -32,14 +34,15 @@ def running_totals(
     sum_cols: Sequence[str],
     prefix: str = "cum_",
     n_slices: int | None = None,
-    stable: bool = True,
+    stable: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` per group along ``order_cols``.
 
     ``(group_cols, order_cols)`` must identify rows uniquely (aggregate first).
     """
     group_cols = list(group_cols)
-    base = cut_lineage(df) if stable else df
+    reuse = df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "true"
+    base = cut_lineage(df) if (stable or not reuse) else df
     n = _slices(df, n_slices)
     ranged = base.repartitionByRange(n, *[F.col(g) for g in group_cols], *order_cols).withColumn(
         "_slice", F.spark_partition_id()

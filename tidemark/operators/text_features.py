@@ -85,12 +85,14 @@ def fit_transform(
     vectorizer: str = "tf",
     id_col: str = "doc_id",
     text: str = "text",
+    tf: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Vectorise all rows with a vocabulary (and idf) fitted on the training rows only.
 
+    ``tf`` may carry precomputed term counts of ``docs`` (reused across folds).
     Returns ``(long_entries, vocab)``.
     """
-    tf = term_counts(docs, id_col, text)
+    tf = tf if tf is not None else term_counts(docs, id_col, text)
     train_ids = docs.filter(train_filter).select(id_col)
     train_tf = tf.join(train_ids, id_col, "left_semi")
     voc = vocab(train_tf, max_features)
