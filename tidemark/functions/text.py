@@ -14,7 +14,7 @@ FOUR_DIGITS = "[0-9]{4}"  # any four ASCII digits, non-overlapping, left to righ
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"  # default bag-of-words token: 2+ word characters
 UNICODE_SPACE = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+"  # what Python's str.split() splits on
 ASCII_PUNCT_CLASS = r"[!-/:-@\[-`{-~]"  # string.punctuation
-NOT_ALNUM_SPACE = r"[^\p{L}\p{N}\s\p{Z}]"  # characters removed by the alnum-only cleaner
+NOT_ALNUM_SPACE = r"[^\p{L}\p{N}\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}]"  # characters removed by the alnum-only cleaner
 
 
 def _c(c: Column | str) -> Column:
