@@ -9,6 +9,11 @@ reuses within a query (``ReusedExchange`` in the plan), so the sampled
 bounds are shared and retried map tasks use the same partitioner. When
 exchange reuse is switched off, or ``stable=True`` is asked for, the input is
 first materialised in the reliable checkpoint folder instead.
+
+Small inputs take a checked fast path: when a bounded count proves at most
+``max_local_rows`` rows (the input is normally an aggregate, such as one row
+per distinct score), the running sums are one window partitioned by the
+groups, which saves the slice bookkeeping stages.
 """
 
 from __future__ import annotations
@@ -35,12 +40,17 @@ def running_totals(
     prefix: str = "cum_",
     n_slices: int | None = None,
     stable: bool = False,
+    max_local_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` per group along ``order_cols``.
 
     ``(group_cols, order_cols)`` must identify rows uniquely (aggregate first).
+    ``max_local_rows=0`` skips the size check and always uses the sliced plan.
     """
     group_cols = list(group_cols)
+    if max_local_rows > 0 and df.limit(max_local_rows + 1).count() <= max_local_rows:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     reuse = df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "true"
     base = cut_lineage(df) if (stable or not reuse) else df
     n = _slices(df, n_slices)

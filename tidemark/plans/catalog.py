@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
     from tidemark.plans import q_dates, q_metrics, q_sources  # noqa: F401
-    from tidemark.plans import q_greedy, q_text  # noqa: F401
+    from tidemark.plans import q_attack, q_greedy, q_text  # noqa: F401
     from tidemark.plans import q_pipeline  # noqa: F401
     from tidemark.plans import q_media  # noqa: F401
 

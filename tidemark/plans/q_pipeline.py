@@ -1 +1,157 @@
-"""Registered queries."""
+"""Queries for the neighbour, embedding, loss, delta and normalisation stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import neighbors as N
+from tidemark.plans import views as V
+from tidemark.plans.catalog import query
+
+PUNCT_SQL = r"'[!-/:-@\[-`{-~]'"
+SPACE_SPLIT_SQL = r"'[\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}]+'"
+SAMPLES_SQL = (
+    "samples AS (SELECT u.conv_id * 1000 + u.turn AS sample_id, u.conv_id, u.text AS input, a.text AS answer, "
+    "'ds' || CAST(u.conv_id % 3 AS VARCHAR) AS ds_name FROM conversations u JOIN conversations a "
+    "ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"
+)
+PREP_SQL = (
+    f"prep0 AS (SELECT sample_id, text, list_filter(string_split_regex(text, {SPACE_SPLIT_SQL}), lambda t: t <> '') "
+    "AS tokens FROM (SELECT sample_id, right(input, 3000) AS text FROM samples)), "
+    f"prep1 AS (SELECT *, len(tokens) AS n_tok, len(list_filter(tokens, lambda t: NOT regexp_matches(t, {PUNCT_SQL}))) "
+    "AS n_content FROM prep0), "
+    "prep AS (SELECT *, least(greatest(CAST(floor(CAST(n_tok AS DOUBLE) * 0.1) AS INTEGER), "
+    "greatest(0, least(5, n_content - 1))), 40) AS m FROM prep1), "
+    "tok AS (SELECT sample_id, m, n_content, unnest(tokens) AS tok, unnest(range(0, len(tokens))) AS pos FROM prep), "
+    f"tokc AS (SELECT *, NOT regexp_matches(tok, {PUNCT_SQL}) AS is_content FROM tok), "
+    "base AS (SELECT sample_id, m, n_content, j FROM prep, range(0, 6) r(j))"
+)
+
+
+def _rank_sql(kind: str, src: str = "tokc") -> str:
+    h = f"md5('42|' || CAST(sample_id AS VARCHAR) || '|{kind}|' || CAST(j AS VARCHAR) || '|' || CAST(pos AS VARCHAR))"
+    return (
+        f"(SELECT *, CASE WHEN is_content THEN row_number() OVER (PARTITION BY sample_id, j, is_content ORDER BY {h}) "
+        f"END AS rank FROM {src}, range(0, 6) r(j))"
+    )
+
+
+def _kind_sql(kind: str) -> str:
+    """CTE ``{kind}_n(sample_id, kind, j, neighbor)`` for deletion / duplication / substitution."""
+    if kind == "deletion":
+        agg = (f"SELECT sample_id, j, string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE NOT coalesce(rank <= m, false)) "
+               f"AS neighbor FROM {_rank_sql(kind)} GROUP BY sample_id, j")
+        filt = ""
+    elif kind == "duplication":
+        agg = (f"SELECT sample_id, j, string_agg(t2, ' ' ORDER BY pos) AS neighbor FROM (SELECT sample_id, j, pos, "
+               f"unnest(CASE WHEN coalesce(rank <= m, false) THEN [tok, tok] ELSE [tok] END) AS t2 "
+               f"FROM {_rank_sql(kind)}) GROUP BY sample_id, j")
+        filt = " WHERE b.m <= b.n_content"
+    else:
+        agg = (f"SELECT r.sample_id, r.j, string_agg(CASE WHEN coalesce(r.rank <= r.m, false) THEN "
+               f"coalesce(tri.fill, bi.fill, (SELECT fill FROM uni)) ELSE r.tok END, ' ' ORDER BY r.pos) AS neighbor "
+               f"FROM {_rank_sql(kind, 'ctx')} r LEFT JOIN tri ON tri.lft = r.lft AND tri.rgt = r.rgt "
+               f"LEFT JOIN bi ON bi.lft = r.lft GROUP BY r.sample_id, r.j")
+        filt = " WHERE b.n_content > 0 OR b.m = 0"
+    return (
+        f"{kind}_a AS ({agg}), {kind}_n AS (SELECT b.sample_id, '{kind}' AS kind, b.j, coalesce(a.neighbor, '') "
+        f"AS neighbor FROM base b LEFT JOIN {kind}_a a ON a.sample_id = b.sample_id AND a.j = b.j{filt})"
+    )
+
+
+CTX_SQL = (
+    "ctx AS (SELECT *, lag(tok) OVER (PARTITION BY sample_id ORDER BY pos) AS lft, "
+    "lead(tok) OVER (PARTITION BY sample_id ORDER BY pos) AS rgt FROM tokc), "
+    "tri AS (SELECT lft, rgt, min(tok) AS fill FROM (SELECT lft, rgt, tok, count(*) AS n, max(count(*)) OVER "
+    "(PARTITION BY lft, rgt) AS mx FROM ctx WHERE lft IS NOT NULL AND rgt IS NOT NULL GROUP BY lft, rgt, tok) "
+    "WHERE n = mx GROUP BY lft, rgt), "
+    "bi AS (SELECT lft, min(tok) AS fill FROM (SELECT lft, tok, count(*) AS n, max(count(*)) OVER (PARTITION BY lft) "
+    "AS mx FROM ctx WHERE lft IS NOT NULL GROUP BY lft, tok) WHERE n = mx GROUP BY lft), "
+    "uni AS (SELECT min(tok) AS fill FROM (SELECT tok, count(*) AS n, max(count(*)) OVER () AS mx FROM ctx "
+    "GROUP BY tok) WHERE n = mx)"
+)
+
+
+def _swap_pos_sql(side: str) -> str:
+    return (
+        f"(CAST(('0x' || substr(md5('42|' || CAST(sample_id AS VARCHAR) || '|swap|' || CAST(j AS VARCHAR) || '|' || "
+        f"CAST(s AS VARCHAR) || '|{side}'), 1, 8)) AS BIGINT) % n_tok)"
+    )
+
+
+SWAP_SQL = (
+    "swap_n AS (SELECT sample_id, 'swap' AS kind, j, array_to_string(CASE WHEN m > 0 THEN list_reduce(range(1, m + 1), "
+    f"lambda acc, s: list_transform(acc, lambda x, i: CASE WHEN i - 1 = {_swap_pos_sql('a')} THEN acc[{_swap_pos_sql('b')} + 1] "
+    f"WHEN i - 1 = {_swap_pos_sql('b')} THEN acc[{_swap_pos_sql('a')} + 1] ELSE x END), tokens) ELSE tokens END, ' ') "
+    "AS neighbor FROM prep, range(0, 6) r(j))"
+)
+
+
+def _prep(spark, sf_dir):
+    return N.prepare(V.samples(spark, sf_dir))
+
+
+@query("n01_tail_text", f"WITH {SAMPLES_SQL} SELECT sample_id, right(input, 3000) AS text FROM samples")
+def n01(spark, sf_dir):
+    return V.samples(spark, sf_dir).select("sample_id", N.tail_text("input").alias("text"))
+
+
+@query(
+    "n04_mask_count",
+    f"WITH {SAMPLES_SQL}, {PREP_SQL} SELECT sample_id, CAST(n_tok AS BIGINT) AS n_tok, "
+    "CAST(n_content AS BIGINT) AS n_content, CAST(m AS BIGINT) AS m FROM prep",
+)
+def n04(spark, sf_dir):
+    """Token count, content-token count and mask count per sample."""
+    return _prep(spark, sf_dir).select("sample_id", "n_tok", "n_content", "m")
+
+
+@query(
+    "n03_content_positions",
+    f"WITH {SAMPLES_SQL}, {PREP_SQL} SELECT sample_id, CAST(pos AS BIGINT) AS pos, tok FROM tokc WHERE is_content",
+)
+def n03(spark, sf_dir):
+    rows = N.token_rows(_prep(spark, sf_dir))
+    return rows.filter("is_content").select("sample_id", "pos", "tok")
+
+
+def _kind_query(kind: str) -> str:
+    pre = f"{CTX_SQL}, " if kind == "substitution" else ""
+    return (f"WITH {SAMPLES_SQL}, {PREP_SQL}, {pre}{_kind_sql(kind)} SELECT sample_id, CAST(j AS BIGINT) AS j, neighbor "
+            f"FROM {kind}_n")
+
+
+@query("n05_deletion_neighbors", _kind_query("deletion"))
+def n05(spark, sf_dir):
+    return N.deletion_neighbors(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
+
+
+@query("n06_duplication_neighbors", _kind_query("duplication"))
+def n06(spark, sf_dir):
+    return N.duplication_neighbors(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
+
+
+@query("n07_swap_neighbors", f"WITH {SAMPLES_SQL}, {PREP_SQL}, {SWAP_SQL} SELECT sample_id, CAST(j AS BIGINT) AS j, "
+       "neighbor FROM swap_n")
+def n07(spark, sf_dir):
+    return N.swap_neighbors(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
+
+
+@query("n08_substitution_neighbors", _kind_query("substitution"))
+def n08(spark, sf_dir):
+    return N.substitution_neighbors(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
+
+
+NEIGHBORS_SQL = (
+    f"{SAMPLES_SQL}, {PREP_SQL}, {CTX_SQL}, {_kind_sql('substitution')}, {_kind_sql('deletion')}, "
+    f"{_kind_sql('duplication')}, {SWAP_SQL}, "
+    "alln AS (SELECT * FROM substitution_n UNION ALL SELECT * FROM deletion_n UNION ALL SELECT * FROM duplication_n "
+    "UNION ALL SELECT * FROM swap_n), "
+    "nbrs AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY CASE kind WHEN 'substitution' "
+    "THEN 0 WHEN 'deletion' THEN 1 WHEN 'duplication' THEN 2 ELSE 3 END, j) - 1 AS k, kind, neighbor FROM alln)"
+)
+
+
+@query("n09_neighbors", f"WITH {NEIGHBORS_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, kind, neighbor FROM nbrs")
+def n09(spark, sf_dir):
+    return N.neighbors(V.samples(spark, sf_dir))

@@ -47,3 +47,20 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("features"),
         (F.col("label") >= 5).cast("int").alias("label"),
     )
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample table ``(sample_id, conv_id, input, answer, ds_name)``: a user turn and the assistant reply after it."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    j = u.join(a, ["conv_id", "turn"])
+    return j.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"),
+        "conv_id",
+        "input",
+        "answer",
+        F.concat(F.lit("ds"), F.pmod(F.col("conv_id"), F.lit(3)).cast("string")).alias("ds_name"),
+    )
