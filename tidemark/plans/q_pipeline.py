@@ -155,3 +155,190 @@ NEIGHBORS_SQL = (
 @query("n09_neighbors", f"WITH {NEIGHBORS_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, kind, neighbor FROM nbrs")
 def n09(spark, sf_dir):
     return N.neighbors(V.samples(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- embeddings
+from tidemark.functions.arrays import l2_norm  # noqa: E402
+from tidemark.operators import deltas as DL  # noqa: E402
+from tidemark.operators import embed as EM  # noqa: E402
+from tidemark.operators import loss as LO  # noqa: E402
+from tidemark.operators import normalize as NZ  # noqa: E402
+from tidemark.sources.tables import table  # noqa: E402
+
+class _Toks:
+    """``format(t=…)`` builder for the whitespace tokeniser (the regex holds braces)."""
+
+    def __init__(self, lower: bool = True):
+        self.lower = lower
+
+    def format(self, t: str) -> str:
+        arg = f"lower({t})" if self.lower else t
+        return f"list_filter(string_split_regex({arg}, {SPACE_SPLIT_SQL}), lambda x: x <> '')"
+
+    def replace(self, *_a):
+        return _Toks(lower=False)
+
+
+TOKS_SQL = _Toks()
+
+
+def _embed_sql(src: str, ids: str, name: str = "emb") -> str:
+    """``{name}(ids…, dim, value)`` from ``src(ids…, text)``."""
+    return (
+        f"{name}_t AS (SELECT {ids}, unnest({TOKS_SQL.format(t='text')}) AS tok FROM {src}), "
+        f"{name}_s AS (SELECT {ids}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS dim, "
+        f"sum(CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS raw "
+        f"FROM {name}_t GROUP BY ALL), "
+        f"{name} AS (SELECT {ids}, dim, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {ids})) AS value FROM {name}_s)"
+    )
+
+
+@query(
+    "e03_embed_text",
+    f"WITH {SAMPLES_SQL}, tx AS (SELECT sample_id, input || ' ' || answer AS text FROM samples), "
+    f"{_embed_sql('tx', 'sample_id')} SELECT sample_id, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM emb",
+)
+def e03(spark, sf_dir):
+    s = V.samples(spark, sf_dir).select("sample_id", EM.compose_text(F.col("input"), F.col("answer"), None, False)
+                                        .alias("text"))
+    return EM.hashed_embedding(s, ["sample_id"], "text")
+
+
+_E05_SQL = (
+    f"{NEIGHBORS_SQL}, dn AS (SELECT sample_id, neighbor, min(k) AS k FROM nbrs GROUP BY sample_id, neighbor), "
+    "etx AS (SELECT d.sample_id, d.k, d.neighbor || ' ' || s.answer AS text FROM dn d JOIN samples s USING (sample_id) "
+    "UNION ALL SELECT sample_id, -1 AS k, input || ' ' || answer AS text FROM samples), "
+    f"{_embed_sql('etx', 'sample_id, k')}"
+)
+
+
+@query("e01_explode_neighbors", f"WITH {NEIGHBORS_SQL}, dn AS (SELECT sample_id, neighbor, min(k) AS k FROM nbrs "
+       "GROUP BY sample_id, neighbor) SELECT sample_id, CAST(k AS BIGINT) AS k, neighbor FROM dn")
+def e01(spark, sf_dir):
+    return EM.explode_neighbors(N.neighbors(V.samples(spark, sf_dir)))
+
+
+@query("e05_embed_stage", f"WITH {_E05_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, CAST(dim AS BIGINT) AS dim, "
+       "round(value, 6) AS value FROM emb")
+def e05(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    return EM.embed_stage(s, N.neighbors(s))
+
+
+# --------------------------------------------------------------------------- loss
+def _lm_sql(name: str, where: str) -> str:
+    return (
+        f"{name}_c AS (SELECT {TOKS_SQL.format(t='text')} AS t FROM documents WHERE {where}), "
+        f"{name}_uni AS (SELECT tok, count(*) AS c FROM (SELECT unnest(t) AS tok FROM {name}_c) GROUP BY tok), "
+        f"{name}_bi AS (SELECT prev, tok, count(*) AS c FROM (SELECT unnest(list_slice(t, 1, len(t) - 1)) AS prev, "
+        f"unnest(list_slice(t, 2, len(t))) AS tok FROM {name}_c) GROUP BY ALL), "
+        f"{name}_tot AS (SELECT sum(c) AS n_tokens, count(*) AS vocab FROM {name}_uni)"
+    )
+
+
+def _score_sql(name: str, lm: str, src: str, ids: str) -> str:
+    """``{name}(ids…, loss)`` for ``src(ids…, text)`` under bigram model ``lm``."""
+    return (
+        f"{name}_r AS (SELECT {ids}, unnest(t) AS tok, unnest(list_prepend(NULL, list_slice(t, 1, len(t) - 1))) AS prev "
+        f"FROM (SELECT {ids}, {TOKS_SQL.format(t='text')} AS t FROM {src})), "
+        f"{name} AS (SELECT {', '.join('r.' + i.strip() for i in ids.split(','))}, avg(-ln(CASE WHEN r.prev IS NULL THEN "
+        f"(coalesce(u2.c, 0) + 1.0) / (tot.n_tokens + 1.0 * tot.vocab) ELSE (coalesce(b.c, 0) + 1.0) / "
+        f"(coalesce(u1.c, 0) + 1.0 * tot.vocab) END)) AS loss FROM {name}_r r LEFT JOIN {lm}_bi b ON b.prev = r.prev "
+        f"AND b.tok = r.tok LEFT JOIN {lm}_uni u1 ON u1.tok = r.prev LEFT JOIN {lm}_uni u2 ON u2.tok = r.tok, "
+        f"{lm}_tot tot WHERE r.tok IS NOT NULL GROUP BY ALL)"
+    )
+
+
+def _lm(spark, sf_dir, parity: int):
+    docs = table(spark, sf_dir, "documents").filter(F.pmod(F.col("doc_id"), F.lit(2)) == parity)
+    return LO.train_bigram_lm(docs)
+
+
+@query(
+    "l02_score_loss",
+    f"WITH {SAMPLES_SQL}, {_lm_sql('lma', 'doc_id % 2 = 0')}, tx AS (SELECT sample_id, input || ' ' || answer AS text "
+    f"FROM samples), {_score_sql('sc', 'lma', 'tx', 'sample_id')} SELECT sample_id, round(loss, 6) AS loss FROM sc",
+)
+def l02(spark, sf_dir):
+    s = V.samples(spark, sf_dir).select("sample_id", F.concat_ws(" ", "input", "answer").alias("text"))
+    return LO.score_loss(s, ["sample_id"], "text", _lm(spark, sf_dir, 0))
+
+
+_L06_CTES = (
+    f"{NEIGHBORS_SQL}, {_lm_sql('lma', 'doc_id % 2 = 0')}, {_lm_sql('lmb', 'doc_id % 2 = 1')}, "
+    "ptx AS (SELECT n.sample_id, n.k, n.neighbor || ' ' || s.answer AS text FROM nbrs n JOIN samples s USING (sample_id) "
+    "UNION ALL SELECT sample_id, -1 AS k, input || ' ' || answer AS text FROM samples), "
+    f"{_score_sql('sca', 'lma', 'ptx', 'sample_id, k')}, {_score_sql('scb', 'lmb', 'ptx', 'sample_id, k')}, "
+    "losses AS (SELECT n.sample_id, n.k, 'ngram-a' AS model_name, 1 AS label, n.loss AS neighbor_loss, "
+    "o.loss AS input_loss FROM sca n LEFT JOIN sca o ON o.sample_id = n.sample_id AND o.k = -1 WHERE n.k >= 0 "
+    "UNION ALL SELECT n.sample_id, n.k, 'ngram-b', 0, n.loss, o.loss FROM scb n LEFT JOIN scb o "
+    "ON o.sample_id = n.sample_id AND o.k = -1 WHERE n.k >= 0)"
+)
+
+
+def _losses(spark, sf_dir, samples=None, nbrs=None):
+    s = samples if samples is not None else V.samples(spark, sf_dir)
+    nb = nbrs if nbrs is not None else N.neighbors(s)
+    a = LO.loss_stage(s, nb, _lm(spark, sf_dir, 0), "ngram-a", 1)
+    b = LO.loss_stage(s, nb, _lm(spark, sf_dir, 1), "ngram-b", 0)
+    return a.unionByName(b)
+
+
+@query("l06_loss_stage", f"WITH {_L06_CTES} SELECT sample_id, CAST(k AS BIGINT) AS k, model_name, "
+       "CAST(label AS BIGINT) AS label, round(neighbor_loss, 6) AS neighbor_loss, round(input_loss, 6) AS input_loss "
+       "FROM losses")
+def l06(spark, sf_dir):
+    return _losses(spark, sf_dir)
+
+
+@query(
+    "l01_loss_pairs",
+    f"WITH {NEIGHBORS_SQL} SELECT n.sample_id, CAST(n.k AS BIGINT) AS k, n.neighbor || ' ' || s.answer AS text "
+    "FROM nbrs n JOIN samples s USING (sample_id) UNION ALL SELECT sample_id, -1, input || ' ' || answer FROM samples",
+)
+def l01(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    return LO.loss_pairs(s, N.neighbors(s))
+
+
+_CHAT_SQL = (
+    "chat AS (SELECT sample_id, regexp_replace('<|user|> ' || input || ' <|assistant|> ' || answer, "
+    "'<(audio|video|image)>', ' ', 'g') AS chat FROM samples)"
+)
+
+
+@query("l05_render_chat", f"WITH {SAMPLES_SQL}, {_CHAT_SQL} SELECT sample_id, chat FROM chat")
+def l05(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    return s.select("sample_id", LO.render_chat(None, F.col("input"), F.col("answer")).alias("chat"))
+
+
+@query(
+    "l03_mask_prefix",
+    f"WITH {SAMPLES_SQL}, {_CHAT_SQL}, ct AS (SELECT sample_id, {TOKS_SQL.replace('lower({t})', '{t}').format(t='chat')} "
+    "AS t FROM chat), lm AS (SELECT sample_id, t, coalesce(list_max(list_transform(range(1, len(t) + 1), "
+    "lambda i: CASE WHEN t[i] = '<|assistant|>' THEN i ELSE 0 END)), 0) AS last FROM ct) "
+    "SELECT sample_id, CAST(CASE WHEN last = 0 THEN len(t) ELSE len(t) - last END AS BIGINT) AS n_counted FROM lm",
+)
+def l03(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    from tidemark.functions.text import tokens as _tokens
+
+    chat = LO.render_chat(None, F.col("input"), F.col("answer"))
+    return s.select("sample_id", F.size(LO.mask_prefix(_tokens(chat))).alias("n_counted"))
+
+
+@query(
+    "l04_truncate_tokens",
+    f"WITH {SAMPLES_SQL}, {_CHAT_SQL}, ct AS (SELECT sample_id, {TOKS_SQL.replace('lower({t})', '{t}').format(t='chat')} "
+    "AS t FROM chat) SELECT sample_id, CAST(least(len(t), 2048) AS BIGINT) AS n_first, "
+    "CAST(least(len(t), 4096) AS BIGINT) AS n_last, t[len(t)] AS last_token FROM ct",
+)
+def l04(spark, sf_dir):
+    from tidemark.functions.text import tokens as _tokens
+
+    t = _tokens(LO.render_chat(None, F.col("input"), F.col("answer")))
+    s = V.samples(spark, sf_dir).select("sample_id", t.alias("t"))
+    last = LO.truncate_tokens(F.col("t"), LO.LAST_TOKENS, "last")
+    return s.select("sample_id", F.size(LO.truncate_tokens(F.col("t"), LO.FIRST_TOKENS)).alias("n_first"),
+                    F.size(last).alias("n_last"), F.element_at(last, -1).alias("last_token"))

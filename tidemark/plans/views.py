@@ -64,3 +64,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "answer",
         F.concat(F.lit("ds"), F.pmod(F.col("conv_id"), F.lit(3)).cast("string")).alias("ds_name"),
     )
+
+
+def event_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss stand-in from ``events``: a user is a sample, an event a neighbour, the user's first event the original.
+
+    ``(sample_id, k, ds_name, model_name, label, neighbor_loss, input_loss, loss_delta)``.
+    """
+    e = table(spark, sf_dir, "events")
+    first = e.groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("input_loss"))
+    m = F.pmod(F.col("user_id"), F.lit(3))
+    return e.join(first, "user_id").select(
+        F.col("user_id").alias("sample_id"),
+        F.col("event_id").alias("k"),
+        F.col("event_type").alias("ds_name"),
+        F.when(m == 0, F.lit("no_leak")).when(m == 1, F.lit("leak")).otherwise(F.lit("other")).alias("model_name"),
+        (F.pmod(F.col("user_id"), F.lit(2)) == 0).cast("int").alias("label"),
+        F.col("value").alias("neighbor_loss"),
+        "input_loss",
+        (F.col("value") - F.col("input_loss")).alias("loss_delta"),
+    )
