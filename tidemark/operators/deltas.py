@@ -78,6 +78,9 @@ def build_deltas(samples: DataFrame, embeds: DataFrame, losses: DataFrame, sign:
     nb = embeds.filter(F.col("k") >= 0).withColumnRenamed("embeds", "neighbor_embeds")
     orig = embeds.filter(F.col("k") == -1).select("sample_id", F.col("embeds").alias("input_embeds"))
     rows = carry_forward(align(nb, losses), orig, ["input_embeds"])
+    # a sample whose text has no tokens has no embedding rows: its original vector is all zeros
+    rows = rows.withColumn("input_embeds", F.coalesce(
+        F.col("input_embeds"), F.array_repeat(F.lit(0.0), F.size("neighbor_embeds"))))
     rows = rows.join(samples.select("sample_id", "ds_name"), "sample_id")
     out = rows.select(
         "sample_id", "k", "ds_name", "model_name", "label",

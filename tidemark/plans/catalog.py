@@ -44,9 +44,39 @@ def all_queries() -> dict[str, QueryFn]:
     return dict(sorted(REGISTRY.items()))
 
 
+def _plus_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)`` so a rounded -0.0 prints as 0.0, as Spark's does."""
+    out, i, n = [], 0, len(sql)
+    while i < n:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                break
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        out.append(sql[i:j])
+        depth, k, quote = 0, j + 5, False
+        while k < n:
+            ch = sql[k]
+            if ch == "'":
+                quote = not quote
+            elif not quote and ch == "(":
+                depth += 1
+            elif not quote and ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append("(round(" + _plus_zero(sql[j + 6:k]) + ") + CAST(0 AS DOUBLE))")
+        i = k + 1
+    return "".join(out)
+
+
 def all_oracle_sql() -> dict[str, str]:
     all_queries()
-    return dict(sorted(ORACLE.items()))
+    return {k: _plus_zero(v) for k, v in sorted(ORACLE.items())}
 
 
 def cite_text(df: DataFrame) -> DataFrame:

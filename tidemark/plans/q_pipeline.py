@@ -342,3 +342,187 @@ def l04(spark, sf_dir):
     last = LO.truncate_tokens(F.col("t"), LO.LAST_TOKENS, "last")
     return s.select("sample_id", F.size(LO.truncate_tokens(F.col("t"), LO.FIRST_TOKENS)).alias("n_first"),
                     F.size(last).alias("n_last"), F.element_at(last, -1).alias("last_token"))
+
+
+# --------------------------------------------------------------------------- deltas
+EVENTS_SQL = (
+    "el AS (SELECT e.user_id AS sample_id, e.event_id AS k, e.event_type AS ds_name, CASE e.user_id % 3 WHEN 0 THEN "
+    "'no_leak' WHEN 1 THEN 'leak' ELSE 'other' END AS model_name, CAST(e.user_id % 2 = 0 AS INTEGER) AS label, "
+    "e.value AS neighbor_loss, f.input_loss, e.value - f.input_loss AS loss_delta FROM events e JOIN "
+    "(SELECT user_id, first(value ORDER BY ts, event_id) AS input_loss FROM events GROUP BY user_id) f "
+    "ON f.user_id = e.user_id)"
+)
+_STATS_SQL = ("st AS (SELECT ds_name, model_name, avg(loss_delta) AS mean, var_pop(loss_delta) AS std, "
+              "min(loss_delta) AS min_loss, max(loss_delta) - min(loss_delta) AS loss_diff FROM el "
+              "WHERE model_name <> 'other' GROUP BY ds_name, model_name)")
+_LOOKUP_SQL = (
+    "lk AS (SELECT el.*, coalesce(x.mean, f.mean) AS mean, coalesce(x.std, f.std) AS std, "
+    "coalesce(x.min_loss, f.min_loss) AS min_loss, coalesce(x.loss_diff, f.loss_diff) AS loss_diff FROM el "
+    "LEFT JOIN st x ON x.ds_name = el.ds_name AND x.model_name = el.model_name "
+    "LEFT JOIN st f ON f.ds_name = el.ds_name AND f.model_name = 'no_leak')"
+)
+
+
+def _ev(spark, sf_dir):
+    return V.event_losses(spark, sf_dir)
+
+
+def _ev_stats(ev):
+    kept = ev.filter(F.col("model_name") != "other")
+    return NZ.loss_mean_var(kept).join(NZ.loss_min_range(kept), NZ.GROUP)
+
+
+@query("d03_carry_forward", f"WITH {EVENTS_SQL} SELECT sample_id, k, round(input_loss, 6) AS input_loss FROM el")
+def d03(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = e.groupBy(F.col("user_id").alias("sample_id")).agg(
+        F.min_by("value", F.struct("ts", "event_id")).alias("input_loss"))
+    rows = e.select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("k"))
+    return DL.carry_forward(rows, first, ["input_loss"])
+
+
+@query("d04_loss_delta", f"WITH {EVENTS_SQL} SELECT sample_id, k, round(neighbor_loss - input_loss, 6) AS loss_delta, "
+       "round(input_loss - neighbor_loss, 6) AS loss_delta_old FROM el")
+def d04(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    return ev.select("sample_id", "k", DL.loss_delta().alias("loss_delta"),
+                     DL.loss_delta(sign="input_minus_neighbor").alias("loss_delta_old"))
+
+
+@query("d06_attach_stats", f"WITH {EVENTS_SQL}, {_STATS_SQL} SELECT el.sample_id, el.k, round(coalesce(st.mean, 0.0), 6) "
+       "AS mean, round(coalesce(st.std, 1.0), 6) AS std FROM el LEFT JOIN st ON st.ds_name = el.ds_name AND "
+       "st.model_name = el.model_name")
+def d06(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    kept = ev.filter(F.col("model_name") != "other")
+    return DL.attach_stats(ev, NZ.loss_mean_var(kept)).select("sample_id", "k", "mean", "std")
+
+
+@query("z01_loss_mean_var", f"WITH {EVENTS_SQL} SELECT ds_name, model_name, round(avg(loss_delta), 6) AS mean, "
+       "round(var_pop(loss_delta), 6) AS std FROM el GROUP BY ds_name, model_name")
+def z01(spark, sf_dir):
+    return NZ.loss_mean_var(_ev(spark, sf_dir))
+
+
+@query("z02_loss_min_range", f"WITH {EVENTS_SQL} SELECT ds_name, model_name, round(min(loss_delta), 6) AS min_loss, "
+       "round(max(loss_delta) - min(loss_delta), 6) AS loss_diff FROM el GROUP BY ds_name, model_name")
+def z02(spark, sf_dir):
+    return NZ.loss_min_range(_ev(spark, sf_dir))
+
+
+@query("z03_lookup_stats", f"WITH {EVENTS_SQL}, {_STATS_SQL}, {_LOOKUP_SQL} SELECT sample_id, k, round(mean, 6) AS mean, "
+       "round(std, 6) AS std FROM lk")
+def z03(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    return NZ.lookup_stats(ev, _ev_stats(ev)).select("sample_id", "k", "mean", "std")
+
+
+@query("z04_norm_std", f"WITH {EVENTS_SQL}, {_STATS_SQL}, {_LOOKUP_SQL} SELECT sample_id, k, round(CASE WHEN std = 0 "
+       "THEN loss_delta - mean ELSE (loss_delta - mean) / std END, 6) AS norm_loss FROM lk")
+def z04(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    return NZ.lookup_stats(ev, _ev_stats(ev)).select("sample_id", "k", NZ.norm_std().alias("norm_loss"))
+
+
+@query("z05_norm_linear", f"WITH {EVENTS_SQL}, {_STATS_SQL}, {_LOOKUP_SQL} SELECT sample_id, k, round(CASE WHEN "
+       "loss_diff = 0 THEN loss_delta - min_loss ELSE (loss_delta - min_loss) / loss_diff END, 6) AS norm_loss FROM lk")
+def z05(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    return NZ.lookup_stats(ev, _ev_stats(ev)).select("sample_id", "k", NZ.norm_linear().alias("norm_loss"))
+
+
+_DELTA_SQL = (
+    f"{_L06_CTES}, dn AS (SELECT sample_id, neighbor, min(k) AS k FROM nbrs GROUP BY sample_id, neighbor), "
+    "etx AS (SELECT d.sample_id, d.k, d.neighbor || ' ' || s.answer AS text FROM dn d JOIN samples s USING (sample_id) "
+    "UNION ALL SELECT sample_id, -1 AS k, input || ' ' || answer AS text FROM samples), "
+    f"{_embed_sql('etx', 'sample_id, k')}, "
+    "nbv AS (SELECT sample_id, k, dim, value FROM emb WHERE k >= 0), "
+    "inv AS (SELECT sample_id, dim, value FROM emb WHERE k = -1), "
+    "keys AS (SELECT DISTINCT sample_id, k FROM nbv), "
+    "dd AS (SELECT kk.sample_id, kk.k, d.dim, coalesce(n.value, 0.0) - coalesce(i.value, 0.0) AS delta FROM keys kk "
+    "CROSS JOIN range(0, 64) d(dim) LEFT JOIN nbv n ON n.sample_id = kk.sample_id AND n.k = kk.k AND n.dim = d.dim "
+    "LEFT JOIN inv i ON i.sample_id = kk.sample_id AND i.dim = d.dim), "
+    "dl2 AS (SELECT sample_id, k, sqrt(sum(delta * delta)) AS l2 FROM dd GROUP BY ALL), "
+    "deltas AS (SELECT l.sample_id, l.k, s.ds_name, l.model_name, l.label, l.neighbor_loss - l.input_loss AS "
+    "loss_delta, d.l2 FROM losses l JOIN dl2 d ON d.sample_id = l.sample_id AND d.k = l.k JOIN samples s "
+    "ON s.sample_id = l.sample_id)"
+)
+
+
+def _deltas(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    nb = N.neighbors(s).cache()
+    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"])
+    return DL.build_deltas(s, embeds, _losses(spark, sf_dir, s, nb))
+
+
+@query("d07_build_deltas", f"WITH {_DELTA_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, ds_name, model_name, "
+       "CAST(label AS BIGINT) AS label, round(loss_delta, 6) AS loss_delta, round(l2, 6) AS embedding_delta_l2 "
+       "FROM deltas")
+def d07(spark, sf_dir):
+    d = _deltas(spark, sf_dir)
+    return d.select("sample_id", "k", "ds_name", "model_name", "label", "loss_delta",
+                    l2_norm("embedding_delta").alias("embedding_delta_l2"))
+
+
+@query(
+    "z06_assemble",
+    f"WITH {_DELTA_SQL}, zs AS (SELECT ds_name, model_name, avg(loss_delta) AS mean, var_pop(loss_delta) AS std "
+    "FROM deltas GROUP BY ALL), zf AS (SELECT d.*, CASE WHEN zs.std = 0 THEN d.loss_delta - zs.mean ELSE "
+    "(d.loss_delta - zs.mean) / zs.std END AS lf FROM deltas d JOIN zs USING (ds_name, model_name)) "
+    "SELECT sample_id, CAST(k AS BIGINT) AS k, model_name, round(lf, 6) AS loss_feature, CAST(65 AS BIGINT) AS "
+    "n_features, round(sqrt(lf * lf + l2 * l2), 6) AS features_l2 FROM zf",
+)
+def z06(spark, sf_dir):
+    d = _deltas(spark, sf_dir)
+    stats = NZ.loss_mean_var(d)
+    out = NZ.assemble(d, "fimmia", "std", stats)
+    return out.select("sample_id", "k", "model_name", "loss_feature", F.size("features").alias("n_features"),
+                      l2_norm("features").alias("features_l2"))
+
+
+@query(
+    "d01_align",
+    f"WITH {_DELTA_SQL} SELECT l.model_name, CAST(l.label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n_rows "
+    "FROM losses l JOIN keys USING (sample_id, k) GROUP BY ALL",
+)
+def d01(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    nb = N.neighbors(s)
+    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"]).filter(F.col("k") >= 0)
+    return DL.align(embeds, _losses(spark, sf_dir, s, nb)).groupBy("model_name", "label").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "d01b_unmatched",
+    f"WITH {_DELTA_SQL} SELECT 'losses' AS only_in, CAST(count(*) AS BIGINT) AS n FROM (SELECT sample_id, k FROM losses "
+    "WHERE model_name = 'ngram-a' EXCEPT SELECT sample_id, k FROM keys)",
+)
+def d01b(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    nb = N.neighbors(s)
+    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"]).filter(F.col("k") >= 0)
+    losses = _losses(spark, sf_dir, s, nb).filter(F.col("model_name") == "ngram-a")
+    u = DL.unmatched(embeds, losses)
+    return u.groupBy("only_in").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "d02_group_key",
+    f"WITH {SAMPLES_SQL} SELECT sample_id, md5(input || '|' || answer || '|' || ds_name || '|' || "
+    "CAST(conv_id % 2 AS VARCHAR)) AS group_key FROM samples",
+)
+def d02(spark, sf_dir):
+    s = V.samples(spark, sf_dir).withColumn("label", F.pmod(F.col("conv_id"), F.lit(2)))
+    return s.select("sample_id", DL.group_key("input", "answer", "ds_name", "label").alias("group_key"))
+
+
+@query(
+    "d08_legacy_groups",
+    f"WITH {SAMPLES_SQL} SELECT sample_id, CAST(dense_rank() OVER (ORDER BY input, conv_id % 2) - 1 AS BIGINT) "
+    "AS group_idx FROM samples",
+)
+def d08(spark, sf_dir):
+    s = V.samples(spark, sf_dir).withColumn("label", F.pmod(F.col("conv_id"), F.lit(2)))
+    return DL.legacy_groups(s).select("sample_id", "group_idx")
