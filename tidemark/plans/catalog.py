@@ -39,7 +39,7 @@ def all_queries() -> dict[str, QueryFn]:
     from tidemark.plans import q_dates, q_metrics, q_sources  # noqa: F401
     from tidemark.plans import q_attack, q_greedy, q_text  # noqa: F401
     from tidemark.plans import q_pipeline  # noqa: F401
-    from tidemark.plans import q_media  # noqa: F401
+    from tidemark.plans import q_media, q_model  # noqa: F401
 
     return dict(sorted(REGISTRY.items()))
 
