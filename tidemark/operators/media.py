@@ -150,3 +150,40 @@ def reduce_dims(df: DataFrame, n: int, features: str = "features", out: str = "r
     scale = F.array(*[F.lit(1.0 / math.sqrt(max(v * total, 1e-12))) for v in var])
     proj = pca.transform(scaled).withColumn(out, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b))
     return proj.drop("_v", "_s", "_p")
+
+
+# --------------------------------------------------------------------------- P02
+SEG_MIN_S, SEG_MAX_S = 0.05, 0.25
+QUIET_GAIN = 0.7
+
+
+def _uh(key: Column, *parts: str | Column) -> Column:
+    """Uniform [0, 1) from ``md5(key|parts…)``."""
+    h = F.md5(F.concat_ws("|", key, *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def perturb_audio(waves: DataFrame, n_neighbors: int = 6, seed: int = 42, id_col: str = "aud_id",
+                  samples: str = "samples", sr: str = "sr") -> DataFrame:
+    """Per neighbour k, 1–3 silent segments of 0.05–0.25 s (at most a quarter of the clip) and a 0.7
+    gain when the neighbour's seed ≡ 1 (mod 4): ``(id, k, samples)``."""
+    k = F.col("k")
+    key = F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), k.cast("string"))
+    rows = waves.select(id_col, samples, sr, F.explode(F.sequence(F.lit(0), F.lit(n_neighbors - 1))).alias("k"))
+    n = F.size(F.col(samples))
+    dur = n / F.col(sr)
+    smax = F.least(F.lit(SEG_MAX_S), dur / 4)
+    smax = F.when(smax <= SEG_MIN_S, F.lit(SEG_MIN_S + 0.01)).otherwise(smax)
+    nseg = (F.floor(_uh(key, "nseg") * 3) + 1).cast("int")
+    segs = F.transform(F.sequence(F.lit(1), nseg), lambda j: F.struct(
+        F.least(F.floor(F.col(sr) * (SEG_MIN_S + (smax - SEG_MIN_S) * _uh(key, "len", j.cast("string")))).cast("int"),
+                n - 1).alias("len"),
+        j.alias("j")))
+    segs = F.transform(segs, lambda s: F.struct(s["len"].alias("len"), F.floor(
+        _uh(key, "start", s["j"].cast("string")) * F.greatest(F.lit(1), n - s["len"])).cast("int").alias("start")))
+    seed_int = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    gain = F.when(F.pmod(seed_int, F.lit(4)) == 1, F.lit(QUIET_GAIN)).otherwise(F.lit(1.0))
+    out = F.transform(F.col(samples), lambda x, i: F.when(F.exists(
+        F.col("_segs"), lambda s: (s["len"] > 0) & (i >= s["start"]) & (i < s["start"] + s["len"])), F.lit(0.0))
+        .otherwise(x) * F.col("_gain"))
+    return rows.withColumn("_segs", segs).withColumn("_gain", gain).select(id_col, "k", out.alias(samples))
