@@ -187,3 +187,30 @@ def perturb_audio(waves: DataFrame, n_neighbors: int = 6, seed: int = 42, id_col
         F.col("_segs"), lambda s: (s["len"] > 0) & (i >= s["start"]) & (i < s["start"] + s["len"])), F.lit(0.0))
         .otherwise(x) * F.col("_gain"))
     return rows.withColumn("_segs", segs).withColumn("_gain", gain).select(id_col, "k", out.alias(samples))
+
+
+# --------------------------------------------------------------------------- H36, E04
+def image_features(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels") -> DataFrame:
+    """Per image the concatenated feature vector ``DCT (first/last 20) ++ 32-bin histogram``."""
+    dct = dct_features(tiles, id_col, pixels).groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "coef"))).alias("_d"))
+    hist = color_hist(tiles, id_col, pixels).groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_h"))
+    vec = F.concat(F.transform("_d", lambda x: x["coef"]),
+                   F.transform(F.sequence(F.lit(0), F.lit(HIST_BINS - 1)),
+                               lambda b: F.coalesce(F.element_at("_h", b), F.lit(0)).cast("double")))
+    return tiles.select(id_col).join(dct, id_col, "left").join(hist, id_col, "left").select(
+        id_col, F.when(F.col("_d").isNull(), F.array().cast("array<double>")).otherwise(vec).alias("features"))
+
+
+def embed_modality(df: DataFrame, key: str, id_col: str, value: str) -> DataFrame:
+    """E04 default embedder: image tiles → image features, waveforms → (zcr, rms); a null input gives an empty
+    vector; any other key is an error."""
+    if key == "image":
+        return image_features(df.select(F.col(id_col).alias("img_id"), F.col(value).alias("pixels"))) \
+            .withColumnRenamed("img_id", id_col).withColumnRenamed("features", "embeds")
+    if key == "audio":
+        t = audio_temporal(df.select(F.col(id_col).alias("aud_id"), F.col(value).alias("samples")))
+        return t.select(F.col("aud_id").alias(id_col), F.when(F.col("zcr").isNull(), F.array().cast("array<double>"))
+                        .otherwise(F.array("zcr", "rms")).alias("embeds"))
+    raise ValueError(f"unknown modality key {key!r}")

@@ -202,3 +202,21 @@ def neighbors(samples: DataFrame, text: str = "input", id_col: str = "sample_id"
         F.col("kind") == "duplication", 2).otherwise(3)
     k = F.row_number().over(Window.partitionBy(id_col).orderBy(order, F.col("j"))) - 1
     return out.select(id_col, k.cast("int").alias("k"), "kind", "neighbor")
+
+
+# --------------------------------------------------------------------------- N10
+def modality_neighbor_paths(nbrs: DataFrame, samples: DataFrame, output_dir: str, path_col: str = "modality",
+                            id_col: str = "sample_id") -> DataFrame:
+    """One perturbed media path per text neighbour, ``{dir}/{stem}_row{row}_n{k}{ext}`` (``.bin`` when the
+    file has no extension); the row index is the sample id. A missing media path is an error."""
+    s = samples.select(id_col, F.col(path_col).alias("_path"))
+    fname = F.regexp_extract(F.col("_path"), r"[^/]*$", 0)
+    ext = F.regexp_extract(fname, r"^.+(\.[^.]*)$", 1)
+    stem = F.when(ext == "", fname).otherwise(F.expr("substring(_fname, 1, length(_fname) - length(_ext))"))
+    s = s.withColumn("_fname", fname).withColumn("_ext", ext).withColumn("_stem", stem)
+    out = nbrs.select(id_col, "k").join(s, id_col)
+    name = F.format_string("%s/%s_row%d_n%d%s", F.lit(output_dir), F.col("_stem"), F.col(id_col), F.col("k"),
+                           F.when(F.col("_ext") == "", F.lit(".bin")).otherwise(F.col("_ext")))
+    checked = F.when(F.col("_path").isNull(), F.raise_error(F.concat(
+        F.lit("missing media path for sample "), F.col(id_col).cast("string")))).otherwise(name)
+    return out.select(id_col, "k", checked.alias("modality_neighbor"))

@@ -526,3 +526,25 @@ def d02(spark, sf_dir):
 def d08(spark, sf_dir):
     s = V.samples(spark, sf_dir).withColumn("label", F.pmod(F.col("conv_id"), F.lit(2)))
     return DL.legacy_groups(s).select("sample_id", "group_idx")
+
+
+def _media_samples(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    return s.withColumn("modality", F.when(F.pmod("conv_id", F.lit(5)) == 0,
+                                           F.concat(F.lit("media/conv"), F.col("conv_id").cast("string"), F.lit("/clip")))
+                        .otherwise(F.concat(F.lit("media/conv"), F.col("conv_id").cast("string"), F.lit("/clip.wav"))))
+
+
+@query(
+    "n10_modality_neighbors",
+    f"WITH {NEIGHBORS_SQL}, ms AS (SELECT sample_id, CASE WHEN conv_id % 5 = 0 THEN 'media/conv' || "
+    "CAST(conv_id AS VARCHAR) || '/clip' ELSE 'media/conv' || CAST(conv_id AS VARCHAR) || '/clip.wav' END AS p "
+    "FROM samples), mf AS (SELECT sample_id, regexp_extract(p, '[^/]*$', 0) AS fname FROM ms), "
+    "mx AS (SELECT sample_id, fname, regexp_extract(fname, '^.+(\\.[^.]*)$', 1) AS ext FROM mf) "
+    "SELECT n.sample_id, CAST(n.k AS BIGINT) AS k, printf('%s/%s_row%d_n%d%s', 'modality_neighbors', "
+    "CASE WHEN ext = '' THEN fname ELSE substring(fname, 1, length(fname) - length(ext)) END, n.sample_id, n.k, "
+    "CASE WHEN ext = '' THEN '.bin' ELSE ext END) AS modality_neighbor FROM nbrs n JOIN mx USING (sample_id)",
+)
+def n10(spark, sf_dir):
+    s = _media_samples(spark, sf_dir)
+    return N.modality_neighbor_paths(N.neighbors(s), s, "modality_neighbors")
