@@ -119,3 +119,26 @@ def truncate_tokens(toks: Column, n: int, keep: str = "first") -> Column:
     if keep == "first":
         return F.slice(toks, 1, n)
     return F.when(F.size(toks) <= n, toks).otherwise(F.slice(toks, -n, n))
+
+
+# --------------------------------------------------------------------------- L07
+MEDIA_TYPES = ("image", "image_url", "video")
+
+
+def media_refs(messages: DataFrame, id_cols: Sequence[str] = ("conv_id", "turn"),
+               elements: str = "content") -> DataFrame:
+    """Image / video references of chat messages in order, long form ``(ids…, pos, kind, ref)``.
+
+    ``content`` is ``array<struct<type, text, image, video>>``; an element whose type is none of text, image,
+    image_url, video is an error.
+    """
+    ids = list(id_cols)
+    el = messages.select(*ids, F.posexplode(elements).alias("pos", "e"))
+    t = F.col("e.type")
+    bad = ~t.isin("text", *MEDIA_TYPES)
+    # one predicate, so the type check sees every element before non-media ones are dropped
+    media = el.filter(F.when(bad, F.raise_error(F.concat(F.lit("unsupported content type "), t)))
+                      .otherwise(t.isin(*MEDIA_TYPES)))
+    kind = F.when(t == "video", F.lit("video")).otherwise(F.lit("image"))
+    return media.select(*ids, "pos", kind.alias("kind"),
+                        F.when(t == "video", F.col("e.video")).otherwise(F.col("e.image")).alias("ref"))

@@ -214,3 +214,69 @@ def embed_modality(df: DataFrame, key: str, id_col: str, value: str) -> DataFram
         return t.select(F.col("aud_id").alias(id_col), F.when(F.col("zcr").isNull(), F.array().cast("array<double>"))
                         .otherwise(F.array("zcr", "rms")).alias("embeds"))
     raise ValueError(f"unknown modality key {key!r}")
+
+
+# --------------------------------------------------------------------------- H40
+def audio_spectral(waves: DataFrame, id_col: str = "aud_id", samples: str = "samples", sr: str = "sr",
+                   n_fft: int = FRAME_LENGTH, rolloff: float = 0.85) -> DataFrame:
+    """H40 (single centred frame): spectral centroid, bandwidth and 85 % roll-off frequency per waveform.
+
+    A small Arrow-batched numpy helper per row (one FFT of ``n_fft`` points).
+    """
+    import pandas as pd
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            cen, bw, ro = [], [], []
+            for x, rate in zip(pdf[samples], pdf[sr]):
+                x = np.asarray(x, dtype=float)
+                frame = np.zeros(n_fft)
+                start = n_fft // 2 - len(x) // 2 if len(x) < n_fft else 0
+                frame[start:start + min(len(x), n_fft)] = x[:n_fft]
+                mag = np.abs(np.fft.rfft(frame * np.hanning(n_fft)))
+                freqs = np.fft.rfftfreq(n_fft, 1.0 / float(rate))
+                tot = mag.sum()
+                if tot <= 0:
+                    cen.append(0.0), bw.append(0.0), ro.append(0.0)
+                    continue
+                c = float((freqs * mag).sum() / tot)
+                cen.append(c)
+                bw.append(float(np.sqrt(((freqs - c) ** 2 * mag).sum() / tot)))
+                cum = np.cumsum(mag)
+                ro.append(float(freqs[np.searchsorted(cum, rolloff * cum[-1])]))
+            yield pd.DataFrame({id_col: pdf[id_col], "centroid": cen, "bandwidth": bw, "rolloff": ro})
+
+    schema = f"{id_col} long, centroid double, bandwidth double, rolloff double"
+    return waves.select(id_col, samples, sr).mapInPandas(run, schema)
+
+
+# --------------------------------------------------------------------------- H35
+def patch_descriptors(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels", n: int = TILE,
+                      patch: int = 2) -> DataFrame:
+    """Local descriptors: every non-overlapping ``patch``×``patch`` block of a tile, ``(id, patch_id, desc)``."""
+    per_side = n // patch
+    blocks = []
+    for by in range(per_side):
+        for bx in range(per_side):
+            idx = [(by * patch + dy) * n + (bx * patch + dx) for dy in range(patch) for dx in range(patch)]
+            blocks.append(F.struct(F.lit(by * per_side + bx).alias("patch_id"),
+                                   F.array(*[F.col(pixels)[i] for i in idx]).alias("desc")))
+    return tiles.select(id_col, F.inline(F.array(*blocks)))
+
+
+def visual_words(descriptors: DataFrame, k: int, id_col: str = "img_id", seed: int = 42) -> DataFrame:
+    """K-means codebook over all descriptors, then per image the count of descriptors nearest each word:
+    ``(id, features array<double>)``; an image without descriptors gets zeros."""
+    from pyspark.ml.clustering import KMeans
+
+    d = descriptors.withColumn("_v", array_to_vector(F.col("desc")))
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="word").fit(d)
+    words = model.transform(d).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    agg = words.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_m"))
+    ids = descriptors.select(id_col).distinct()
+    vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double"))
+    return ids.join(agg, id_col, "left").select(id_col, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), k))
+                                                .otherwise(vec).alias("features"))

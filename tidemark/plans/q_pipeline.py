@@ -548,3 +548,33 @@ def _media_samples(spark, sf_dir):
 def n10(spark, sf_dir):
     s = _media_samples(spark, sf_dir)
     return N.modality_neighbor_paths(N.neighbors(s), s, "modality_neighbors")
+
+
+def _chat_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text_el = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"),
+                       F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("video"))
+    img = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"),
+                   F.format_string("images/c%d_t%d.png", "conv_id", "turn").alias("image"),
+                   F.lit(None).cast("string").alias("video"))
+    vid = F.struct(F.lit("video").alias("type"), F.lit(None).cast("string").alias("text"),
+                   F.lit(None).cast("string").alias("image"),
+                   F.format_string("videos/c%d.mp4", "conv_id").alias("video"))
+    with_img = (F.col("role") == "user") & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)) == 0)
+    with_vid = (F.col("role") == "assistant") & (F.pmod(F.col("conv_id"), F.lit(4)) == 0)
+    empty = F.array().cast("array<struct<type:string,text:string,image:string,video:string>>")
+    content = F.concat(F.when(with_img, F.array(img)).otherwise(empty), F.array(text_el),
+                       F.when(with_vid, F.array(vid)).otherwise(empty))
+    return c.select("conv_id", "turn", "role", content.alias("content"))
+
+
+@query(
+    "l07_media_refs",
+    "WITH m AS (SELECT conv_id, turn, (role = 'user' AND (conv_id + turn) % 3 = 0) AS wi, "
+    "(role = 'assistant' AND conv_id % 4 = 0) AS wv FROM conversations) "
+    "SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, 'image' AS kind, printf('images/c%d_t%d.png', conv_id, turn) "
+    "AS ref FROM m WHERE wi UNION ALL SELECT conv_id, turn, CAST(CASE WHEN wi THEN 2 ELSE 1 END AS BIGINT), 'video', "
+    "printf('videos/c%d.mp4', conv_id) FROM m WHERE wv",
+)
+def l07(spark, sf_dir):
+    return LO.media_refs(_chat_messages(spark, sf_dir))
