@@ -280,3 +280,83 @@ def visual_words(descriptors: DataFrame, k: int, id_col: str = "img_id", seed: i
                       lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double"))
     return ids.join(agg, id_col, "left").select(id_col, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), k))
                                                 .otherwise(vec).alias("features"))
+
+
+# --------------------------------------------------------------------------- H34, P01 (numpy helpers per row)
+def lbp_hist(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels", n: int = TILE,
+             points: int = 8, radius: float = 1.0) -> DataFrame:
+    """Uniform local binary pattern (P=8, R=1, bilinear neighbours, zero outside) → normalised
+    ``P + 2``-bin histogram per tile."""
+    import pandas as pd
+
+    def run(batches):
+        import numpy as np
+
+        ang = 2 * np.pi * np.arange(points) / points
+        dr, dc = -radius * np.sin(ang), radius * np.cos(ang)
+
+        def sample(img, r, c):
+            r0, c0 = int(np.floor(r)), int(np.floor(c))
+            fr, fc = r - r0, c - c0
+            val = 0.0
+            for rr, cc, w in ((r0, c0, (1 - fr) * (1 - fc)), (r0, c0 + 1, (1 - fr) * fc),
+                              (r0 + 1, c0, fr * (1 - fc)), (r0 + 1, c0 + 1, fr * fc)):
+                if 0 <= rr < n and 0 <= cc < n and w:
+                    val += w * img[rr, cc]
+            return val
+
+        for pdf in batches:
+            out = []
+            for px in pdf[pixels]:
+                img = np.asarray(px, dtype=float).reshape(n, n)
+                codes = []
+                for r in range(n):
+                    for c in range(n):
+                        bits = [1 if sample(img, r + dr[p], c + dc[p]) - img[r, c] >= 0 else 0 for p in range(points)]
+                        trans = sum(bits[p] != bits[(p + 1) % points] for p in range(points))
+                        codes.append(sum(bits) if trans <= 2 else points + 1)
+                h = np.bincount(codes, minlength=points + 2).astype(float)
+                out.append((h / h.sum()).tolist())
+            yield pd.DataFrame({id_col: pdf[id_col], "lbp": out})
+
+    return tiles.select(id_col, pixels).mapInPandas(run, f"{id_col} long, lbp array<double>")
+
+
+def perturb_images(tiles: DataFrame, n_neighbors: int = 6, seed: int = 42, id_col: str = "img_id",
+                   pixels: str = "pixels", n: int = TILE) -> DataFrame:
+    """Per neighbour k a seeded affine warp (rotation ±2.5°, translation ±2.5 px, shear) and brightness
+    change, negative image when the neighbour's seed ≡ 2 (mod 5): ``(id, k, pixels)``."""
+    import pandas as pd
+
+    rows = tiles.select(id_col, pixels, F.explode(F.sequence(F.lit(0), F.lit(n_neighbors - 1))).alias("k"))
+    rows = rows.withColumn("_seed", F.conv(F.substring(F.md5(F.concat_ws(
+        "|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long"))
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            out = []
+            for px, s in zip(pdf[pixels], pdf["_seed"]):
+                rng = np.random.default_rng(int(s))
+                img = np.asarray(px, dtype=float).reshape(n, n)
+                ang = np.deg2rad(rng.uniform(-2.5, 2.5))
+                tx, ty = rng.uniform(-2.5, 2.5, size=2)
+                sh = np.deg2rad(rng.uniform(-1.75, 1.75))
+                a = np.array([[np.cos(ang), -np.sin(ang + sh)], [np.sin(ang), np.cos(ang + sh)]])
+                inv = np.linalg.inv(a)
+                ctr = (n - 1) / 2.0
+                res = np.zeros_like(img)
+                for r in range(n):
+                    for c in range(n):
+                        y, x = inv @ np.array([r - ctr - ty, c - ctr - tx]) + ctr
+                        yi, xi = int(round(y)), int(round(x))
+                        if 0 <= yi < n and 0 <= xi < n:
+                            res[r, c] = img[yi, xi]
+                res = np.clip(res * (0.75 + rng.normal() * 0.5), 0, 255)
+                if int(s) % 5 == 2:
+                    res = 255.0 - res
+                out.append(res.ravel().tolist())
+            yield pd.DataFrame({id_col: pdf[id_col], "k": pdf["k"], pixels: out})
+
+    return rows.mapInPandas(run, f"{id_col} long, k int, {pixels} array<double>")

@@ -71,3 +71,37 @@ def media_attack(df: DataFrame, attack: str, model_type: str = "stack", fpr_budg
                      F.col("tpr_mean").alias("mean"), F.col("tpr_std").alias("std")))))
         out = s if out is None else out.unionByName(s)
     return out.withColumn("attack", F.lit(attack))
+
+
+def joint_attack(docs: DataFrame, media: DataFrame, fpr_budget_pct: float = 1.0, max_features: int = 30,
+                 model_type: str = "random", id_col: str = "doc_id", pca_dim: int | None = 20,
+                 n_splits: int = 5, seed: int = 42) -> DataFrame:
+    """Per fold a tf-idf text vector (vocabulary fitted on the training rows) joined with the media
+    vector, scaled and PCA-projected on the training rows, then classified; one row per fold
+    ``(fold, auroc, tpr)``. A fold whose test rows hold one class only scores AUROC .5 and TPR = budget."""
+    from tidemark.operators import text_features as TF
+
+    spark = docs.sparkSession
+    folded = stratified_folds(docs.select(id_col, "text", "label"), id_col, "label", n_splits, seed).cache()
+    k = int(folded.agg(F.max("fold")).first()[0]) + 1
+    tf = TF.term_counts(folded, id_col, "text").cache()
+    rows = []
+    for f in range(k):
+        long, voc = TF.fit_transform(folded, F.col("fold") != f, max_features, "tf", id_col, "text", tf)
+        size = voc.count()  # bounded by max_features
+        text_vec = TF.dense(long, folded.select(id_col, "label", "fold"), size, id_col, "tvec")
+        joint = text_vec.join(media.select(F.col(media.columns[0]).alias(id_col), F.col("features").alias("mvec")),
+                              id_col).select(id_col, "label", "fold", F.concat("tvec", "mvec").alias("features"))
+        tr, te = joint.filter(F.col("fold") != f), joint.filter(F.col("fold") == f)
+        classes = {r["label"] for r in te.select("label").distinct().collect()}  # at most two rows
+        if len(classes) < 2:
+            rows.append(Row(fold=f, auroc=0.5, tpr=fpr_budget_pct / 100.0))
+            continue
+        dim = size + len(media.select("features").first()[0])
+        tr, te = _project(tr, te, min(pca_dim, dim) if pca_dim else None, "features")
+        p = fit_predict(model_type, tr, te, "features", "label", MEDIA_STACK)
+        rep = M.roc_report(p, "proba", "label", fpr_budgets_pct=[fpr_budget_pct]).first()
+        rows.append(Row(fold=f, auroc=float(rep["auroc"]), tpr=float(rep[f"tpr_at_{M._pct_name(fpr_budget_pct)}fpr"])))
+    folded.unpersist()
+    tf.unpersist()
+    return spark.createDataFrame(rows, "fold int, auroc double, tpr double")
