@@ -9,7 +9,8 @@ import __spark_entry__ as E
 from tidemark.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-FAST = ["h01_max_year", "h02_date_detection", "h07_vocab", "h10_stratified_folds", "r04_roc_curve",
+FAST = ["h01_max_year", "h02_date_detection", "h07_vocab", "h10_stratified_folds", "r04_roc_curve", "p02_perturb_audio",
+        "l07_media_refs", "e04_embed_modality", "s14b_streaming_scores", "d06_attach_stats", "p04_sample_frames",
         "r12_metrics_by_dataset", "n09_neighbors", "z04_norm_std", "s08_month_split", "h31_trigger_rate"]
 
 

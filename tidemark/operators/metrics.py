@@ -63,8 +63,15 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
 
 
 def _desc_run(df: DataFrame, score: str, label: str, by: Sequence[str]):
-    """Per-score counts with running totals in descending score order, plus group totals."""
-    counts = score_counts(df, score, label, by).withColumn("one", F.lit(1).cast("long"))
+    """Per-score counts with running totals in descending score order, plus group totals.
+
+    The counts (one row per distinct score and group) are persisted so the
+    size check, the running totals and the group totals read the source once.
+    """
+    from pyspark import StorageLevel
+
+    counts = score_counts(df, score, label, by).withColumn("one", F.lit(1).cast("long")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     run = running_totals(counts, by, [F.col("score").desc()], ["pos", "neg", "one"])
     totals = counts.groupBy(*by).agg(
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.count(F.lit(1)).alias("_n_pts")
