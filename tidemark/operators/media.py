@@ -82,10 +82,10 @@ def perturb_frames(videos: DataFrame, seed: int = 42, id_col: str = "video_id")
 
 # --------------------------------------------------------------------------- tiles
 def to_tile(values: Column) -> Column:
-    """Rescale a 64-value vector to 0…255 grey pixels (per-vector min–max, rounded)."""
+    """Rescale a 64-value vector to 0…255 grey pixels (per-vector min–max, rounded half up)."""
     lo, hi = F.array_min(values), F.array_max(values)
     rng = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return F.transform(values, lambda x: F.round((x - lo) / rng * 255.0, 0))
+    return F.transform(values, lambda x: F.floor((x - lo) / rng * 255.0 + 0.5).cast("double"))
 
 
 def color_hist(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels", bins: int = HIST_BINS) -> DataFrame:
