@@ -92,3 +92,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words",
         F.sha2(F.encode(F.col("clean_text"), "UTF-8"), 256).alias("clean_sha256"),
     )
+
+
+@query("op5_ppm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram scores of every document, learnt from those whose crc32 is not 2 modulo 7."""
+    from tidemark.llm.ppm import score_documents
+
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    done = score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return done.withColumnRenamed("id", "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

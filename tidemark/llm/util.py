@@ -133,3 +133,62 @@ def scan(df: DataFrame, columns: list, schema: str, make: Callable[[], Callable[
             yield from work(batch)
 
     return df.select(*columns).mapInArrow(task, schema)
+
+
+class Finder:
+    """Positions of 64-bit keys in a fixed key set: sorted keys with a bucket table over their scrambled top bits."""
+
+    def __init__(self, keys: np.ndarray):
+        code = mixed(np.ascontiguousarray(keys).view(np.uint64))
+        self.order = np.argsort(code, kind="stable")
+        self.codes = np.append(code[self.order], np.uint64(0))
+        self.bits = max(1, int(len(keys)).bit_length())
+        tops = (self.codes[:-1] >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.starts = np.searchsorted(tops, np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the set given at the start, -1 where absent."""
+        code = mixed(np.ascontiguousarray(keys).view(np.uint64))
+        top = (code >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[top].astype(np.int64), self.starts[top + 1]
+        out = np.full(len(code), -1, np.int64)
+        open_ = np.flatnonzero(at < end)
+        at = at[open_]
+        while len(open_):
+            hit = self.codes[at] == code[open_]
+            out[open_[hit]] = self.order[at[hit]]
+            left = ~hit
+            open_, at = open_[left], at[left] + 1
+            more = at < end[open_]
+            open_, at = open_[more], at[more]
+        return out
+
+
+def most_frequent(table: DataFrame, count: str, limit: int) -> int:
+    """The smallest power of two such that at most ``limit`` rows of ``table`` have a ``count`` of it or more."""
+    from pyspark.sql import functions as F
+
+    level = F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double"))).cast("int")
+    found = {r.level: r.n for r in table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, 63
+    for k in sorted(found, reverse=True):
+        total += found[k]
+        if total > limit:
+            break
+        least = k
+    return 1 << min(least, 62)
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray, seed: int = 0):
+    """``(hashes, first start, first end, index of each word, rows' first words)`` of the distinct words of a step."""
+    starts, ends, first = words(data, offsets)
+    keys = Hashes(data, seed).of(starts, ends)
+    unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return unique, starts[at], ends[at], inverse, first
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces ``flat[start : start + length]`` one after the other."""
+    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
