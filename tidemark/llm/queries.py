@@ -104,3 +104,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnRenamed("id", "doc_id").select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from those whose crc32 is not 2 modulo 4."""
+    from tidemark.llm.langid import identify
+
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    done = identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return done.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_bpe_word_table")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and the decoded text of every document."""
+    from tidemark.llm.bpe_table import encode
+
+    return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
