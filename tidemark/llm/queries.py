@@ -122,3 +122,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe_table import encode
 
     return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_token_store")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in the written id shards, read back through their index."""
+    from tidemark.llm.token_store import TokenStore
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return TokenStore.write(docs).lookup(docs).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tidemark.llm.html_cut import extract
+
+    return extract(read(spark, sf_dir, "pages"))
