@@ -139,3 +139,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html_cut import extract
 
     return extract(read(spark, sf_dir, "pages"))
+
+
+@query("op7_prefix_free_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that also start earlier."""
+    from tidemark.llm.pfp_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
