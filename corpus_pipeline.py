@@ -1,30 +1,83 @@
-"""Corpus preparation: the stages in order, each a function ``(spark, docs, sf_dir) -> DataFrame``."""
+"""Corpus preparation: the stages in order, each a function ``(spark, docs, sf_dir) -> DataFrame``.
+
+Every stage works on all rows that the one before it kept. All but the last return the columns of ``documents``.
+Null, empty and repeated rows, extra columns and empty tables pass as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe_table import encode
+from tidemark.llm.decontam import without_copies
+from tidemark.llm.langid import UNKNOWN, identify
+from tidemark.llm.pfp_dedup import remove_repeats
 from tidemark.llm.queries import read
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.simhash import near_duplicates, row_name
 from tidemark.llm.util import stored
 
+#: Least share of the posterior that the predicted language must have.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: texts without a letter, null texts and texts of no clear language go.
+
+    Learnt from the rows whose crc32(doc_id) is not 2 modulo 4, as the operator's query is. ``lang`` stays as given.
+    """
+    train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) != 2
+    own = {c: f"_kept_{c}" for c in docs.columns if c in ("lang_pred", "score", "log_prob")}
+    told = identify(docs.withColumnsRenamed(own), train)
+    told = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score", "log_prob")
+    return told.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates (3-word shingles, at most 2 bits): the document with the smallest id of each group stays."""
-    keep = near_duplicates(docs, 3, 2).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    keep = near_duplicates(docs, 3, 2).where("stays").select(F.col("row").alias("_row")).distinct()
+    left = docs.withColumn("_row", row_name("doc_id", "text")).join(keep, "_row", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    return left.withColumn("_copy", copy).where("_copy = 1").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes in 100-byte strings that start earlier go; ``n_chars`` follows the new text."""
+    kept = remove_repeats(docs, 100, texts=True).select(
+        F.xxhash64("id", "text_key").alias("_row"), F.col("copy").alias("_copy"), F.col("kept_text").alias("_text")
+    )
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    rows = rows.drop("text").withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return rows.join(kept, ["_row", "_copy"]).withColumn("text", F.col("_text")).withColumn(
+        "n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    ).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a copy of a benchmark item go."""
+    return without_copies(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE ids of every text that is left, with the digests of ids and decoded text."""
+    done = encode(docs.select("doc_id", "text"), arrays=True)
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").cast("array<int>").alias("ids"), "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
+    ("language_id", known_language),
     ("simhash", one_of_each_group),
+    ("suffix_array_dedup", without_repeats),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
 ]
 
+#: SQL can't express the stages; tests/llm compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written once and read back for the next."""
+    """All stages over ``documents``; each stage's result is written as Parquet and read back for the next."""
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

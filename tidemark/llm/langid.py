@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.llm.util import LOWER, Finder, Hashes, distinct_words, scan, steps, stored, text_bytes
 
@@ -185,20 +186,24 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, lang_pred, score, log_prob)`` of every row: the language with the greatest summed log probability.
+def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``(lang_pred, score, log_prob)``: the language with the greatest summed log probability.
+
+    The new columns replace any of their names.
 
     ``score`` is its share of the posterior under equal priors. Null text, text without a letter, and any text when
     nothing was learned, give ``und`` with score 0. Ties go to the first language by name.
     """
     sent = docs.sparkSession.sparkContext.broadcast((langs, p))
-    kind = docs.schema[id_col].dataType.simpleString()
+    new = ["lang_pred", "score", "log_prob"]
+    kept = [c for c in docs.columns if c not in new]
+    place = docs.columns.index(text_col)
 
     def make():
         lattice, (names, prob) = Lattice(path), sent.value
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = batch.column(1)
+            texts = batch.column(place)
             raw, offsets = text_bytes(texts)
             data = LOWER[raw]
             total = np.zeros((batch.num_rows, max(1, len(names))))
@@ -219,16 +224,16 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, id_col:
             best = total.argmax(axis=1)
             share = np.where(known, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
             told = np.where(known, np.array([*names, ""], object)[best], UNKNOWN)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(told, pa.string()), pa.array(share), pa.array(np.where(known, total.max(axis=1), 0.0))], ["id", "lang_pred", "score", "log_prob"]
-            )
+            added = [pa.array(told, pa.string()), pa.array(share), pa.array(np.where(known, total.max(axis=1), 0.0))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], [*kept, *new])
 
         return work
 
-    return scan(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("t")], f"id {kind}, lang_pred string, score double, log_prob double", make)
+    schema = StructType([*[docs.schema[c] for c in kept], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("log_prob", DoubleType())])
+    return scan(docs, docs.columns, schema, make)
 
 
-def identify(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2) -> DataFrame:
+def identify(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2) -> DataFrame:
     """Learn from the rows where ``train`` holds and the language is known, then predict every row.
 
     Only text and language are learned from; a prediction reads the text alone. An empty table gives no rows.
@@ -236,4 +241,4 @@ def identify(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str
     path = vocabulary or default_vocabulary()
     table = stored(language_words(docs.where(train), F.col(text_col), F.col(lang_col)))
     langs, p = learn(table, path, rounds)
-    return predict(docs, langs, p, path, id_col, text_col)
+    return predict(docs, langs, p, path, text_col)

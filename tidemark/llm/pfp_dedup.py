@@ -32,8 +32,8 @@ STEP = 1 << 19
 
 
 def text_key(raw: bytes) -> int:
-    """64-bit name of a text, as a signed number."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
+    """64-bit name of a text, as a signed number; equals Spark's ``xxhash64`` of the string."""
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +295,10 @@ def _slices(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row, with ``texts`` also ``kept`` (binary).
+    """``(id, text_key, copy, n_bytes, n_removed, n_spans, kept_sha256)`` of every row.
+
+    With ``texts`` also ``kept`` (binary) and ``kept_text``, the same without characters that lost some of their bytes.
+    ``text_key`` is ``xxhash64`` of the text, ``copy`` numbers equal rows from 1.
 
     A byte goes if a ``length``-byte string (64 to 4,000) that covers it also starts earlier: in a text with a smaller id, or
     earlier in the same text. Strings are judged on the input and never cross texts. Null text counts as empty, a
@@ -334,8 +337,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         def rows_of() -> pa.RecordBatch:
             columns = list(zip(*held))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["text", "n_removed", "n_spans", "kept_sha256", "kept"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            names = ["text", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names[: len(columns)])
 
         for key, _, raw, at, _, _ in _each_text(batches):
@@ -347,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            held.append((key, len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
+            held.append((key, len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept, kept.decode(errors="ignore")] if texts else [])))
             size += len(kept) if texts else 200
             if size > 4 << 20:
                 yield rows_of()
@@ -356,18 +359,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield rows_of()
 
     facts = starts.select("text", "at", F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"))
-    firsts = _with_texts(base, facts).mapInArrow(task, "text long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    firsts = _with_texts(base, facts).mapInArrow(task, "text long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, kept_text string" if texts else ""))
     # which row of a text is its first, and how many copies each id has
     least = rows.groupBy("text").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("least"))
     ranked = rows.join(least, "text").withColumn("is_first", F.col("id").eqNullSafe(F.col("least.id")))
     each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "id", "text", "n_bytes", (~F.col("is_first") | (F.col("copy") > 1)).alias("again")
+        "id", "text", "copy", "n_bytes", (~F.col("is_first") | (F.col("copy") > 1)).alias("again")
     )
     gone = F.col("again") & (F.col("n_bytes") >= length)
     return each.join(firsts, "text").select(
-        "id", "n_bytes",
+        "id", F.col("text").alias("text_key"), "copy", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if texts else []),
+        *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if texts else []),
     )

@@ -147,3 +147,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pfp_dedup import remove_repeats
 
     return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, with the alignment score and the bytes of the copy."""
+    from tidemark.llm.decontam import contaminated
+
+    found = contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -44,7 +44,9 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long)`` of every row: majority bits over the shingle hashes; no words give zero.
+    """``(id, row, fp long)`` of every row: majority bits over the shingle hashes; no words give zero.
+
+    ``row`` is a 64-bit name of id and text, which tells rows with one id apart.
 
     Null and blank texts count as texts without words. Repeated rows give repeated rows. Texts are lower-cased
     in A-Z only and split at ASCII white space; fewer words than ``shingle`` form one shingle.
@@ -57,12 +59,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 got = fingerprint(text.as_buffer().to_pybytes(), shingle) if text.is_valid else ()
                 if len(got):
                     out[i] = _majority(got)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["id", "row", "fp"])
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return scan(docs, [F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")], f"id {kind}, fp long", make)
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), row_name(id_col, text_col).alias("row")]
+    return scan(docs, columns, f"id {kind}, row long, fp long", make)
+
+
+def row_name(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _spread(values: np.ndarray) -> list[np.ndarray]:
@@ -207,16 +214,19 @@ def near_links(prints: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long, component_id)``: texts whose fingerprints are linked by steps of at most ``radius`` bits.
+    """``(id, row, fp long, component_id, stays)``: texts linked by fingerprints of at most ``radius`` bits apart.
 
-    ``component_id`` is the smallest id reachable, the row's own included. Equal fingerprints are one node, so
-    copies are never expanded into pairs. Rows with a null id get a row; they count in no minimum unless the whole
-    class has null ids. An empty table gives an empty result.
+    ``component_id`` is the smallest id reachable, the row's own included; ``stays`` holds for the one text of each component
+    that represents it (smallest id, then smallest ``row``; equal rows share it). Equal fingerprints are one node,
+    so copies are never expanded into pairs. Null ids sort last: a component id is null only if all its ids are. An
+    empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle, id_col, text_col))
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    least = lambda c: F.min(c).alias("least")
+    nodes = prints.groupBy("fp").agg(least(F.struct(F.col("id").isNull().alias("none"), "id", "row")))
+    nodes = stored(nodes)
     roots = components(near_links(nodes, radius)).select(F.col("node").alias("fp"), "root")
     classes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("id", "fp", "component_id")
+    first = classes.groupBy("root").agg(least("least"))
+    of = classes.select("fp", "root").join(first, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("_first"))
+    return prints.join(of, "fp").select("id", "row", "fp", "component_id", (F.col("row") == F.col("_first")).alias("stays"))

@@ -124,7 +124,7 @@ class Hashes:
         return mixed(raw + (ends - starts).astype(np.uint64))
 
 
-def scan(df: DataFrame, columns: list, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+def scan(df: DataFrame, columns: list, schema, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """``mapInArrow`` over ``columns``: ``make()`` runs once per task and gives the function for its batches."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
