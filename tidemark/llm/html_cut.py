@@ -181,7 +181,7 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
     A positive score is what label False costs more, a negative one what True does. A node whose score outweighs all its
     edges has that label in every minimum, so it is fixed and its edges become terminal capacities; what is left goes through
-    blocking flows from nodes with source capacity to nodes with sink capacity. Ties get True.
+    blocking flows from nodes with source capacity to nodes with sink capacity; of several minima it gives one.
     """
     n = len(scores)
     left = list(scores)
@@ -214,7 +214,7 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                     queue.append(j)
         if not reached:
             for i in free:
-                label[i] = i in level or left[i] > -1e-12
+                label[i] = i in level
             return [bool(x) for x in label]
         open_ = {i: list(near[i]) for i in level}
         for source in [i for i in free if left[i] > 1e-12]:

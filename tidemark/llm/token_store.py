@@ -69,8 +69,8 @@ class Encoder:
         """The ids of ``text`` and the end id, as payload bytes."""
         if not self.cut or self.whole(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.type).tobytes() + self.end
-        plain = text.count(" ") + text.count("\n") + 1 == len(text.split())
-        if plain:
+        found, gaps = text.split(), text.count(" ") + text.count("\n")
+        if gaps + 1 == len(found) and gaps + sum(map(len, found)) == len(text):
             # single spaces and newlines only: words that follow a space are looked up with it
             parts = text.replace("\n", " \n").split(" ")
             chunks = [parts[0], *[x if x[0] == "\n" else " " + x for x in parts[1:]]]
