@@ -13,9 +13,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.util import mixed, partitions, scan, shared_folder, stored
 
 #: Payload bytes after which a shard is closed, and entries of the per-task word cache.
-SHARD_BYTES, CACHE = 32 << 20, 400_000
+SHARD_BYTES, CACHE = 32 << 20, 300_000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -57,13 +59,45 @@ class Encoder:
         self.whole = re.compile("|".join(whole)).search
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         self.end = np.array([end_id], self.type).tobytes()
+        # two generations of each cache: what is still used moves up before the older one goes
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        # fixed values: the split pattern and the byte alphabet of byte-level tokenizers
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.table = [np.array([i], self.type).tobytes() for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.old_pieces.get(piece)
+            if got is None:
+                coded = "".join([self.alphabet[b] for b in piece.encode()])
+                got = b"".join([self.table[t.id] for t in self.lib.model.tokenize(coded)])
+            if len(self.pieces) >= CACHE // 2:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
+        return got
 
     def _new(self, chunks: list[str]) -> None:
         if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
-        got = self.lib.encode_batch_fast(chunks, add_special_tokens=False)
-        self.cache.update(zip(chunks, (np.array(x.ids, self.type).tobytes() for x in got)))
+            self.old, self.cache = self.cache, {}
+        other = []
+        for x in chunks:
+            got = self.old.get(x)
+            if got is not None:
+                self.cache[x] = got
+            elif max(x) < "\u0250":
+                # letters and digits here are the same in every version of the character tables
+                self.cache[x] = b"".join([self._piece(p) for p in self.split(x)])
+            else:
+                other.append(x)
+        if other:
+            found = self.lib.encode_batch_fast(other, add_special_tokens=False)
+            self.cache.update(zip(other, (np.array(x.ids, self.type).tobytes() for x in found)))
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text`` and the end id, as payload bytes."""
@@ -76,18 +110,25 @@ class Encoder:
             chunks = [parts[0], *[x if x[0] == "\n" else " " + x for x in parts[1:]]]
         else:
             chunks = self.chunks(text)
-        cache = self.cache
         try:
-            return b"".join([cache[x] for x in chunks]) + self.end
+            return b"".join([self.cache[x] for x in chunks]) + self.end
         except KeyError:
-            for i in range(0, len(chunks), CACHE // 2):
-                self._new(list({x for x in chunks[i : i + CACHE // 2] if x not in cache}))
-            if len(chunks) > CACHE // 2:
-                return b"".join([cache[x] if x in cache else np.array(self.lib.encode(x, add_special_tokens=False).ids, self.type).tobytes() for x in chunks]) + self.end
-            missing = list({x for x in chunks if x not in cache})
-            if missing:
-                self._new(list(set(chunks)))
-            return b"".join([cache[x] for x in chunks]) + self.end
+            pass
+        out = []
+        for i in range(0, len(chunks), CACHE // 4):
+            part = chunks[i : i + CACHE // 4]
+            young = self.cache
+            self._new([x for x in set(part) if x not in young])
+            if self.cache is not young:  # a new generation began: bring the rest of the part into it
+                self._new([x for x in set(part) if x not in self.cache])
+            out.extend([self.cache[x] for x in part])
+        return b"".join(out) + self.end
+
+
+@lru_cache(1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder for a worker process, whose caches outlive a task."""
+    return Encoder(path, end_id)
 
 
 class PerfectHash:
@@ -224,18 +265,18 @@ class TokenStore:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where, root = fs.FileSystem.from_uri(folder)
             where.create_dir(root, recursive=True)
-            encoder, part = Encoder(path, end_id), TaskContext.get().partitionId()
+            encode, part = encoder(path, end_id), TaskContext.get().partitionId()
             keys, payload, held, seq, out = [], [], 0, 0, []
 
             def close() -> None:
                 name = f"part-{part:06d}-{seq:06d}"
-                n = write_shard(where, f"{root}/{name}", keys, payload, encoder.type)
+                n = write_shard(where, f"{root}/{name}", keys, payload, encode.type)
                 known = [k for k in (keys[sum(x is None for x in keys) :] or [None])]
                 out.append((part, seq, name, known[0], known[-1], keys[0] is None, len(keys), n))
 
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encoder(text.as_py() or "")
+                    ids = encode(text.as_py() or "")
                     keys.append(key)
                     payload.append(ids)
                     held += len(ids) + 40
