@@ -43,3 +43,11 @@ def linf_norm(a: Column | str) -> Column:
 
 def round_array(a: Column | str, digits: int = 6) -> Column:
     return F.transform(_c(a), lambda v: F.round(v, digits))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column expression that a lambda refers to is otherwise computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]

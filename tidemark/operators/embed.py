@@ -3,8 +3,8 @@
 The embedder is pluggable: any Python callable mapping a pandas Series of
 texts to equal-length vectors runs as an Arrow-batched iterator UDF (loaded
 once per worker). The built-in default stays in the JVM: a signed hashed
-bag of lower-cased tokens, summed per (text, bucket) with a map-side
-combined ``groupBy`` and L2-normalised.
+bag of lower-cased tokens, summed with a map-side combined ``groupBy`` and
+L2-normalised. Vectors are one aggregation per text with a sum for each bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
 from tidemark.functions.text import tokens
 
 DIM = 64
@@ -38,11 +39,22 @@ def hashed_embedding(df: DataFrame, id_cols: Sequence[str], text: str, dim: int
     return summed.select(*ids, "dim", (F.col("raw") / norm).alias("value"))
 
 
+def hashed_vectors(df: DataFrame, id_cols: Sequence[str], text: str, dim: int = DIM, out: str = "embeds") -> DataFrame:
+    """E03 default as a dense ``array<double>`` per id; texts without tokens have no row."""
+    ids = list(id_cols)
+    toks = df.select(*ids, F.explode(tokens(F.lower(F.col(text)))).alias("tok"))
+    coded = toks.select(*ids, _bucket(F.col("tok"), dim).alias("_b"), _sign(F.col("tok")).alias("_s"))
+    sums = coded.groupBy(*ids).agg(*[F.sum(F.when(F.col("_b") == d, F.col("_s")).otherwise(0.0)).alias(f"_{d}") for d in range(dim)])
+    raw = sums.select(*ids, F.array(*[f"_{d}" for d in range(dim)]).alias("_raw"))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
+    return raw.select(*ids, let(norm, lambda n: F.transform("_raw", lambda x: F.when(n > 0, x / n).otherwise(0.0))).alias(out))
+
+
 def to_vectors(long: DataFrame, id_cols: Sequence[str], dim: int = DIM, out: str = "embeds") -> DataFrame:
     """Dense ``array<double>`` per id from long entries (missing buckets are 0)."""
     ids = list(id_cols)
     agg = long.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
     return agg.select(*ids, vec.alias(out))
 
 
@@ -71,13 +83,23 @@ def compose_text(input_col: Column, answer_col: Column, neighbor_col: Column | N
     return F.concat_ws(" ", neighbor_col, answer_col)
 
 
-def embed_stage(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False, dim: int = DIM,
-                id_col: str = "sample_id") -> DataFrame:
-    """Long embeddings ``(sample_id, k, dim, value)``; ``k = -1`` is the original sample."""
+def _texts(samples: DataFrame, nbrs: DataFrame, user_answer: bool, id_col: str) -> DataFrame:
     distinct = explode_neighbors(nbrs, id_col)
     s = samples.select(id_col, "input", "answer")
     nb = distinct.join(s, id_col).select(
         id_col, "k", compose_text(F.col("input"), F.col("answer"), F.col("neighbor"), user_answer).alias("text"))
     orig = s.select(id_col, F.lit(-1).alias("k"), compose_text(F.col("input"), F.col("answer"), None, user_answer)
                     .alias("text"))
-    return hashed_embedding(nb.unionByName(orig), [id_col, "k"], "text", dim)
+    return nb.unionByName(orig)
+
+
+def embed_stage(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False, dim: int = DIM,
+                id_col: str = "sample_id") -> DataFrame:
+    """Long embeddings ``(sample_id, k, dim, value)``; ``k = -1`` is the original sample."""
+    return hashed_embedding(_texts(samples, nbrs, user_answer, id_col), [id_col, "k"], "text", dim)
+
+
+def embed_vectors(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False, dim: int = DIM,
+                  id_col: str = "sample_id") -> DataFrame:
+    """E05 as dense vectors ``(sample_id, k, embeds)``; texts without tokens have no row, as in the long form."""
+    return hashed_vectors(_texts(samples, nbrs, user_answer, id_col), [id_col, "k"], "text", dim)

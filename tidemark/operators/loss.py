@@ -4,21 +4,26 @@ The scorer is pluggable (any callable on a pandas Series of texts, run as an
 Arrow-batched UDF). The default scorer is a bigram language model trained in
 Spark: unigram and bigram counts are ``groupBy`` aggregates of a corpus,
 probabilities use add-α smoothing, and the loss of a text is the mean
-negative log-probability of its lower-cased tokens, computed by joining the
-text's (previous, current) token pairs to the counts.
+negative log-probability of its lower-cased tokens. The counts are joined to
+the distinct (previous, current) pairs of all texts, for any number of models
+at once; one more join brings the costs back to the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
 from tidemark.functions.text import tokens
+from tidemark.session import cut_lineage
 
 ALPHA = 1.0
+#: Distinct token pairs up to which their cost table is broadcast (about 100 bytes a row).
+BROADCAST_PAIRS = 500_000
 # Chat role markers of the rendered conversation and token caps.
 ROLE_MARKERS = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
 FIRST_TOKENS = 2048
@@ -41,25 +46,53 @@ def train_bigram_lm(corpus: DataFrame, text: str = "text") -> dict[str, DataFram
     return {"uni": uni, "bi": bi, "totals": totals}
 
 
+def _pairs(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
+    """``(ids…, prev, tok)`` for every token, ``prev`` null for the first."""
+    pairs = let(_toks(F.col(text)), lambda t: F.transform(t, lambda x, i: F.struct(
+        F.when(i > 0, F.get(t, i - 1)).alias("prev"), x.alias("tok"))))
+    return df.select(*ids, F.inline(pairs))
+
+
+def _costs(pairs: DataFrame, models: Mapping[str, dict[str, DataFrame]], alpha: float) -> DataFrame:
+    """``(prev, tok, model columns…)``: negative log-probability of each distinct pair under every model."""
+    out = pairs.select("prev", "tok").distinct()
+    a = F.lit(alpha)
+    for name, lm in models.items():
+        uni, bi = lm["uni"], lm["bi"]
+        v = F.col("vocab").cast("double")
+        p = F.when(F.col("prev").isNull(), (F.coalesce("c_tok", F.lit(0)) + a) / (F.col("n_tokens") + a * v)).otherwise(
+            (F.coalesce("c_bi", F.lit(0)) + a) / (F.coalesce("c_prev", F.lit(0)) + a * v))
+        kept = out.columns
+        out = (out.join(bi.withColumnRenamed("c", "c_bi"), ["prev", "tok"], "left")
+               .join(uni.select(F.col("tok").alias("prev"), F.col("c").alias("c_prev")), "prev", "left")
+               .join(uni.select("tok", F.col("c").alias("c_tok")), "tok", "left")
+               .crossJoin(F.broadcast(lm["totals"]))  # one-row totals
+               .select(*kept, (-F.log(p)).alias(name)))
+    return out
+
+
+def score_losses(df: DataFrame, id_cols: Sequence[str], text: str, models: Mapping[str, dict[str, DataFrame]],
+                 alpha: float = ALPHA, broadcast_rows: int = BROADCAST_PAIRS) -> DataFrame:
+    """L02 for several models at once: ``(ids…, one loss column per model name)``.
+
+    The table of distinct pairs is written once and counted; up to ``broadcast_rows`` rows it is broadcast, beyond that it
+    is joined by shuffle, where adaptive execution splits the head pairs.
+    """
+    ids = list(id_cols)
+    rows = _pairs(df, ids, text)
+    columns = {name: f"_loss_{i}" for i, name in enumerate(models)}
+    costs = cut_lineage(_costs(rows, {columns[n]: lm for n, lm in models.items()}, alpha))
+    if costs.count() <= broadcast_rows:
+        costs = F.broadcast(costs)
+    costs = costs.withColumnsRenamed({"prev": "_prev", "tok": "_tok"})
+    joined = rows.join(costs, (F.col("tok") == F.col("_tok")) & F.col("prev").eqNullSafe(F.col("_prev")))
+    return joined.groupBy(*ids).agg(*[F.avg(c).alias(n) for n, c in columns.items()])
+
+
 def score_loss(df: DataFrame, id_cols: Sequence[str], text: str, lm: dict[str, DataFrame],
                alpha: float = ALPHA) -> DataFrame:
     """L02 default: ``(ids…, loss)`` mean negative log-probability under the bigram model."""
-    ids = list(id_cols)
-    t = df.select(*ids, _toks(F.col(text)).alias("t"))
-    pos = t.select(*ids, F.posexplode("t").alias("pos", "tok"))
-    prev = t.select(*ids, F.posexplode(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("pos", "prev"))
-    rows = pos.join(prev.select(*ids, (F.col("pos") + 1).alias("pos"), "prev"), [*ids, "pos"], "left")
-    uni, bi = lm["uni"], lm["bi"]
-    rows = (rows.join(bi.withColumnRenamed("c", "c_bi"), ["prev", "tok"], "left")
-            .join(uni.select(F.col("tok").alias("prev"), F.col("c").alias("c_prev")), "prev", "left")
-            .join(uni.select("tok", F.col("c").alias("c_tok")), "tok", "left")
-            .crossJoin(F.broadcast(lm["totals"])))  # one-row totals
-    a = F.lit(alpha)
-    v = F.col("vocab").cast("double")
-    p = F.when(F.col("prev").isNull(),
-               (F.coalesce("c_tok", F.lit(0)) + a) / (F.col("n_tokens") + a * v)).otherwise(
-        (F.coalesce("c_bi", F.lit(0)) + a) / (F.coalesce("c_prev", F.lit(0)) + a * v))
-    return rows.groupBy(*ids).agg(F.avg(-F.log(p)).alias("loss"))
+    return score_losses(df, id_cols, text, {"loss": lm}, alpha)
 
 
 def plugin_loss(df: DataFrame, text: str, score_fn: Callable[[pd.Series], Sequence[float]], out: str = "loss"):
@@ -85,15 +118,28 @@ def loss_pairs(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False, i
     return nb.select(id_col, "k", nb_text.alias("text")).unionByName(orig)
 
 
+def loss_stages(samples: DataFrame, nbrs: DataFrame, models: Mapping[str, tuple[dict[str, DataFrame], int]],
+                user_answer: bool = False, id_col: str = "sample_id") -> DataFrame:
+    """``(sample_id, k, model_name, label, neighbor_loss, input_loss)`` for every ``model_name: (model, label)``.
+
+    All texts are scored for all models in one pass.
+    """
+    scored = cut_lineage(score_losses(loss_pairs(samples, nbrs, user_answer, id_col), [id_col, "k"], "text",
+                                      {name: lm for name, (lm, _) in models.items()}))
+    each = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("model_name"), F.lit(int(label)).alias("label"), F.col(f"`{name}`").alias("loss"))
+        for name, (_, label) in models.items()])).alias("m")
+    flat = scored.select(id_col, "k", each).select(id_col, "k", "m.model_name", "m.label", "m.loss")
+    orig = flat.filter(F.col("k") == -1).select(id_col, "model_name", F.col("loss").alias("input_loss"))
+    nb = flat.filter(F.col("k") >= 0).withColumnRenamed("loss", "neighbor_loss")
+    return nb.join(orig, [id_col, "model_name"], "left").select(
+        id_col, "k", "model_name", "label", "neighbor_loss", "input_loss")
+
+
 def loss_stage(samples: DataFrame, nbrs: DataFrame, lm: dict[str, DataFrame], model_name: str, label: int,
                user_answer: bool = False, id_col: str = "sample_id") -> DataFrame:
-    """``(sample_id, k, model_name, label, neighbor_loss, input_loss)`` for one model and label."""
-    scored = score_loss(loss_pairs(samples, nbrs, user_answer, id_col), [id_col, "k"], "text", lm)
-    orig = scored.filter(F.col("k") == -1).select(id_col, F.col("loss").alias("input_loss"))
-    nb = scored.filter(F.col("k") >= 0).select(id_col, "k", F.col("loss").alias("neighbor_loss"))
-    return nb.join(orig, id_col, "left").select(
-        id_col, "k", F.lit(model_name).alias("model_name"), F.lit(int(label)).alias("label"), "neighbor_loss",
-        "input_loss")
+    """L06 for one model and label."""
+    return loss_stages(samples, nbrs, {model_name: (lm, label)}, user_answer, id_col)
 
 
 def render_chat(system: Column | None, user: Column, assistant: Column) -> Column:

@@ -1,21 +1,23 @@
 """Perturbed neighbours of each sample text.
 
 Random choices are replaced by a replayable hash order
-``md5('seed|sample|kind|k|pos')``. Work is long-form: tokens are exploded per
-sample (at most the 3000-character tail, so every per-sample group is
-bounded), content positions are ranked inside ``(sample, kind, k)`` windows,
-and each neighbour text is rebuilt from an ordered ``collect_list``. The
-substitution kind takes any fill function; the default is a corpus context
-model (most frequent middle token for a (left, right) pair, backing off to
-the most frequent follower of the left token, then the most frequent token),
-built with aggregations and joined to the masked positions.
+``md5('seed|sample|kind|k|pos')``. A sample is at most the 3000-character
+tail of a text, so its tokens are one array and deletion, duplication and
+swap are array expressions of the row: the content positions are sorted by
+hash, the first ``m`` are the chosen ones, no shuffle. The substitution
+kind takes any fill function; the default is a corpus context model (most
+frequent middle token for a (left, right) pair, backing off to the most
+frequent follower of the left token, then the most frequent token), built
+with aggregations. Only the masked positions leave the row; the model is
+joined to their distinct contexts, and the fills come back per sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
 from tidemark.functions.text import ASCII_PUNCT_CLASS, tokens
 
 # Neighbour generation parameters of the reference.
@@ -65,98 +67,122 @@ def _hash(seed: int, id_col: str, kind: str, *parts: Column) -> Column:
                              *[p.cast("string") for p in parts]))
 
 
-def _ranked(rows: DataFrame, kind: str, n_each: int, seed: int, id_col: str) -> DataFrame:
-    """Each content token gets its rank in the hash order of ``(id, kind, k)``; others rank null."""
-    r = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_each - 1))).alias("j"))
-    h = _hash(seed, id_col, kind, F.col("j"), F.col("pos"))
-    w = Window.partitionBy(id_col, "j", "is_content").orderBy(h)
-    return r.withColumn("rank", F.when(F.col("is_content"), F.row_number().over(w)))
+def _chosen(kind: str, j: Column, seed: int, id_col: str) -> Column:
+    """The first ``m`` content positions (0-based) in the hash order of ``(id, kind, j)``."""
+    places = F.filter(F.transform("tokens", lambda t, i: F.when(~t.rlike(ASCII_PUNCT_CLASS), i)), lambda i: i.isNotNull())
+    order = F.sort_array(F.transform(places, lambda i: F.struct(_hash(seed, id_col, kind, j, i).alias("h"), i.alias("i"))))
+    return F.transform(F.slice(order, 1, F.greatest(F.col("m"), F.lit(0))), lambda x: x["i"])
 
 
-def _base_rows(prep: DataFrame, n_each: int, id_col: str) -> DataFrame:
-    return prep.select(id_col, "m", "n_content", F.explode(F.sequence(F.lit(0), F.lit(n_each - 1))).alias("j"))
-
-
-def _assemble(parts: DataFrame, prep: DataFrame, n_each: int, id_col: str, kind: str, expr) -> DataFrame:
-    """Rebuild ``(id, kind, j, neighbor)`` from ranked rows; samples without tokens give empty texts."""
-    agg = parts.groupBy(id_col, "j").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "chosen", "fill")))
-                                         .alias("_a"))
-    agg = agg.select(id_col, "j", expr(F.col("_a")).alias("neighbor"))
-    base = _base_rows(prep, n_each, id_col)
-    out = base.join(agg, [id_col, "j"], "left").select(
-        id_col, F.lit(kind).alias("kind"), "j", F.coalesce("neighbor", F.lit("")).alias("neighbor"), "m",
-        "n_content",
-    )
-    return out
+def _each(n_each: int, one) -> Column:
+    """``[one(0), …, one(n_each − 1)]``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_each - 1)), one)
 
 
 def _join_toks(arr: Column) -> Column:
     return F.array_join(arr, " ")
 
 
+def _deletions(n_each: int, seed: int, id_col: str) -> Column:
+    return _each(n_each, lambda j: let(_chosen("deletion", j, seed, id_col), lambda ch: _join_toks(
+        F.filter("tokens", lambda t, i: ~F.array_contains(ch, i)))))
+
+
+def _duplications(n_each: int, seed: int, id_col: str) -> Column:
+    twice = _each(n_each, lambda j: let(_chosen("duplication", j, seed, id_col), lambda ch: _join_toks(
+        F.transform("tokens", lambda t, i: F.when(F.array_contains(ch, i), F.concat(t, F.lit(" "), t)).otherwise(t)))))
+    return F.when(F.col("m") <= F.col("n_content"), twice).otherwise(F.array().cast("array<string>"))
+
+
+def _swap_pos(seed: int, id_col: str, j: Column, step: Column, side: str, n: Column) -> Column:
+    h = _hash(seed, id_col, "swap", j, step, F.lit(side))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), n.cast("long")).cast("int")
+
+
+def _swaps(n_each: int, seed: int, id_col: str) -> Column:
+    n = F.col("n_tok")
+
+    def one(j: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            places = F.struct(_swap_pos(seed, id_col, j, s, "a", n).alias("a"), _swap_pos(seed, id_col, j, s, "b", n).alias("b"))
+            return let(places, lambda p: F.transform(acc, lambda x, i: F.when(i == p["a"], F.get(acc, p["b"]))
+                                                     .when(i == p["b"], F.get(acc, p["a"])).otherwise(x)))
+
+        return _join_toks(F.aggregate(F.sequence(F.lit(1), F.col("m")), F.col("tokens"), step))
+
+    return F.when(F.col("m") > 0, _each(n_each, one)).otherwise(_each(n_each, lambda j: _join_toks(F.col("tokens"))))
+
+
+def _rows(prep: DataFrame, kind: str, texts: Column, id_col: str) -> DataFrame:
+    return prep.select(id_col, F.lit(kind).alias("kind"), F.posexplode(texts).alias("j", "neighbor"))
+
+
 def deletion_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed: int = SEED,
                        id_col: str = "sample_id") -> DataFrame:
     """Drop ``m`` distinct content tokens (fewer when content runs out)."""
-    r = _ranked(token_rows(prep, id_col), "deletion", n_each, seed, id_col)
-    r = r.withColumn("chosen", F.coalesce(F.col("rank") <= F.col("m"), F.lit(False))).withColumn(
-        "fill", F.lit(None).cast("string"))
-    expr = lambda a: _join_toks(F.transform(F.filter(a, lambda x: ~x["chosen"]), lambda x: x["tok"]))
-    return _assemble(r, prep, n_each, id_col, "deletion", expr).drop("m", "n_content")
+    return _rows(prep, "deletion", _deletions(n_each, seed, id_col), id_col)
 
 
 def duplication_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed: int = SEED,
                           id_col: str = "sample_id") -> DataFrame:
     """Each of ``m`` distinct content tokens appears twice in a row; the kind is empty when
     ``m`` exceeds the number of content tokens."""
-    r = _ranked(token_rows(prep, id_col), "duplication", n_each, seed, id_col)
-    r = r.withColumn("chosen", F.coalesce(F.col("rank") <= F.col("m"), F.lit(False))).withColumn(
-        "fill", F.lit(None).cast("string"))
-    expr = lambda a: _join_toks(F.flatten(F.transform(
-        a, lambda x: F.when(x["chosen"], F.array(x["tok"], x["tok"])).otherwise(F.array(x["tok"])))))
-    out = _assemble(r, prep, n_each, id_col, "duplication", expr)
-    return out.filter(F.col("m") <= F.col("n_content")).drop("m", "n_content")
-
-
-def _swap_pos(seed: int, id_col: str, j: Column, step: Column, side: str, n: Column) -> Column:
-    h = _hash(seed, id_col, "swap", j, step, F.lit(side))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), n.cast("long")).cast("int")
+    return _rows(prep, "duplication", _duplications(n_each, seed, id_col), id_col)
 
 
 def swap_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed: int = SEED,
                    id_col: str = "sample_id") -> DataFrame:
     """``m`` sequential swaps of two hash-chosen positions over all tokens (positions may repeat)."""
-    base = prep.select(id_col, "tokens", "n_tok", "m", F.explode(F.sequence(F.lit(0), F.lit(n_each - 1))).alias("j"))
-    n = F.col("n_tok")
-    j = F.col("j")
-
-    def step(acc: Column, s: Column) -> Column:
-        a = _swap_pos(seed, id_col, j, s, "a", n)
-        b = _swap_pos(seed, id_col, j, s, "b", n)
-        return F.transform(acc, lambda x, i: F.when(i == a, F.element_at(acc, b + 1))
-                           .when(i == b, F.element_at(acc, a + 1)).otherwise(x))
-
-    swapped = F.when(F.col("m") > 0, F.aggregate(F.sequence(F.lit(1), F.col("m")), F.col("tokens"), step)).otherwise(
-        F.col("tokens"))
-    return base.select(id_col, F.lit("swap").alias("kind"), "j", _join_toks(swapped).alias("neighbor"))
+    return _rows(prep, "swap", _swaps(n_each, seed, id_col), id_col)
 
 
 # --------------------------------------------------------------------------- N08
-def context_model(corpus_tokens: DataFrame, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fill tables from token rows ``(id, pos, tok)``: best middle per (left, right), best follower per left,
+def context_model(prep: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fill tables from the ``tokens`` of all samples: best middle per (left, right), best follower per left,
     and the most frequent token. Ties go to the smallest token."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    t = corpus_tokens.select(id_col, "pos", "tok", F.lag("tok").over(w).alias("left"),
-                             F.lead("tok").over(w).alias("right"))
+    seen = prep.select(F.explode(F.transform("tokens", lambda t, i: F.struct(
+        t.alias("tok"), F.when(i > 0, F.get(F.col("tokens"), i - 1)).alias("left"), F.get(F.col("tokens"), i + 1).alias("right")))).alias("x"))
+    t = seen.select("x.tok", "x.left", "x.right")
 
     def best(df: DataFrame, keys: list[str]) -> DataFrame:
-        c = df.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("n"))
-        top = c.groupBy(*keys).agg(F.max("n").alias("n"))
-        return c.join(top, [*keys, "n"]).groupBy(*keys).agg(F.min("tok").alias("fill"))
+        counts = df.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "tok")).alias("best")).select(
+            *keys, F.col("best.tok").alias("fill"))
 
     tri = best(t.filter(F.col("left").isNotNull() & F.col("right").isNotNull()), ["left", "right"])
     bi = best(t.filter(F.col("left").isNotNull()), ["left"])
-    uni = best(t.withColumn("_all", F.lit(1)), ["_all"]).select("fill")
-    return tri, bi, uni
+    uni = t.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("tok").asc()).limit(1)
+    return tri, bi, uni.select(F.col("tok").alias("fill"))
+
+
+def _substitutions(prep: DataFrame, n_each: int, seed: int, id_col: str, model: tuple | None) -> DataFrame:
+    """``(id, subs)``: the substitution neighbours of every sample that has masked positions, in order."""
+    tri, bi, uni = model or context_model(prep)
+    masks = prep.select(id_col, "tokens", F.posexplode(_each(n_each, lambda j: _chosen("substitution", j, seed, id_col))).alias("j", "places"))
+    at = F.transform("places", lambda p: F.struct(
+        p.alias("pos"), F.when(p > 0, F.get(F.col("tokens"), p - 1)).alias("left"), F.get(F.col("tokens"), p + 1).alias("right")))
+    masked = masks.select(id_col, "j", F.explode(at).alias("x")).select(id_col, "j", "x.pos", "x.left", "x.right")
+    contexts = masked.select("left", "right").distinct()
+    fills = contexts.join(tri.withColumnRenamed("fill", "f3"), ["left", "right"], "left").join(
+        bi.withColumnRenamed("fill", "f2"), ["left"], "left").crossJoin(F.broadcast(uni.withColumnRenamed("fill", "f1")))
+    fills = fills.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("f3", "f2", "f1").alias("fill"))
+    filled = masked.join(fills, F.col("left").eqNullSafe(F.col("_l")) & F.col("right").eqNullSafe(F.col("_r")))
+    # at most 40 masks for each of a sample's neighbours
+    per = filled.groupBy(id_col).agg(F.collect_list(F.struct("j", "pos", "fill")).alias("masks"))
+
+    def one(j: Column) -> Column:
+        mine = F.map_from_entries(F.transform(F.filter("masks", lambda x: x["j"] == j), lambda x: F.struct(x["pos"], x["fill"])))
+        return let(mine, lambda m: _join_toks(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(m, i), t))))
+
+    return prep.select(id_col, "tokens").join(per, id_col).select(id_col, _each(n_each, one).alias("subs"))
+
+
+def _with_substitutions(prep: DataFrame, n_each: int, seed: int, id_col: str, model: tuple | None) -> DataFrame:
+    """``prep`` with ``subs``; unmasked samples keep their text, failed ones (no content to mask) have none."""
+    plain = F.when((F.col("n_content") > 0) | (F.col("m") == 0), _each(n_each, lambda j: _join_toks(F.col("tokens")))).otherwise(
+        F.array().cast("array<string>"))
+    out = prep.join(_substitutions(prep, n_each, seed, id_col, model), id_col, "left")
+    return out.withColumn("subs", F.coalesce("subs", plain))
 
 
 def substitution_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed: int = SEED,
@@ -167,41 +193,25 @@ def substitution_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed
     at a time); a sample without content tokens yields no substitution
     neighbours, as a failed fill does in the reference.
     """
-    rows = token_rows(prep, id_col)
-    tri, bi, uni = model or context_model(rows, id_col)
-    w = Window.partitionBy(id_col).orderBy("pos")
-    ctx = rows.withColumn("left", F.lag("tok").over(w)).withColumn("right", F.lead("tok").over(w))
-    r = _ranked(ctx, "substitution", n_each, seed, id_col)
-    r = r.withColumn("chosen", F.coalesce(F.col("rank") <= F.col("m"), F.lit(False)))
-    masked = r.filter("chosen").join(tri.withColumnRenamed("fill", "f3"), ["left", "right"], "left").join(
-        bi.withColumnRenamed("fill", "f2"), ["left"], "left").crossJoin(F.broadcast(uni.withColumnRenamed("fill", "f1")))
-    masked = masked.withColumn("fill", F.coalesce("f3", "f2", "f1")).select(id_col, "j", "pos", "fill")
-    r = r.join(masked, [id_col, "j", "pos"], "left")
-    expr = lambda a: _join_toks(F.transform(a, lambda x: F.when(x["chosen"], x["fill"]).otherwise(x["tok"])))  # noqa
-    out = _assemble(r, prep, n_each, id_col, "substitution", expr)
-    return out.filter((F.col("n_content") > 0) | (F.col("m") == 0)).drop("m", "n_content")
+    return _rows(_with_substitutions(prep, n_each, seed, id_col, model), "substitution", F.col("subs"), id_col)
 
 
 # --------------------------------------------------------------------------- N09
+def _named(kind: str):
+    return lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("neighbor"))
+
+
 def neighbors(samples: DataFrame, text: str = "input", id_col: str = "sample_id", n: int = N_NEIGHBORS,
               seed: int = SEED, max_len: int = MAX_TEXT_LEN) -> DataFrame:
     """``n // 4`` neighbours of each kind in the order substitution, deletion, duplication, swap;
     long form ``(id, k, kind, neighbor)`` with ``k`` dense over the kinds that succeeded."""
-    prep = prepare(samples, text, id_col, max_len).cache()
     each = n // 4
-    parts = [
-        substitution_neighbors(prep, each, seed, id_col),
-        deletion_neighbors(prep, each, seed, id_col),
-        duplication_neighbors(prep, each, seed, id_col),
-        swap_neighbors(prep, each, seed, id_col),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    order = F.when(F.col("kind") == "substitution", 0).when(F.col("kind") == "deletion", 1).when(
-        F.col("kind") == "duplication", 2).otherwise(3)
-    k = F.row_number().over(Window.partitionBy(id_col).orderBy(order, F.col("j"))) - 1
-    return out.select(id_col, k.cast("int").alias("k"), "kind", "neighbor")
+    prep = _with_substitutions(prepare(samples, text, id_col, max_len), each, seed, id_col, None)
+    kinds = ((F.col("subs"), KINDS[0]), (_deletions(each, seed, id_col), KINDS[1]), (_duplications(each, seed, id_col), KINDS[2]),
+             (_swaps(each, seed, id_col), KINDS[3]))
+    rows = [F.transform(texts, _named(kind)) for texts, kind in kinds]
+    out = prep.select(id_col, F.posexplode(F.concat(*rows)).alias("k", "x"))
+    return out.select(id_col, "k", "x.kind", "x.neighbor")
 
 
 # --------------------------------------------------------------------------- N10

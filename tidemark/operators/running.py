@@ -1,19 +1,13 @@
 """Running totals over a global order without a single-partition window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
-Here the ordered rows are range-partitioned into slices, each slice computes
-its local running sums with a window partitioned by ``(slice, group)``, and a
-per-slice totals table (at most ``slices + groups`` rows) supplies the offset
-of every earlier slice. Both branches read one range exchange, which Spark
-reuses within a query (``ReusedExchange`` in the plan), so the sampled
-bounds are shared and retried map tasks use the same partitioner. When
-exchange reuse is switched off, or ``stable=True`` is asked for, the input is
-first materialised in the reliable checkpoint folder instead.
-
-Small inputs take a checked fast path: when a bounded count proves at most
-``max_local_rows`` rows (the input is normally an aggregate, such as one row
-per distinct score), the running sums are one window partitioned by the
-groups, which saves the slice bookkeeping stages.
+Here the rows are range-partitioned into slices once, each row is written to
+the reliable checkpoint folder together with its slice number, and both
+branches read that one table: local running sums in a window partitioned by
+``(slice, group)``, and a per-slice totals table (at most ``slices + groups``
+rows) that gives the offset of every earlier slice. The slice is stored with
+the row, so the branches agree whatever columns they read, however often a
+task is repeated, and at every size.
 """
 
 from __future__ import annotations
@@ -27,9 +21,7 @@ from tidemark.session import cut_lineage
 
 
 def _slices(df: DataFrame, n_slices: int | None) -> int:
-    if n_slices:
-        return n_slices
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return n_slices or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_totals(
@@ -39,40 +31,34 @@ def running_totals(
     sum_cols: Sequence[str],
     prefix: str = "cum_",
     n_slices: int | None = None,
-    stable: bool = False,
-    max_local_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add inclusive running sums ``{prefix}{c}`` of ``sum_cols`` per group along ``order_cols``.
 
     ``(group_cols, order_cols)`` must identify rows uniquely (aggregate first).
-    ``max_local_rows=0`` skips the size check and always uses the sliced plan.
     """
-    group_cols = list(group_cols)
-    if max_local_rows > 0 and df.limit(max_local_rows + 1).count() <= max_local_rows:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-    reuse = df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "true"
-    base = cut_lineage(df) if (stable or not reuse) else df
-    n = _slices(df, n_slices)
-    ranged = base.repartitionByRange(n, *[F.col(g) for g in group_cols], *order_cols).withColumn(
-        "_slice", F.spark_partition_id()
+    groups = list(group_cols)
+    sliced = cut_lineage(
+        df.repartitionByRange(_slices(df, n_slices), *[F.col(g) for g in groups], *order_cols)
+        .withColumn("_slice", F.spark_partition_id())
     )
-    w_local = (
-        Window.partitionBy("_slice", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("_slice", *groups).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.select("*", *[F.sum(c).over(along).alias(f"_loc_{c}") for c in sum_cols])
+    totals = sliced.groupBy("_slice", *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    # offsets: a join of the totals with those of earlier slices, at most (slices + groups) rows on either side
+    now, past = totals.alias("now"), totals.alias("past")
+    earlier = F.col("past._slice") < F.col("now._slice")
+    for g in groups:
+        earlier = earlier & F.col(f"past.{g}").eqNullSafe(F.col(f"now.{g}"))
+    offsets = now.join(past, earlier, "left").groupBy("now._slice", *[f"now.{g}" for g in groups]).agg(
+        *[F.coalesce(F.sum(f"past._tot_{c}"), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
     )
-    local = ranged.select("*", *[F.sum(c).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
-    totals = ranged.groupBy("_slice", *group_cols).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_slice",
-        *group_cols,
-        *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+    offsets = offsets.select(
+        F.col("_slice").alias("_at"), *[F.col(g).alias(f"_of_{g}") for g in groups], *[f"_off_{c}" for c in sum_cols]
     )
-    if not group_cols:
-        # one row per slice: bounded by the slice count, safe to broadcast
-        offsets = F.broadcast(offsets)
-    joined = local.join(offsets, ["_slice", *group_cols])
-    out_cols = [c for c in base.columns]
+    same = F.col("_slice") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    joined = local.join(offsets if groups else F.broadcast(offsets), same)
     return joined.select(
-        *out_cols, *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols]
+        *df.columns, *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols]
     )

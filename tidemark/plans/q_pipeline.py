@@ -163,6 +163,7 @@ from tidemark.operators import deltas as DL  # noqa: E402
 from tidemark.operators import embed as EM  # noqa: E402
 from tidemark.operators import loss as LO  # noqa: E402
 from tidemark.operators import normalize as NZ  # noqa: E402
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table  # noqa: E402
 
 class _Toks:
@@ -279,16 +280,15 @@ _L06_CTES = (
 def _losses(spark, sf_dir, samples=None, nbrs=None):
     s = samples if samples is not None else V.samples(spark, sf_dir)
     nb = nbrs if nbrs is not None else N.neighbors(s)
-    a = LO.loss_stage(s, nb, _lm(spark, sf_dir, 0), "ngram-a", 1)
-    b = LO.loss_stage(s, nb, _lm(spark, sf_dir, 1), "ngram-b", 0)
-    return a.unionByName(b)
+    return LO.loss_stages(s, nb, {"ngram-a": (_lm(spark, sf_dir, 0), 1), "ngram-b": (_lm(spark, sf_dir, 1), 0)})
 
 
 @query("l06_loss_stage", f"WITH {_L06_CTES} SELECT sample_id, CAST(k AS BIGINT) AS k, model_name, "
        "CAST(label AS BIGINT) AS label, round(neighbor_loss, 6) AS neighbor_loss, round(input_loss, 6) AS input_loss "
        "FROM losses")
 def l06(spark, sf_dir):
-    return _losses(spark, sf_dir)
+    s = V.samples(spark, sf_dir)
+    return _losses(spark, sf_dir, s, cut_lineage(N.neighbors(s)))
 
 
 @query(
@@ -451,9 +451,9 @@ _DELTA_SQL = (
 
 def _deltas(spark, sf_dir):
     s = V.samples(spark, sf_dir)
-    nb = N.neighbors(s).cache()
-    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"])
-    return DL.build_deltas(s, embeds, _losses(spark, sf_dir, s, nb))
+    nb = cut_lineage(N.neighbors(s))  # every later stage reads the neighbours from here
+    embeds = cut_lineage(EM.embed_vectors(s, nb))
+    return cut_lineage(DL.build_deltas(s, embeds, _losses(spark, sf_dir, s, nb)))
 
 
 @query("d07_build_deltas", f"WITH {_DELTA_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, ds_name, model_name, "
@@ -476,7 +476,7 @@ def d07(spark, sf_dir):
 def z06(spark, sf_dir):
     d = _deltas(spark, sf_dir)
     stats = NZ.loss_mean_var(d)
-    out = NZ.assemble(d, "fimmia", "std", stats)
+    out = NZ.assemble(d, "BaseLineLossNormSTD", "std", stats)
     return out.select("sample_id", "k", "model_name", "loss_feature", F.size("features").alias("n_features"),
                       l2_norm("features").alias("features_l2"))
 
@@ -489,7 +489,7 @@ def z06(spark, sf_dir):
 def d01(spark, sf_dir):
     s = V.samples(spark, sf_dir)
     nb = N.neighbors(s)
-    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"]).filter(F.col("k") >= 0)
+    embeds = EM.embed_vectors(s, nb).filter(F.col("k") >= 0)
     return DL.align(embeds, _losses(spark, sf_dir, s, nb)).groupBy("model_name", "label").agg(
         F.count(F.lit(1)).alias("n_rows"))
 
@@ -502,7 +502,7 @@ def d01(spark, sf_dir):
 def d01b(spark, sf_dir):
     s = V.samples(spark, sf_dir)
     nb = N.neighbors(s)
-    embeds = EM.to_vectors(EM.embed_stage(s, nb), ["sample_id", "k"]).filter(F.col("k") >= 0)
+    embeds = EM.embed_vectors(s, nb).filter(F.col("k") >= 0)
     losses = _losses(spark, sf_dir, s, nb).filter(F.col("model_name") == "ngram-a")
     u = DL.unmatched(embeds, losses)
     return u.groupBy("only_in").agg(F.count(F.lit(1)).alias("n"))
