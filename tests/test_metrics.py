@@ -61,18 +61,69 @@ def test_roc_auc_tpr(spark, name):
     assert rep["tpr05"] == pytest.approx(last05)
 
 
-def test_distributed_running_totals_match_window(spark):
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_running_totals_match_window_with_spare_columns(spark, tmp_path, parts):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from tidemark.operators.running import running_totals
 
-    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
-    sliced = running_totals(df, ["g"], [F.col("o").desc()], ["v"], max_local_rows=0, n_slices=5)
-    w = Window.partitionBy("g").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    path = str(tmp_path / "rows")
+    spark.range(400_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("o"), (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("v"),
+        F.lit(1).cast("long").alias("one"), F.repeat(F.lit("spare text "), 3).alias("text")).repartition(parts).write.parquet(path)
+    df = spark.read.parquet(path)
+    ranks = running_totals(df, [], [F.col("o").desc()], ["one"], n_slices=parts).select("cum_one")
+    r = ranks.agg(F.countDistinct("cum_one").alias("d"), F.max("cum_one").alias("m"), F.count("*").alias("n")).first()
+    assert (r["d"], r["m"], r["n"]) == (400_000, 400_000, 400_000)
+    grouped = running_totals(df, ["g"], [F.col("o").asc()], ["v"], n_slices=parts)
+    w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.select("g", "o", F.sum("v").over(w).alias("ref"))
-    bad = sliced.join(ref, ["g", "o"]).filter(F.col("cum_v") != F.col("ref")).count()
-    assert bad == 0 and sliced.count() == 5000
+    assert grouped.join(ref, ["g", "o"]).filter(F.col("cum_v") != F.col("ref")).count() == 0 and grouped.count() == 400_000
+
+
+def test_auroc_of_many_distinct_scores(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(400_000).select("id", F.rand(3).alias("score"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("label"),
+                                     F.lit("spare").alias("text"))
+    got = M.auroc(df).first()["auroc"]
+    pdf = df.select("score", "label").toPandas().sort_values("score")
+    ranks = np.arange(1, len(pdf) + 1)
+    n1 = int(pdf.label.sum())
+    want = (ranks[pdf.label.to_numpy() == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(pdf) - n1))
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_naive_bayes_in_one_plan_equals_fold_by_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import bow_attack as B
+    from tidemark.operators import naive_bayes as NB
+    from tidemark.operators import text_features as TF
+
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame(
+        [(i, " ".join(words[(i * 7 + j * j) % 12] for j in range(3 + i % 5)), int(i % 3 == 0)) for i in range(60)], "doc_id long, text string, label int")
+    folded = B._folded(docs, "original", "doc_id", "label", 3, 42)
+    trials = [{"max_features": 5, "vectorizer": "count", "model_type": "multi"}, {"max_features": 8, "vectorizer": "tf", "model_type": "gaussian"}]
+    got = {(r.trial, r.doc_id): r.proba for r in B._scores(docs, folded, trials, "doc_id", "text", "label").collect()}
+    assert len(got) == 120
+    rows = folded.join(docs.select("doc_id", "text"), "doc_id")
+    for t, p in enumerate(trials):
+        for f in range(3):
+            long, voc = TF.fit_transform(rows, F.col("fold") != f, p["max_features"], p["vectorizer"])
+            tr, te = F.col("fold") != f, F.col("fold") == f
+            if p["model_type"] == "multi":
+                lab = long.join(rows.select("doc_id", "label", "fold"), "doc_id")
+                params, priors = NB.multinomial_fit(lab.filter(tr), rows.filter(tr).select("doc_id", "label"), voc.count())
+                ref = NB.multinomial_predict(params, priors, lab.filter(te).drop("label"), rows.filter(te).select("doc_id"))
+            else:
+                dense = TF.dense(long, rows.select("doc_id", "label", "fold"), voc.count())
+                params, priors = NB.gaussian_fit(dense.filter(tr))
+                ref = NB.gaussian_predict(params, priors, dense.filter(te).drop("label"))
+            for r in ref.collect():
+                assert got[t, r.doc_id] == pytest.approx(r.proba, abs=1e-9)
 
 
 def test_softmax_and_sample_scores(spark):
