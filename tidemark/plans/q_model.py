@@ -41,7 +41,7 @@ def m06(spark, sf_dir):
     feats = NZ.assemble(d, "BaseLineLossNormSTD", "std", NZ.loss_mean_var(d))
     split = train_test_split(feats, "sample_id", 0.3).cache()
     dim = 1 + 64
-    model = AT.train(split.filter(~F.col("is_test")), dim, max_iter=50)
+    model = AT.train(split.filter(~F.col("is_test")), dim)
     preds = AT.predict(model, split.filter(F.col("is_test")), ["sample_id", "k", "ds_name", "model_name"])
     scores = M.sample_scores(preds, ["ds_name", "model_name", "sample_id"], "score", "label")
     return M.metrics_table(scores, by=["ds_name"])
