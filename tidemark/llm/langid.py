@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.util import LOWER, Finder, Hashes, distinct_words, scan, steps, stored, text_bytes
+from tidemark.llm.util import LOWER, Finder, Hashes, distinct_words, ragged, scan, steps, stored, text_bytes
 
 UNKNOWN = "und"
 #: Bytes of a word that one lattice covers; longer words are cut into parts of this many bytes.
@@ -123,21 +123,22 @@ def language_words(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
                 table = pa.Table.from_batches([batch]).filter(pc.equal(batch.column(0), value))
                 data, offsets = text_bytes(table["t"])
                 data = LOWER[data]
-                counts: dict[int, list] = {}
+                found: list[tuple] = []
                 for i, j in steps(offsets):
                     part = data[offsets[i] : offsets[j]]
                     keys, starts, ends, inverse, _ = distinct_words(part, offsets[i : j + 1] - offsets[i])
-                    n = np.bincount(inverse, minlength=len(keys))
-                    raw = part.tobytes()
-                    for k, a, b, c in zip(keys.tolist(), starts.tolist(), ends.tolist(), n.tolist()):
-                        held = counts.get(k)
-                        if held is None:
-                            counts[k] = [raw[a:b], c]
-                        else:
-                            held[1] += c
-                if counts:
-                    found, n = zip(*counts.values())
-                    yield pa.RecordBatch.from_arrays([pa.array([value.as_py()] * len(n)), pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+                    found.append((keys, np.bincount(inverse, minlength=len(keys)), ends - starts, ragged(part, starts, ends - starts)))
+                keys, n, lengths, flat = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+                unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                if len(unique):
+                    begin = np.cumsum(lengths) - lengths
+                    at = np.concatenate(([0], np.cumsum(lengths[first]))).astype(np.int32)
+                    chosen = pa.Array.from_buffers(
+                        pa.binary(), len(unique), [None, pa.py_buffer(at), pa.py_buffer(ragged(flat, begin[first], lengths[first]))]
+                    )
+                    names = pa.array([value.as_py()]).take(pa.array(np.zeros(len(unique), np.int64)))
+                    total = np.bincount(inverse, n, len(unique)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([names, chosen, pa.array(total)], ["lang", "word", "n"])
 
         return work
 
@@ -213,11 +214,14 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, text_co
                 logs = np.zeros((len(keys) + 1, len(names)))
                 for rows, m in lattice.parts(part, starts, ends):
                     np.add.at(logs, rows, np.log(lattice.forward(m, lattice.ids(m), prob)[-1]))
-                sums = np.concatenate((np.zeros((1, len(names))), np.cumsum(logs[inverse], axis=0)))
-                total[i:j] = sums[first[1:]] - sums[first[:-1]]
-            ascii_letter = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum((data >= 97) & (data <= 122), out=ascii_letter[1:])
-            letters = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                for k in range(len(names)):
+                    total[i:j, k] = np.bincount(row, logs[inverse, k], j - i)
+            letters = np.zeros(batch.num_rows, bool)
+            for i, j in steps(offsets):
+                part = data[offsets[i] : offsets[j]]
+                count = np.concatenate(([0], np.cumsum((part >= 97) & (part <= 122), dtype=np.int32)))
+                letters[i:j] = np.diff(count[offsets[i : j + 1] - offsets[i]]) > 0
             for k in np.flatnonzero(~letters & (np.diff(offsets) > 0)).tolist():
                 letters[k] = has_letter(texts[k].as_py() or "")
             known = letters & bool(names)

@@ -19,7 +19,7 @@ DISCOUNT = 0.5
 WORD, GRAM, ROW = 0, 1, -1
 END_KEY = -1
 #: Most frequent words and byte strings that are sent to every task; the others are joined.
-HEAD_ROWS = 1 << 20
+HEAD_ROWS = 1 << 19
 
 
 def symbol_grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:

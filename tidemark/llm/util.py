@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tidemark.session import ensure_checkpoint_dir
 
 #: Bytes of text that one numpy step works on (a longer document is one step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -91,9 +91,11 @@ _powers: dict[str, np.ndarray] = {}
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        one = np.full(max(n, STEP_BYTES + 4096), base, np.uint64)
-        one[0] = 1
-        _powers[kind] = have = np.cumprod(one, dtype=np.uint64)
+        have = np.full(max(n, STEP_BYTES + 4096), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if n <= 4 * STEP_BYTES:  # the powers for a very long text are not kept
+            _powers[kind] = have
     return have[:n]
 
 
@@ -117,7 +119,9 @@ class Hashes:
     def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(byte_codes(seed)[data] * _power("up", _MULTIPLIER, n), out=self.sums[1:])
+        np.take(byte_codes(seed), data, out=self.sums[1:])
+        self.sums[1:] *= _power("up", _MULTIPLIER, n)
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * _power("down", _INVERSE, len(self.sums))[starts]
