@@ -91,25 +91,35 @@ def fit_linear(df: DataFrame, features: str = "features", label: str = "label"):
     return LogisticRegression(featuresCol="_vec", labelCol="_y", maxIter=100).fit(_ml_in(df, features, label))
 
 
-def integrated_gradients_linear(df: DataFrame, coef: Sequence[float], features: str = "features") -> DataFrame:
-    """Per-feature attribution ``x_i · w_i`` (zero baseline, class-1 logit); ``attr_sum`` = f(x) − f(0)."""
+def _toward(label: str | None) -> Column:
+    """The sign of the class-1 logit in the logit of the row's own class."""
+    return F.lit(1.0) if label is None else F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
+
+
+def integrated_gradients_linear(df: DataFrame, coef: Sequence[float], features: str = "features",
+                                label: str | None = None) -> DataFrame:
+    """Per-feature attribution ``x_i · w_i`` (zero baseline); ``attr_sum`` = f(x) − f(0).
+
+    With ``label`` f is the logit of the row's own class, else that of class 1.
+    """
     w = F.array(*[F.lit(float(c)) for c in coef])
-    attr = F.zip_with(F.col(features), w, lambda x, c: x * c)
+    attr = F.zip_with(F.col(features), w, lambda x, c: x * c * _toward(label))
     return df.withColumn("attr", attr).withColumn(
         "attr_sum", F.aggregate(F.col("attr"), F.lit(0.0), lambda a, v: a + v))
 
 
 def smoothgrad_linear(df: DataFrame, coef: Sequence[float], id_col: str, samples: int = SMOOTHGRAD_SAMPLES,
                       sigma: float = SMOOTHGRAD_SIGMA, seed: int = 42, features: str = "features") -> DataFrame:
-    """Mean attribution over ``samples`` noisy copies (seeded Gaussian noise); bounded fan-out per row."""
-    copies = df.select(id_col, features, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_s"))
-    noisy = copies.withColumn(
-        features, F.transform(F.col(features), lambda x, i: x + sigma * _gauss(F.col(id_col), F.col("_s"), i, seed)))
-    attr = integrated_gradients_linear(noisy, coef, features)
-    exploded = attr.select(id_col, F.posexplode("attr").alias("i", "a"))
-    mean = exploded.groupBy(id_col, "i").agg(F.avg("a").alias("a"))
-    return mean.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("_p")).select(
-        id_col, F.transform("_p", lambda p: p["a"]).alias("attr"))
+    """Mean attribution over ``samples`` noisy copies (seeded Gaussian noise), averaged within the row.
+
+    A linear attribution of a noisy copy is ``(x + σ·e) · w``, so the mean is that of the noise, no copies are made.
+    """
+    w = F.array(*[F.lit(float(c)) for c in coef])
+    copies = F.sequence(F.lit(1), F.lit(samples))
+    noise = lambda i: F.aggregate(
+        copies, F.lit(0.0), lambda a, s: a + _gauss(F.col(id_col), s, i, seed)) / samples
+    noisy = F.transform(F.col(features), lambda x, i: x + sigma * noise(i))
+    return df.select(id_col, F.zip_with(noisy, w, lambda x, c: x * c).alias("attr"))
 
 
 def _gauss(id_col: Column, s: Column, i: Column, seed: int) -> Column:
@@ -125,6 +135,14 @@ def attr_norms(df: DataFrame, attr: str = "attr") -> DataFrame:
     return df.withColumn("attr_linf", linf_norm(attr)).withColumn("attr_l2", l2_norm(attr))
 
 
+def attr_quantiles(df: DataFrame, value: str, label: str = "label",
+                   probabilities: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Per-label exact quantiles (linear between neighbours) of a scalar attribution, ``(label, q, value)``."""
+    ps = F.array(*[F.lit(float(p)) for p in probabilities])
+    got = df.groupBy(label).agg(F.percentile(F.col(value), ps).alias("v"))
+    return got.select(label, F.inline(F.arrays_zip(ps.alias("q"), F.col("v").alias("value"))))
+
+
 def attr_summary(df: DataFrame, value: str, label: str = "label", bins: int = 20, lo: float | None = None,
                  hi: float | None = None) -> DataFrame:
     """Per-label histogram of a scalar attribution (equal-width bins over [lo, hi])."""

@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
+
 # Frame sampling constants, histogram bins and DCT size used by the reference.
 FPS = 2.0
 FRAME_FACTOR = 2
@@ -25,6 +27,7 @@ HIST_BINS = 32
 DCT_N = 20
 TILE = 8
 FRAME_LENGTH = 2048  # analysis frame of the audio features
+HOP_LENGTH = 512
 ZERO_THRESHOLD = 1e-10
 
 
@@ -118,38 +121,69 @@ def dct_features(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels
 
 # --------------------------------------------------------------------------- waveforms
 def audio_temporal(waves: DataFrame, id_col: str = "aud_id", samples: str = "samples",
-                   frame_length: int = FRAME_LENGTH) -> DataFrame:
-    """H39 (single-frame mode): zero-crossing rate and RMS of a waveform shorter than one analysis frame."""
-    s = F.col(samples)
-    signs = F.transform(s, lambda x: F.when(x < -ZERO_THRESHOLD, F.lit(1)).otherwise(F.lit(0)))
-    changes = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(s), F.lit(2))), F.lit(0),
-                          lambda acc, i: acc + F.when(
-                              (i <= F.size(s)) & (F.element_at(signs, i) != F.element_at(signs, i - 1)), 1).otherwise(0))
-    energy = F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x)
-    return waves.select(id_col, (changes / float(frame_length)).alias("zcr"),
-                        F.sqrt(energy / float(frame_length)).alias("rms"))
+                   frame_length: int = FRAME_LENGTH, hop: int = HOP_LENGTH) -> DataFrame:
+    """Zero-crossing rate and RMS, means over centred frames of the whole waveform.
+
+    Frame ``f`` covers the samples ``f·hop ± frame_length / 2``; what lies outside repeats the edge (no crossing) and is
+    silent (no energy). A waveform shorter than one hop has one frame.
+    """
+    half = frame_length // 2
+    x = F.col(samples)
+    signs = F.transform(x, lambda v: F.when(v < -ZERO_THRESHOLD, F.lit(1)).otherwise(F.lit(0)))
+    changes = let(signs, lambda g: F.transform(g, lambda v, i: F.when((i > 0) & (v != F.get(g, i - 1)), 1.0).otherwise(0.0)))
+    power = F.transform(x, lambda v: v * v)
+
+    def frames(values: Column, first: int, last: int, one) -> Column:
+        def each(v: Column, f: Column) -> Column:
+            lo = F.greatest(f * hop + first, F.lit(0))
+            hi = F.least(f * hop + last, F.size(v) - 1)
+            part = F.slice(v, lo + 1, F.greatest(hi - lo + 1, F.lit(0)))
+            return one(F.aggregate(part, F.lit(0.0), lambda a, y: a + y) / float(frame_length))
+
+        count = F.floor(F.size(x) / F.lit(hop)).cast("int")
+        per = let(values, lambda v: F.transform(F.sequence(F.lit(0), count), lambda f: each(v, f)))
+        return F.aggregate(per, F.lit(0.0), lambda a, y: a + y) / (count + 1)
+
+    return waves.select(id_col, frames(changes, 1 - half, half - 1, lambda m: m).alias("zcr"),
+                        frames(power, -half, half - 1, F.sqrt).alias("rms"))
 
 
 # --------------------------------------------------------------------------- H37
+def whitener(train: DataFrame, n: int, features: str = "features"):
+    """Fit standardisation (population std) and ``n`` whitened principal components on ``train``.
+
+    Returns a function that adds the projection of any frame as ``out``. ``n`` is capped by ``min(rows, columns)``.
+    """
+    dim = len(train.select(features).first()[0])
+    rows = train.count()
+    n = max(1, min(n, dim, rows))
+    x = train.withColumn("_v", array_to_vector(F.col(features)))
+    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(x)
+    # Spark's scaler divides by the sample std; rescale to the population std
+    widen = math.sqrt(rows / max(rows - 1, 1))
+
+    def scaled(df: DataFrame) -> DataFrame:
+        out = scaler.transform(df.withColumn("_v", array_to_vector(F.col(features))))
+        return out.withColumn("_s", array_to_vector(F.transform(vector_to_array("_s"), lambda v: v * widen)))
+
+    pca = PCA(k=n, inputCol="_s", outputCol="_p").fit(scaled(train))
+    # a constant column has no variance; every other one has rows / (rows - 1) after scaling
+    total = widen * widen * sum(1 for v in scaler.std.toArray() if v > 0)
+    scale = F.array(*[F.lit(1.0 / math.sqrt(max(float(v) * total, 1e-12))) for v in pca.explainedVariance.toArray()])
+
+    def project(df: DataFrame, out: str = "reduced") -> DataFrame:
+        proj = pca.transform(scaled(df)).withColumn(out, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b))
+        return proj.drop("_v", "_s", "_p")
+
+    return project
+
+
 def reduce_dims(df: DataFrame, n: int, features: str = "features", out: str = "reduced") -> DataFrame:
     """Standardise (population std) and project on ``n`` whitened principal components.
 
     ``n`` is capped by ``min(rows, columns)``.
     """
-    dim = len(df.select(features).first()[0])
-    rows = df.count()
-    n = max(1, min(n, dim, rows))
-    x = df.withColumn("_v", array_to_vector(F.col(features)))
-    scaled = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(x).transform(x)
-    # Spark's scaler divides by the sample std; rescale to the population std
-    scaled = scaled.withColumn("_s", array_to_vector(F.transform(vector_to_array("_s"),
-                                                                 lambda v: v * math.sqrt(rows / max(rows - 1, 1)))))
-    pca = PCA(k=n, inputCol="_s", outputCol="_p").fit(scaled)
-    var = [float(v) for v in pca.explainedVariance.toArray()]
-    total = sum((rows / max(rows - 1, 1)) for _ in range(dim))  # total variance of population-standardised data
-    scale = F.array(*[F.lit(1.0 / math.sqrt(max(v * total, 1e-12))) for v in var])
-    proj = pca.transform(scaled).withColumn(out, F.zip_with(vector_to_array("_p"), scale, lambda a, b: a * b))
-    return proj.drop("_v", "_s", "_p")
+    return whitener(df, n, features)(df, out)
 
 
 # --------------------------------------------------------------------------- P02
@@ -217,38 +251,66 @@ def embed_modality(df: DataFrame, key: str, id_col: str, value: str) -> DataFram
 
 
 # --------------------------------------------------------------------------- H40
+def mel_filters(sr: float, n_fft: int, n_mels: int):
+    """Triangular filters, evenly spaced on a scale that is linear up to 1 kHz and logarithmic above, of equal area."""
+    import numpy as np
+
+    step, knee, ratio = 200.0 / 3, 1000.0, np.log(6.4) / 27.0  # fixed values of the scale
+    to_mel = lambda f: np.where(f < knee, f / step, knee / step + np.log(np.maximum(f, 1e-9) / knee) / ratio)
+    to_hz = lambda m: np.where(m < knee / step, m * step, knee * np.exp(ratio * (m - knee / step)))
+    edges = to_hz(np.linspace(to_mel(np.array(0.0)), to_mel(np.array(sr / 2.0)), n_mels + 2))
+    freqs = np.fft.rfftfreq(n_fft, 1.0 / sr)
+    width = np.diff(edges)[:, None]
+    ramps = edges[:, None] - freqs[None, :]
+    filters = np.maximum(0.0, np.minimum(-ramps[:-2] / width[:-1], ramps[2:] / width[1:]))
+    return filters * (2.0 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def spectral_features(x, sr: float, n_fft: int = FRAME_LENGTH, hop: int = HOP_LENGTH, rolloff: float = 0.85, n_mfcc: int = 20, n_mels: int = 128):
+    """``(centroid, bandwidth, roll-off, cepstral coefficients)``, means over all centred frames of one waveform."""
+    import numpy as np
+
+    x = np.pad(np.asarray(x, dtype=float), n_fft // 2)
+    window = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n_fft) / n_fft)  # periodic Hann
+    count = 1 + (len(x) - n_fft) // hop
+    frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[:: hop][:count]
+    freqs, filters = np.fft.rfftfreq(n_fft, 1.0 / sr), mel_filters(sr, n_fft, n_mels)
+    k = np.arange(n_mels)
+    basis = np.cos(np.pi * np.arange(n_mfcc)[:, None] * (2 * k + 1) / (2 * n_mels)) * np.sqrt(2.0 / n_mels)
+    basis[0] /= np.sqrt(2.0)
+    sums, levels = np.zeros(3), []
+    for s in range(0, count, 256):  # a bounded number of frames at a time
+        mag = np.abs(np.fft.rfft(frames[s : s + 256] * window, axis=1))
+        total = mag.sum(axis=1, keepdims=True)
+        share = mag / np.where(total > 0, total, 1.0)
+        centre = (share * freqs).sum(axis=1)
+        sums[0] += centre.sum()
+        sums[1] += np.sqrt((share * (freqs - centre[:, None]) ** 2).sum(axis=1)).sum()
+        run = np.cumsum(mag, axis=1)
+        sums[2] += freqs[(run >= rolloff * run[:, -1:]).argmax(axis=1)].sum()
+        levels.append(10.0 * np.log10(np.maximum(1e-10, (mag**2) @ filters.T)))
+    db = np.concatenate(levels)
+    db = np.maximum(db, db.max() - 80.0)
+    return (*(sums / count).tolist(), (db @ basis.T).mean(axis=0).tolist())
+
+
 def audio_spectral(waves: DataFrame, id_col: str = "aud_id", samples: str = "samples", sr: str = "sr",
-                   n_fft: int = FRAME_LENGTH, rolloff: float = 0.85) -> DataFrame:
-    """H40 (single centred frame): spectral centroid, bandwidth and 85 % roll-off frequency per waveform.
+                   n_fft: int = FRAME_LENGTH, rolloff: float = 0.85, n_mfcc: int = 20) -> DataFrame:
+    """Spectral centroid, bandwidth, 85 % roll-off and ``n_mfcc`` cepstral coefficients of whole waveforms.
 
-    A small Arrow-batched numpy helper per row (one FFT of ``n_fft`` points).
+    Means over centred frames of ``n_fft`` samples (zeros outside, periodic Hann window).
     """
     import pandas as pd
 
-    def run(batches):
-        import numpy as np
+    kind = waves.schema[id_col].dataType.simpleString()
 
+    def run(batches):
         for pdf in batches:
-            cen, bw, ro = [], [], []
-            for x, rate in zip(pdf[samples], pdf[sr]):
-                x = np.asarray(x, dtype=float)
-                frame = np.zeros(n_fft)
-                start = n_fft // 2 - len(x) // 2 if len(x) < n_fft else 0
-                frame[start:start + min(len(x), n_fft)] = x[:n_fft]
-                mag = np.abs(np.fft.rfft(frame * np.hanning(n_fft)))
-                freqs = np.fft.rfftfreq(n_fft, 1.0 / float(rate))
-                tot = mag.sum()
-                if tot <= 0:
-                    cen.append(0.0), bw.append(0.0), ro.append(0.0)
-                    continue
-                c = float((freqs * mag).sum() / tot)
-                cen.append(c)
-                bw.append(float(np.sqrt(((freqs - c) ** 2 * mag).sum() / tot)))
-                cum = np.cumsum(mag)
-                ro.append(float(freqs[np.searchsorted(cum, rolloff * cum[-1])]))
-            yield pd.DataFrame({id_col: pdf[id_col], "centroid": cen, "bandwidth": bw, "rolloff": ro})
-
-    schema = f"{id_col} long, centroid double, bandwidth double, rolloff double"
+            rows = [spectral_features(x, float(rate), n_fft, rolloff=rolloff, n_mfcc=n_mfcc) for x, rate in zip(pdf[samples], pdf[sr])]
+            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+            yield pd.DataFrame({id_col: pdf[id_col], "centroid": list(cols[0]), "bandwidth": list(cols[1]), "rolloff": list(cols[2]), "mfcc": list(cols[3])})
+
+    schema = f"{id_col} {kind}, centroid double, bandwidth double, rolloff double, mfcc array<double>"
     return waves.select(id_col, samples, sr).mapInPandas(run, schema)
 
 
@@ -282,44 +344,48 @@ def visual_words(descriptors: DataFrame, k: int, id_col: str = "img_id", seed: i
                                                 .otherwise(vec).alias("features"))
 
 
-# --------------------------------------------------------------------------- H34, P01 (numpy helpers per row)
+# --------------------------------------------------------------------------- H34, P01 (numpy over Arrow batches)
+def lbp_counts(tiles, n: int, points: int = 8, radius: float = 1.0):
+    """Uniform local binary pattern counts of a stack of ``n``×``n`` tiles (bilinear neighbours, zero outside)."""
+    import numpy as np
+
+    img = np.asarray(tiles, dtype=float).reshape(-1, n, n)
+    edge = int(np.ceil(radius)) + 1
+    wide = np.pad(img, ((0, 0), (edge, edge), (edge, edge)))
+    angle = 2 * np.pi * np.arange(points) / points
+    # offsets are rounded, else sin(pi) is a hair below zero and equal neighbours compare as smaller
+    rows, cols = np.round(-radius * np.sin(angle), 5), np.round(radius * np.cos(angle), 5)
+    bits = []
+    place = np.arange(n)
+    for r, c in zip(rows, cols):
+        # fractions from the absolute places and columns before rows, so that rounding falls as in the usual formula
+        y, x = place + r, place + c
+        r0, c0 = np.floor(y).astype(int), np.floor(x).astype(int)
+        fr, fc = (y - r0)[None, :, None], (x - c0)[None, None, :]
+        at = lambda i, j: wide[:, (r0 + edge + i)[:, None], (c0 + edge + j)[None, :]]  # noqa: E731, B023
+        upper = (1 - fc) * at(0, 0) + fc * at(0, 1)
+        lower = (1 - fc) * at(1, 0) + fc * at(1, 1)
+        value = (1 - fr) * upper + fr * lower
+        bits.append(value - img >= 0)
+    bits = np.stack(bits)
+    turns = (bits != np.roll(bits, 1, axis=0)).sum(axis=0)
+    codes = np.where(turns <= 2, bits.sum(axis=0), points + 1).reshape(len(img), -1)
+    return (codes[:, :, None] == np.arange(points + 2)).sum(axis=1)
+
+
 def lbp_hist(tiles: DataFrame, id_col: str = "img_id", pixels: str = "pixels", n: int = TILE,
              points: int = 8, radius: float = 1.0) -> DataFrame:
-    """Uniform local binary pattern (P=8, R=1, bilinear neighbours, zero outside) → normalised
-    ``P + 2``-bin histogram per tile."""
+    """Uniform local binary pattern (P=8, R=1) → ``P + 2`` counts per tile."""
     import pandas as pd
 
-    def run(batches):
-        import numpy as np
-
-        ang = 2 * np.pi * np.arange(points) / points
-        dr, dc = -radius * np.sin(ang), radius * np.cos(ang)
-
-        def sample(img, r, c):
-            r0, c0 = int(np.floor(r)), int(np.floor(c))
-            fr, fc = r - r0, c - c0
-            val = 0.0
-            for rr, cc, w in ((r0, c0, (1 - fr) * (1 - fc)), (r0, c0 + 1, (1 - fr) * fc),
-                              (r0 + 1, c0, fr * (1 - fc)), (r0 + 1, c0 + 1, fr * fc)):
-                if 0 <= rr < n and 0 <= cc < n and w:
-                    val += w * img[rr, cc]
-            return val
+    kind = tiles.schema[id_col].dataType.simpleString()
 
+    def run(batches):
         for pdf in batches:
-            out = []
-            for px in pdf[pixels]:
-                img = np.asarray(px, dtype=float).reshape(n, n)
-                codes = []
-                for r in range(n):
-                    for c in range(n):
-                        bits = [1 if sample(img, r + dr[p], c + dc[p]) - img[r, c] >= 0 else 0 for p in range(points)]
-                        trans = sum(bits[p] != bits[(p + 1) % points] for p in range(points))
-                        codes.append(sum(bits) if trans <= 2 else points + 1)
-                h = np.bincount(codes, minlength=points + 2).astype(float)
-                out.append((h / h.sum()).tolist())
-            yield pd.DataFrame({id_col: pdf[id_col], "lbp": out})
-
-    return tiles.select(id_col, pixels).mapInPandas(run, f"{id_col} long, lbp array<double>")
+            counts = lbp_counts(pdf[pixels].tolist(), n, points, radius) if len(pdf) else []
+            yield pd.DataFrame({id_col: pdf[id_col], "lbp": [c.astype(float).tolist() for c in counts]})
+
+    return tiles.select(id_col, pixels).mapInPandas(run, f"{id_col} {kind}, lbp array<double>")
 
 
 def perturb_images(tiles: DataFrame, n_neighbors: int = 6, seed: int = 42, id_col: str = "img_id",

@@ -17,20 +17,15 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as M
 from tidemark.operators.classifiers import MEDIA_STACK, fit_predict
 from tidemark.operators.folds import permute_labels, stratified_folds
+from tidemark.operators.media import whitener
 
 
 def _project(train: DataFrame, test: DataFrame, k: int | None, features: str):
+    """Whitened components fitted on the training rows only."""
     if not k:
         return train, test
-    x = train.withColumn("_v", array_to_vector(F.col(features)))
-    sc = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(x)
-    pca = PCA(k=k, inputCol="_s", outputCol="_p").fit(sc.transform(x))
-
-    def apply(df):
-        z = pca.transform(sc.transform(df.withColumn("_v", array_to_vector(F.col(features)))))
-        return z.withColumn(features, vector_to_array("_p")).drop("_v", "_s", "_p")
-
-    return apply(train), apply(test)
+    project = whitener(train, k, features)
+    return tuple(project(df, "_reduced").drop(features).withColumnRenamed("_reduced", features) for df in (train, test))
 
 
 def cv_dense(df: DataFrame, model_type: str, fpr_budget_pct: float, id_col: str, features: str = "features",
@@ -44,7 +39,7 @@ def cv_dense(df: DataFrame, model_type: str, fpr_budget_pct: float, id_col: str,
     for f in range(k):
         tr, te = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
         tr, te = _project(tr, te, min(pca_dim, dim) if pca_dim else None, features)
-        p = fit_predict(model_type, tr, te, features, label, MEDIA_STACK).select(id_col, label, "proba") \
+        p = fit_predict(model_type, tr, te, features, label, MEDIA_STACK, id_col=id_col).select(id_col, label, "proba") \
             .withColumn("fold", F.lit(f))
         scored = p if scored is None else scored.unionByName(p)
     col = f"tpr_at_{M._pct_name(fpr_budget_pct)}fpr"
@@ -99,7 +94,7 @@ def joint_attack(docs: DataFrame, media: DataFrame, fpr_budget_pct: float = 1.0,
             continue
         dim = size + len(media.select("features").first()[0])
         tr, te = _project(tr, te, min(pca_dim, dim) if pca_dim else None, "features")
-        p = fit_predict(model_type, tr, te, "features", "label", MEDIA_STACK)
+        p = fit_predict(model_type, tr, te, "features", "label", MEDIA_STACK, id_col=id_col)
         rep = M.roc_report(p, "proba", "label", fpr_budgets_pct=[fpr_budget_pct]).first()
         rows.append(Row(fold=f, auroc=float(rep["auroc"]), tpr=float(rep[f"tpr_at_{M._pct_name(fpr_budget_pct)}fpr"])))
     folded.unpersist()

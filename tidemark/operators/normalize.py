@@ -78,6 +78,6 @@ def assemble(df: DataFrame, model_name: str, sigmas_type: str = "none", stats: D
         out = out.withColumn("loss_feature", F.col("loss_delta"))
     parts = [F.array(F.col("loss_feature")), F.col("embedding_delta")]
     present = [c for c in modality_cols if c in out.columns]
-    if present and "baseline" not in model_name:
+    if present and "baseline" not in model_name.lower():
         parts.append(F.coalesce(*[F.col(c) for c in present], F.array().cast("array<double>")))
     return out.withColumn("features", F.concat(*parts))

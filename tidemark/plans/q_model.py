@@ -58,9 +58,10 @@ def _linear(spark, sf_dir):
 def a01(spark, sf_dir):
     """Closed-form integrated gradients of a linear attack model; ``gap`` = Σattr − (f(x) − f(0)) ≈ 0."""
     f, model, coef = _linear(spark, sf_dir)
-    ig = AT.integrated_gradients_linear(f, coef)
+    ig = AT.integrated_gradients_linear(f, coef, label="label")
     w = F.array(*[F.lit(c) for c in coef])
-    return ig.select("vec_id", "label", "attr_sum", (F.col("attr_sum") - vec_dot("features", w)).alias("gap"))
+    own = F.when(F.col("label") == 1, 1.0).otherwise(-1.0) * vec_dot("features", w)
+    return ig.select("vec_id", "label", "attr_sum", (F.col("attr_sum") - own).alias("gap"))
 
 
 @query("a02_smoothgrad")
@@ -83,3 +84,10 @@ def a04(spark, sf_dir):
     f, _, coef = _linear(spark, sf_dir)
     n = AT.attr_norms(AT.integrated_gradients_linear(f, coef))
     return AT.attr_summary(n, "attr_l2", "label", bins=20)
+
+
+@query("a04b_attr_quantiles")
+def a04b(spark, sf_dir):
+    """Per-label quantiles of the attribution 2-norm."""
+    f, _, coef = _linear(spark, sf_dir)
+    return AT.attr_quantiles(AT.attr_norms(AT.integrated_gradients_linear(f, coef)), "attr_l2", "label")
