@@ -68,6 +68,7 @@ class Encoder:
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.tokenize = self.lib.model.tokenize
         self.table = [np.array([i], self.type).tobytes() for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
 
     def _piece(self, piece: str) -> bytes:
@@ -75,26 +76,41 @@ class Encoder:
         if got is None:
             got = self.old_pieces.get(piece)
             if got is None:
-                coded = "".join([self.alphabet[b] for b in piece.encode()])
-                got = b"".join([self.table[t.id] for t in self.lib.model.tokenize(coded)])
+                if piece.isascii() and piece.isprintable():
+                    coded = piece.replace(" ", "\u0120")
+                else:
+                    coded = "".join([self.alphabet[b] for b in piece.encode()])
+                got = b"".join([self.table[t.id] for t in self.tokenize(coded)])
             if len(self.pieces) >= CACHE // 2:
                 self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = got
         return got
 
+    def _chunk(self, x: str) -> bytes:
+        """Ids of a chunk; one word, perhaps with a comma or full stop, needs no pattern."""
+        lead = b""
+        if x[0] == "\n" and len(x) > 1 and not x[1].isspace():
+            lead, x = self._piece("\n"), x[1:]
+        body = x[1:] if x[0] == " " else x
+        if body.isalpha():
+            return lead + self._piece(x)
+        if body[-1:] in (",", ".") and body[:-1].isalpha():
+            return lead + self._piece(x[:-1]) + self._piece(x[-1])
+        return lead + b"".join([self._piece(p) for p in self.split(x)])
+
     def _new(self, chunks: list[str]) -> None:
         if len(self.cache) + len(chunks) > CACHE:
             self.old, self.cache = self.cache, {}
         other = []
         for x in chunks:
             got = self.old.get(x)
-            if got is not None:
-                self.cache[x] = got
-            elif max(x) < "\u0250":
-                # letters and digits here are the same in every version of the character tables
-                self.cache[x] = b"".join([self._piece(p) for p in self.split(x)])
-            else:
-                other.append(x)
+            if got is None:
+                if not x.isascii() and max(x) >= "\u0250":
+                    other.append(x)
+                    continue
+                # letters and digits below are the same in every version of the character tables
+                got = self._chunk(x)
+            self.cache[x] = got
         if other:
             found = self.lib.encode_batch_fast(other, add_special_tokens=False)
             self.cache.update(zip(other, (np.array(x.ids, self.type).tobytes() for x in found)))
@@ -104,7 +120,7 @@ class Encoder:
         if not self.cut or self.whole(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.type).tobytes() + self.end
         found, gaps = text.split(), text.count(" ") + text.count("\n")
-        if gaps + 1 == len(found) and gaps + sum(map(len, found)) == len(text):
+        if gaps + 1 == len(found) and gaps + len("".join(found)) == len(text):
             # single spaces and newlines only: words that follow a space are looked up with it
             parts = text.replace("\n", " \n").split(" ")
             chunks = [parts[0], *[x if x[0] == "\n" else " " + x for x in parts[1:]]]
