@@ -25,10 +25,10 @@ def n_folds(df: DataFrame, label: str = "label", n_splits: int = 5) -> int:
     """``min(n_splits, smallest class)``; a class with fewer than two rows is an error."""
     counts = df.groupBy(label).count().collect()  # one row per class
     if len(counts) < 2:
-        raise ValueError("Labels must contain both classes for shift evaluation.")
+        raise ValueError("folds need rows of two classes")
     m = min(r["count"] for r in counts)
     if m < 2:
-        raise ValueError("Labels must contain at least two samples in each class for shift evaluation.")
+        raise ValueError("folds need two rows of every class or more")
     return min(n_splits, m)
 
 

@@ -488,7 +488,7 @@ def z06(spark, sf_dir):
 )
 def d01(spark, sf_dir):
     s = V.samples(spark, sf_dir)
-    nb = N.neighbors(s)
+    nb = cut_lineage(N.neighbors(s))
     embeds = EM.embed_vectors(s, nb).filter(F.col("k") >= 0)
     return DL.align(embeds, _losses(spark, sf_dir, s, nb)).groupBy("model_name", "label").agg(
         F.count(F.lit(1)).alias("n_rows"))
@@ -501,7 +501,7 @@ def d01(spark, sf_dir):
 )
 def d01b(spark, sf_dir):
     s = V.samples(spark, sf_dir)
-    nb = N.neighbors(s)
+    nb = cut_lineage(N.neighbors(s))
     embeds = EM.embed_vectors(s, nb).filter(F.col("k") >= 0)
     losses = _losses(spark, sf_dir, s, nb).filter(F.col("model_name") == "ngram-a")
     u = DL.unmatched(embeds, losses)

@@ -10,6 +10,7 @@ from tidemark.plans.catalog import query
 from tidemark.plans.sqlkit import CORPUS, SCORED
 from tidemark.sources import labelled as L
 from tidemark.sources import parts as P
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 from tidemark.streaming import scorer as ST
 
@@ -91,16 +92,22 @@ def s16(spark, sf_dir):
     return s.select("vec_id", p[0].alias("s0"), p[1].alias("s1"))
 
 
-@query("s12_write_read_parts")
+def _event_groups_sql(extra: str) -> str:
+    from tidemark.plans.q_pipeline import EVENTS_SQL
+
+    return f"WITH {EVENTS_SQL} SELECT model_name, CAST(label AS BIGINT) AS label, count(*) AS n{extra} FROM el GROUP BY ALL"
+
+
+@query("s12_write_read_parts", _event_groups_sql(", round(sum(loss_delta), 4) AS s"))
 def s12(spark, sf_dir):
     """Event losses written as bounded part files per model and label, read back, counted per folder."""
     ev = V.event_losses(spark, sf_dir)
     path = P.write_parts(ev, P.shared_path(spark, "parts"), part_size=1000)
     back = P.read_parts(spark, path)
-    return back.groupBy("model_name", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("loss_delta").alias("s"))
+    return back.groupBy("model_name", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loss_delta"), 4).alias("s"))
 
 
-@query("s13_delta_dataset")
+@query("s13_delta_dataset", _event_groups_sql(""))
 def s13(spark, sf_dir):
     """Typed delta dataset round trip (write S13, read S14a from two folders)."""
     ev = V.event_losses(spark, sf_dir).withColumn("k", F.col("k").cast("int")).withColumn(
@@ -130,5 +137,6 @@ def _s14b_sql():
 @query("s14b_streaming_scores", _s14b_sql())
 def s14b(spark, sf_dir):
     """Events streamed (availableNow) through a stream–static normalisation into a Parquet sink."""
-    first, stats = _z04_like(spark, sf_dir)
+    # the static sides are computed once, not again in every micro-batch
+    first, stats = (cut_lineage(df) for df in _z04_like(spark, sf_dir))
     return ST.incremental_normalised_losses(spark, sf_dir, first, stats)

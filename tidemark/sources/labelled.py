@@ -37,16 +37,16 @@ def read_labelled(
     text+media attack needs a text column and a modality type of image|audio.
     """
     if source is None or (isinstance(source, str) and not source):
-        raise ValueError("Custom dataset path must be provided")
+        raise ValueError("no source given: name a path or pass a DataFrame")
     if not label_col:
-        raise ValueError("Label column name must be provided")
+        raise ValueError("label_col is empty")
     if not feature_col:
-        raise ValueError("Feature column name must be provided")
+        raise ValueError("feature_col is empty")
     if joint:
         if not text_col:
-            raise ValueError("joint text+modality attack requires a text column")
+            raise ValueError("joint=True needs text_col")
         if modality_type not in ("image", "audio"):
-            raise ValueError("joint text+modality attack requires modality type image|audio")
+            raise ValueError("joint=True needs modality_type image or audio")
     df = source if isinstance(source, DataFrame) else spark.read.format(fmt).option("header", True).load(source)
     cols = [*keep, F.col(feature_col).cast("string").alias("feature"), F.col(label_col).cast("int").alias("label")]
     if joint:
