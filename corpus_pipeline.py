@@ -43,14 +43,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes in 100-byte strings that start earlier go; ``n_chars`` follows the new text."""
-    kept = remove_repeats(docs, 100, texts=True).select(
-        F.xxhash64("id", "text_key").alias("_row"), F.col("copy").alias("_copy"), F.col("kept_text").alias("_text")
-    )
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
-    rows = rows.drop("text").withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return rows.join(kept, ["_row", "_copy"]).withColumn("text", F.col("_text")).withColumn(
-        "n_chars", F.char_length("_text").cast(docs.schema["n_chars"].dataType)
-    ).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = remove_repeats(docs, 100, texts=True, carry=others)
+    length = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    new = {"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": length}
+    return kept.select([(new[c] if c in new else F.col("more")[c]).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

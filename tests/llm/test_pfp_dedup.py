@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import pfp_dedup, queries
@@ -66,7 +67,9 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert len(got) == 6
     full = [r for r in got if r.n_bytes == len(t)]
     assert sorted(r.n_removed == r.n_bytes for r in full) == [False, True, True] and next(r for r in full if r.id is None).n_removed < len(t)
-    assert all(r.n_removed == 0 for r in got if r.n_bytes == 5) and sorted(r.copy for r in got if r.n_bytes == 5) == [1, 2]
+    assert [r.n_removed for r in got if r.n_bytes == 5] == [0, 0]
+    carried = remove_repeats(df.withColumn("kept", F.monotonically_increasing_id()), texts=True, carry=("kept",)).collect()
+    assert len({r.more.kept for r in carried}) == 6 and sorted(r.kept_text for r in carried if r.n_bytes == 5) == ["short"] * 2
     assert remove_repeats(df.limit(0), texts=True).count() == 0
 
 

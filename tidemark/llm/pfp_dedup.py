@@ -14,7 +14,7 @@ phrases of a text, in order, are its parse. Equal strings have equal triggers at
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.util import Hashes, mixed, partitions, ragged, scan, steps, stored, text_bytes
 
@@ -76,18 +78,19 @@ def _pack(lo: np.ndarray, count: np.ndarray, to_trigger: np.ndarray) -> np.ndarr
     return (lo << 24) | (count << 12) | to_trigger
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes, int]]:
-    """``(id, text, key)`` of the distinct texts of a batch, each with its smallest id (null first)."""
-    ids = batch.column(0).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int]]:
+    """``(row, text, key)`` of the distinct texts of a batch, each at its first row (smallest id, null first; then ``ord``)."""
+    ids, order = batch.column("id").to_pylist(), batch.column("ord").to_pylist()
     best: dict[int, int] = {}
-    raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-    keys = [text_key(x) for x in raws]
-    for i, k in enumerate(keys):
+    raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("t")]
+    rank = [(x is not None, x if x is not None else 0, o) for x, o in zip(ids, order)]
+    for i, raw in enumerate(raws):
+        k = text_key(raw)
         j = best.get(k)
-        if j is None or ids[j] is not None and (ids[i] is None or ids[i] < ids[j]):
+        if j is None or rank[i] < rank[j]:
             best[k] = i
     for k, i in best.items():
-        yield ids[i], raws[i], k
+        yield i, raws[i], k
 
 
 def phrases(docs: DataFrame, length: int) -> DataFrame:
@@ -122,44 +125,46 @@ def phrases(docs: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    return scan(docs, ["id", "t"], "trigger long, text long, at long", make)
+    return scan(docs, ["id", "t", "ord"], "trigger long, text long, at long", make)
 
 
 def _with_texts(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts ``(text, at, trigger, often)`` of a text followed by the text itself, ``(id, zip)``, smallest id first.
+    """Facts ``(text, at, trigger, often)`` of a text followed by the text itself, ``(id, ord, more, zip)``, its first row first.
 
     Texts travel compressed, and at most once per input batch.
     """
-    kind = docs.schema["id"].dataType.simpleString()
+    kinds = {c: docs.schema[c].dataType for c in ("id", "more")}
 
     def make():
         pack = zstandard.ZstdCompressor(level=3).compress
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i in range(0, batch.num_rows, 2048):
-                found = list(_texts(batch.slice(i, 2048)))
+                part = batch.slice(i, 2048)
+                found = list(_texts(part))
+                at = pa.array([j for j, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k for _, _, k in found], pa.int64()),
-                        pa.array([x for x, _, _ in found], batch.column(0).type),
-                        pa.array([pack(raw) for _, raw, _ in found], pa.binary()),
-                    ],
-                    ["text", "id", "zip"],
+                    [pa.array([k for _, _, k in found], pa.int64()), *[part.column(c).take(at) for c in ("id", "ord", "more")], pa.array([pack(raw) for _, raw, _ in found], pa.binary())],
+                    ["text", "id", "ord", "more", "zip"],
                 )
 
         return work
 
-    texts = scan(docs, ["id", "t"], f"text long, id {kind}, zip binary", make)
+    schema = StructType([
+        StructField("text", LongType()), StructField("id", kinds["id"]), StructField("ord", LongType()), StructField("more", kinds["more"]), StructField("zip", BinaryType())
+    ])
+    texts = scan(docs, ["id", "t", "ord", "more"], schema, make)
     both = facts.select(
-        "text", F.lit(0).cast("byte").alias("part"), "at", "trigger", "often", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("zip")
+        "text", F.lit(0).cast("byte").alias("part"), "at", "trigger", "often", F.lit(None).cast(kinds["id"]).alias("id"),
+        F.lit(None).cast("long").alias("ord"), F.lit(None).cast(kinds["more"]).alias("more"), F.lit(None).cast("binary").alias("zip")
     ).unionByName(
-        texts.select("text", F.lit(1).cast("byte").alias("part"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"), "id", "zip")
+        texts.select("text", F.lit(1).cast("byte").alias("part"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"), "id", "ord", "more", "zip")
     )
-    return both.repartition(partitions(docs), "text").sortWithinPartitions("text", "part", "id", "at")
+    return both.repartition(partitions(docs), "text").sortWithinPartitions("text", "part", "id", "ord", "at")
 
 
-def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, bytes, list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
-    """``(key, id, text, at, trigger, often)`` per text of :func:`_with_texts`, whole runs over batch borders."""
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, object, bytes, list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
+    """``(key, id, more, text, at, trigger, often)`` per text of :func:`_with_texts`, whole runs over batch borders."""
     unpack = zstandard.ZstdDecompressor().decompress
     now, at, trigger, often, told = None, [], [], [], False
     for batch in batches:
@@ -167,7 +172,7 @@ def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object,
         text, part = batch.column("text").to_numpy(), batch.column("part").to_numpy()
         places, triggers = batch.column("at").to_numpy(), batch.column("trigger").to_numpy()
         oftens = batch.column("often").to_numpy(zero_copy_only=False)
-        ids, zips = batch.column("id"), batch.column("zip")
+        ids, more, zips = batch.column("id"), batch.column("more"), batch.column("zip")
         cuts = np.concatenate(([0], np.flatnonzero((text[1:] != text[:-1]) | (part[1:] != part[:-1])) + 1, [n])) if n else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if text[s] != now:
@@ -178,7 +183,7 @@ def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object,
                 often.append(oftens[s:e])
             elif not told:
                 told = True
-                yield now, ids[int(s)].as_py(), unpack(zips[int(s)].as_py()), at, trigger, often
+                yield now, ids[int(s)].as_py(), more[int(s)].as_py(), unpack(zips[int(s)].as_py()), at, trigger, often
 
 
 def _joined(arrays: list[np.ndarray]) -> np.ndarray:
@@ -191,7 +196,7 @@ def dictionary(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for key, id_, raw, at, trigger, often in _each_text(batches):
+        for key, id_, _, raw, at, trigger, often in _each_text(batches):
             if not at:
                 continue
             at, trigger, often = _joined(at), _joined(trigger), _joined(often)
@@ -208,8 +213,6 @@ def dictionary(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
         if held:
             yield _dictionary_rows(held, id_type)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(docs.schema["id"].dataType)
     return _with_texts(docs, shared).mapInArrow(task, f"trigger long, id {kind}, text long, at long, bytes binary")
 
@@ -294,11 +297,13 @@ def _slices(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         s = e
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
-    """``(id, text_key, copy, n_bytes, n_removed, n_spans, kept_sha256)`` of every row.
+def remove_repeats(
+    docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(id, n_bytes, n_removed, n_spans, kept_sha256, more)`` of every row.
 
     With ``texts`` also ``kept`` (binary) and ``kept_text``, the same without characters that lost some of their bytes.
-    ``text_key`` is ``xxhash64`` of the text, ``copy`` numbers equal rows from 1.
+    ``more`` is a struct of the row's ``carry`` columns (null without any).
 
     A byte goes if a ``length``-byte string (64 to 4,000) that covers it also starts earlier: in a text with a smaller id, or
     earlier in the same text. Strings are judged on the input and never cross texts. Null text counts as empty, a
@@ -308,19 +313,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     if not 2 * GRAM <= length < 4000:
         raise ValueError("length must be from 64 to 3999")
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    more = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    order = F.xxhash64(*[F.col(c) for c in carry]) if carry else F.lit(0).cast("long")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), order.alias("ord"), more.alias("more"))
+    id_type, more_type = base.schema["id"].dataType, base.schema["more"].dataType
 
     def name():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+            raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("t")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([text_key(x) for x in raws], pa.int64()), pa.array([len(x) for x in raws], pa.int64())], ["id", "text", "n_bytes"]
+                [
+                    batch.column("id"), pa.array([text_key(x) for x in raws], pa.int64()), pa.array([len(x) for x in raws], pa.int64()),
+                    pa.array([x if len(x) < length else None for x in raws], pa.binary()), batch.column("ord"), batch.column("more"),
+                ],
+                ["id", "text", "n_bytes", "short", "ord", "more"],
             )
 
         return work
 
-    rows = stored(scan(base, ["id", "t"], f"id {kind}, text long, n_bytes long", name).groupBy("id", "text", "n_bytes").agg(F.count(F.lit(1)).alias("copies")))
+    schema = StructType([
+        StructField("id", id_type), StructField("text", LongType()), StructField("n_bytes", LongType()), StructField("short", BinaryType()),
+        StructField("ord", LongType()), StructField("more", more_type),
+    ])
+    rows = stored(scan(base, ["id", "t", "ord", "more"], schema, name))
     # a trigger is shared if it stands in two texts or at two places of one
     same = Window.partitionBy("trigger")
     ordered = same.orderBy("text", "at")
@@ -330,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     )
     shared = seen.where("(a < b or c < d) and not (text <=> e and at <=> f)").select("text", "at", "trigger", (F.col("n") > RUN_ROWS).alias("often"))
     starts = repeated_starts(dictionary(base, shared, length), length)
+    arrow = [to_arrow_type(id_type), to_arrow_type(more_type)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -337,11 +353,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
         def rows_of() -> pa.RecordBatch:
             columns = list(zip(*held))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-            names = ["text", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
+            types = [arrow[0], arrow[1], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            names = ["id", "more", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names[: len(columns)])
 
-        for key, _, raw, at, _, _ in _each_text(batches):
+        for _, id_, extra, raw, at, _, _ in _each_text(batches):
             kept, spans = raw, 0
             if at:
                 at = _joined(at)
@@ -350,27 +366,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            held.append((key, len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept, kept.decode(errors="ignore")] if texts else [])))
+            told = [kept, kept.decode(errors="ignore")] if texts else []
+            held.append((id_, extra, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *told))
             size += len(kept) if texts else 200
-            if size > 4 << 20:
+            if size > 2 << 20:
                 yield rows_of()
                 held, size = [], 0
         if held:
             yield rows_of()
 
     facts = starts.select("text", "at", F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"))
-    firsts = _with_texts(base, facts).mapInArrow(task, "text long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, kept_text string" if texts else ""))
-    # which row of a text is its first, and how many copies each id has
+    fields = [StructField("id", id_type), StructField("more", more_type), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept_sha256", StringType())]
+    fields += [StructField("kept", BinaryType()), StructField("kept_text", StringType())] if texts else []
+    firsts = _with_texts(base, facts).mapInArrow(task, StructType(fields))
+    # the copies: every row of a text but its first one; their texts are gone, or too short to change
     least = rows.groupBy("text").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("least"))
-    ranked = rows.join(least, "text").withColumn("is_first", F.col("id").eqNullSafe(F.col("least.id")))
-    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "id", "text", "copy", "n_bytes", (~F.col("is_first") | (F.col("copy") > 1)).alias("again")
-    )
-    gone = F.col("again") & (F.col("n_bytes") >= length)
-    return each.join(firsts, "text").select(
-        "id", F.col("text").alias("text_key"), "copy", "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if texts else []),
+    number = F.row_number().over(Window.partitionBy("text", "id").orderBy("ord"))
+    ranked = rows.withColumn("copy", number).join(least, "text")
+    again = ranked.where(~F.col("id").eqNullSafe(F.col("least.id")) | (F.col("copy") > 1))
+    gone = F.col("n_bytes") >= length
+    left = F.when(gone, F.lit(b"")).otherwise(F.col("short"))
+    copies = again.select(
+        "id", "more", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"),
+        *([left.alias("kept"), F.decode(left, "UTF-8").alias("kept_text")] if texts else []),
     )
+    return firsts.unionByName(copies)

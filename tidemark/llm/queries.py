@@ -146,7 +146,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 100-byte strings that also start earlier."""
     from tidemark.llm.pfp_dedup import remove_repeats
 
-    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query("op1_benchmark_decontamination")
