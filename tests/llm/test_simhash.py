@@ -20,9 +20,10 @@ def test_query_equals_brute_force(spark):
 def test_edge_cases(spark):
     rows = [(5, None), (3, ""), (4, " \n"), (9, "One"), (8, "one"), (7, "one two"), (7, "one two"), (None, "one"), (1, "x " * 30_000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
-    got = [tuple(r) for r in near_duplicates(df).collect()]
+    got = near_duplicates(df).collect()
     assert len(got) == len(rows)
-    at = {i: c for i, _, c in got}
+    at = {r.id: r.component_id for r in got}
+    assert sorted(r.id for r in got if r.stays) == [1, 3, 7, 7, 8]
     assert at[5] == at[3] == at[4] == 3 and at[9] == at[8] == 8 and at[None] == 8 and at[7] == 7 and at[1] == 1
     assert near_duplicates(df.limit(0)).count() == 0
 
