@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.util import Finder, Hashes, distinct_words, most_frequent, ragged, scan, steps, stored, text_bytes
 
 #: Most frequent distinct words whose encodings are sent to every task.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 17
 
 
 def default_tokenizer() -> str:
@@ -109,7 +109,7 @@ def encode(
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             data, offsets = text_bytes(batch.column(1))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, 1 << 20):
                 part = data[offsets[i] : offsets[j]]
                 keys, starts, ends, inverse, first = distinct_words(part, offsets[i : j + 1] - offsets[i])
                 where = find(keys)
