@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -12,14 +12,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.util import Finder, Hashes, mixed, scan, steps, text_bytes, words
 
-#: Words of a seed, fewest words of an item that can be told from chance, seeds that an item has at least.
-SEED, LEAST_WORDS, LEAST_SEEDS = 3, 8, 4
-#: How often a seed may be expected by chance in one document, by the corpus frequencies of its words.
-CHANCE = 1e-5
+#: Fewest words of an item that is aligned.
+LEAST_WORDS = 8
+#: A place of an item whose pairs chance brings into a document more often than this, by the corpus frequencies of its words, is
+#: left out of the seeds, as long as an accepted copy keeps ``LEAST_SEEDS`` others.
+CHANCE, LEAST_SEEDS = 1e-2, 2
 #: Alignment scores and the share of an item's full score that counts as a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.4
 #: Bytes of benchmark text that are sent to the tasks at a time; a larger benchmark is gone through in blocks.
 BLOCK_BYTES = 8 << 20
+#: Seed hits that are sorted at a time (those of one document stay together).
+HITS = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -36,12 +39,9 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds_of(hashes: np.ndarray) -> np.ndarray:
-    """Hash of every run of ``SEED`` word hashes."""
-    out = np.zeros(max(0, len(hashes) - SEED + 1), np.uint64)
-    for k in range(SEED):
-        out = mixed(out + hashes[k : len(hashes) - SEED + 1 + k]) if len(out) else out
-    return out
+def pairs_of(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Hash of every word hash and the one ``step`` places on."""
+    return mixed(mixed(hashes[:-step]) + hashes[step:]) if len(hashes) > step else np.zeros(0, np.uint64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -62,6 +62,40 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_many(items: list[np.ndarray], passages: list[np.ndarray], cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`align` of many pairs, those of about one size in one array."""
+    best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    wide, long = np.array([len(x) for x in passages]), np.array([len(x) for x in items])
+    order = np.lexsort((wide, long))
+    s = 0
+    while s < len(order):
+        e = s + 1
+        width = int(wide[order[s]])
+        while e < len(order) and long[order[e]] <= 2 * long[order[s]] and max(width, int(wide[order[e]])) * (e + 1 - s) <= cells:
+            width = max(width, int(wide[order[e]]))
+            e += 1
+        part = order[s:e]
+        words_, there = np.zeros((len(part), int(long[part].max())), np.uint64), np.zeros((len(part), width), np.uint64)
+        for k, x in enumerate(part):
+            words_[k, : long[x]], there[k, : wide[x]] = items[x], passages[x]
+        inside = np.arange(width) < wide[part][:, None]
+        slope = (-GAP * np.arange(width + 1)).astype(np.int32)
+        row = np.zeros((len(part), width + 1), np.int32)
+        top, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for i in range(words_.shape[1]):
+            same = (there == words_[:, i : i + 1]) & inside & (i < long[part])[:, None]
+            new = np.zeros_like(row)
+            new[:, 1:] = np.maximum(row[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), row[:, 1:] + np.int32(GAP))
+            row = np.maximum(np.maximum.accumulate(np.maximum(new, 0) + slope, axis=1) - slope, 0)
+            k = row.argmax(axis=1)
+            value = row[np.arange(len(part)), k]
+            more = value > top
+            top[more], at[more] = value[more], k[more]
+        best[part], end[part] = top, at
+        s = e
+    return best, end
+
+
 def _frequencies(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Occurrences of every vocabulary word in all texts, all words, all rows."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -90,8 +124,20 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tupl
     return counts[:-2], int(counts[-2]), int(counts[-1])
 
 
+def least_score(lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """The alignment score from which a passage is a copy of an item of so many words."""
+    return np.maximum(1, np.ceil(threshold * MATCH * lengths - 1e-9)).astype(np.int64)
+
+
 def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: float):
-    """A function for tasks: it makes one that lists ``(row, item, score, n_seeds, start, end)`` of a text column."""
+    """A function for tasks: it makes one that lists ``(row, item, score, n_seeds, start, end)`` of a text column.
+
+    Between two matched words of an alignment that follow each other there are no, one or more errors. As an error costs 1
+    and a match brings 2, an alignment of score S has at least S / 2 - 1 links with one error at most, each from
+    another place of the item. Such a link is a pair of words that are neighbours, or next but one, in item and
+    text. So no copy is lost if a window needs that many pairs, less the places that are left out as common, and as far apart in diagonals
+    as the item's full score less S allows gaps.
+    """
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
     data = fold(data)
     starts, ends, first = words(data, offsets)
@@ -100,24 +146,79 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
     vocabulary, inverse = np.unique(hashes, return_inverse=True)
     counts, total, rows = _frequencies(docs, text_col, vocabulary)
     log_p = np.log((counts[inverse] + 0.5) / (total + 1.0)) if len(hashes) else np.zeros(0)
-    limit = np.log(CHANCE) - np.log(max(1.0, total / max(1, rows)))
+    length = total / max(1, rows)
+    lengths = np.array([len(x) for x in sequences], np.int64)
+    wanted = least_score(lengths, threshold)
+    need = np.ones(len(sequences), np.int64)
     keys, item_of, place = [], [], []
     for k, sequence in enumerate(sequences):
-        if len(sequence) < LEAST_WORDS:
+        n = len(sequence)
+        if n < LEAST_WORDS:
             continue
-        own = log_p[first[k] : first[k + 1]]
-        rarity = np.convolve(own, np.ones(SEED), "valid")
-        chosen = np.flatnonzero(rarity <= max(limit, np.partition(rarity, LEAST_SEEDS - 1)[LEAST_SEEDS - 1]))
-        keys.append(seeds_of(sequence)[chosen])
-        item_of.append(np.full(len(chosen), k))
-        place.append(chosen)
+        own = np.exp(log_p[first[k] : first[k + 1]])
+        often = length * own[:-1] * (own[1:] + np.append(own[2:], 0.0)) * 2
+        links = max(1, -(-int(wanted[k]) // 2) - 1)
+        common = np.argsort(-often, kind="stable")[: max(0, links - LEAST_SEEDS)]
+        common = common[often[common] > CHANCE]
+        need[k] = links - len(common)
+        used = np.ones(n - 1, bool)
+        used[common] = False
+        for step in (1, 2):
+            chosen = np.flatnonzero(used[: n - step])
+            keys.append(pairs_of(sequence, step)[chosen])
+            item_of.append(np.full(len(chosen), k))
+            place.append(chosen)
     keys, item_of, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item_of, place))
     order = np.argsort(keys.astype(np.uint64), kind="stable")
     unique, begin = np.unique(keys.astype(np.uint64)[order], return_index=True)
-    sent = docs.sparkSession.sparkContext.broadcast((unique, np.append(begin, len(keys)), item_of[order], place[order], sequences, [i for i, _ in items]))
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (unique, np.append(begin, len(keys)), item_of[order], place[order], sequences, lengths, wanted, need, [i for i, _ in items])
+    )
+
     def make():
-        unique, begin, item_of, place, sequences, names = sent.value
+        unique, begin, item_of, place, sequences, lengths, wanted, need, names = sent.value
         find = Finder(unique)
+        drift = MATCH * lengths - wanted
+
+        def windows(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            """``(row, item, number of hits, first diagonal, last diagonal)`` of the places that may hold a copy, some rows at a time."""
+            hit, at = [], []
+            for step in (1, 2):
+                found = find(pairs_of(hashes, step))
+                where = np.flatnonzero(found >= 0)
+                inside = where + step < first[np.searchsorted(first, where, side="right")]
+                hit.append(where[inside])
+                at.append(found[where[inside]])
+            hit, at = np.concatenate(hit), np.concatenate(at)
+            order = np.argsort(hit, kind="stable")
+            hit, at = hit[order], at[order]
+            row = np.searchsorted(first, hit, side="right") - 1
+            many = begin[at + 1] - begin[at]
+            ends = np.flatnonzero(np.diff(row, append=-1)) + 1
+            sums = np.cumsum(many)
+            s = 0
+            while s < len(hit):
+                e = int(ends[np.searchsorted(ends, s, side="right")])
+                room = int(np.searchsorted(sums, (sums[s - 1] if s else 0) + HITS, side="right"))
+                e = max(e, int(ends[np.searchsorted(ends, room, side="right") - 1]) if room >= ends[0] else 0)
+                n = many[s:e]
+                entry = np.repeat(begin[at[s:e]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                item, rows, diagonal = item_of[entry], np.repeat(row[s:e], n), np.repeat(hit[s:e], n) - place[entry]
+                order = np.lexsort((diagonal, item, rows))
+                rows, item, diagonal = rows[order], item[order], diagonal[order]
+                last = np.arange(len(item)) + need[item] - 1
+                good = np.flatnonzero(last < len(item))
+                last = last[good]
+                fits = (rows[last] == rows[good]) & (item[last] == item[good]) & (diagonal[last] - diagonal[good] <= drift[item[good]])
+                good, last = good[fits], last[fits]
+                if len(good):
+                    new = np.ones(len(good), bool)
+                    new[1:] = (rows[good[1:]] != rows[good[:-1]]) | (item[good[1:]] != item[good[:-1]])
+                    new[1:] |= diagonal[good[1:]] - diagonal[last[:-1]] > drift[item[good[1:]]]
+                    cut = np.flatnonzero(new)
+                    a, b = good[cut], last[np.append(cut[1:], len(good)) - 1]
+                    yield rows[a], item[a], b - a + 1, diagonal[a], diagonal[b]
+                s = e
 
         def work(texts: pa.Array) -> Iterator[tuple]:
             data, offsets = text_bytes(texts)
@@ -126,35 +227,16 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
                 part = fold(data[base : offsets[j]])
                 starts, ends, first = words(part, offsets[i : j + 1] - base)
                 hashes = Hashes(part).of(starts, ends)
-                at = find(seeds_of(hashes)) if len(hashes) >= SEED else np.zeros(0, np.int64)
-                hit = np.flatnonzero(at >= 0)
-                row = np.searchsorted(first, hit, side="right") - 1
-                inside = hit + SEED <= first[row + 1]
-                hit, row = hit[inside], row[inside]
-                many = begin[at[hit] + 1] - begin[at[hit]]
-                entry = np.repeat(begin[at[hit]], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                word, row, item = np.repeat(hit, many), np.repeat(row, many), item_of[entry]
-                # where the item would begin; hits of one item near one diagonal make one window
-                diagonal = word - place[entry]
-                order = np.lexsort((diagonal, item, row))
-                word, row, item, diagonal = word[order], row[order], item[order], diagonal[order]
-                lengths = np.array([len(s) for s in sequences])
-                slack = np.maximum(4, lengths[item] // 4) if len(item) else item
-                new = np.ones(len(item), bool)
-                new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > slack[1:])
-                cut = np.flatnonzero(new)
-                for s, e in zip(cut.tolist(), np.append(cut[1:], len(item)).tolist()):
-                    k, r = int(item[s]), int(row[s])
-                    lo = max(int(first[r]), int(diagonal[s] - slack[s]))
-                    hi = min(int(first[r + 1]), int(diagonal[e - 1] + lengths[k] + slack[s]))
-                    sequence, passage = sequences[k], hashes[lo:hi]
-                    best, end = align(sequence, passage)
-                    score = best / (MATCH * len(sequence))
-                    if score >= threshold:
-                        begun = end - align(sequence[::-1], passage[:end][::-1])[1]
-                        a, b = int(starts[lo + begun]), int(ends[lo + end - 1])
+                for row, item, n, low, high in windows(hashes, first):
+                    lo = np.maximum(first[row], low - drift[item])
+                    hi = np.minimum(first[row + 1], high + lengths[item] + drift[item])
+                    best, end = align_many([sequences[k] for k in item], [hashes[a:b] for a, b in zip(lo, hi)])
+                    for x in np.flatnonzero(best >= wanted[item]).tolist():
+                        k, r, passage = int(item[x]), int(row[x]), hashes[lo[x] : lo[x] + end[x]]
+                        begun = int(end[x]) - align(sequences[k][::-1], passage[::-1])[1]
+                        a, b = int(starts[lo[x] + begun]), int(ends[lo[x] + end[x] - 1])
                         doc_at = int(offsets[i + r] - base)
-                        yield i + r, names[k], score, e - s, a - doc_at, b - doc_at
+                        yield i + r, names[k], float(best[x] / (MATCH * lengths[k])), int(n[x]), a - doc_at, b - doc_at
 
         return work
 
@@ -167,9 +249,9 @@ def contaminated(
 ) -> DataFrame:
     """``(id, item, score, n_seeds, start, end)``: each document and item of which it holds an exact or edited copy.
 
-    Words are folded (case, punctuation). An item's seeds are its word trigrams that chance would hardly bring
-    into a document, judged by the words' frequencies in all documents, and its four rarest in any case. Every seed hit places the
-    item in the text; hits near one diagonal give one window, whose words are aligned with the item's. ``score`` is the best
+    Words are folded (case, punctuation). An item's seeds are the pairs of its words that are neighbours or
+    next but one, without the commonest by the words' frequencies in all documents. Where a text has as many of them near one diagonal as
+    any copy must have (see :func:`_matcher`), its words are aligned with the item's, so the seeds lose no copy. ``score`` is the best
     alignment score over the item's full score, the best window counts; ``start`` and ``end`` are its bytes in the text.
 
     The items are the stated query set: they go to the tasks in blocks of at most ``block_bytes`` (a longer item is a block of its
