@@ -12,13 +12,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.util import Finder, Hashes, mixed, scan, steps, text_bytes, words
 
-#: Fewest words of an item that is aligned.
-LEAST_WORDS = 8
+#: Fewest words of an item that is aligned; shorter ones are matched as they are, unless chance brings their words together
+#: in more than ``SHORT_CHANCE`` of the documents.
+LEAST_WORDS, SHORT_CHANCE = 8, 0.05
 #: A place of an item whose pairs chance brings into a document more often than this, by the corpus frequencies of its words, is
 #: left out of the seeds, as long as an accepted copy keeps ``LEAST_SEEDS`` others.
 CHANCE, LEAST_SEEDS = 1e-2, 2
 #: Alignment scores and the share of an item's full score that counts as a copy.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.4
+#: Words of a verbatim run whose score is enough for any item, however long.
+RUN = 40
 #: Bytes of benchmark text that are sent to the tasks at a time; a larger benchmark is gone through in blocks.
 BLOCK_BYTES = 8 << 20
 #: Seed hits that are sorted at a time (those of one document stay together).
@@ -29,13 +32,54 @@ _FOLD[65:91] += 32
 for _b in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _FOLD[_b] = 32
 
+#: Other white space folded the same way, so that all of it parts words.
+_FOLD[[9, 10, 11, 12, 13]] = 32
+_ANY, _FULL, _HALF = np.zeros((3, 256), bool)
+_ANY[0x80:0xC0] = True
+_FULL[[*range(0x81, 0x90), *range(0x9A, 0xA1), *range(0xBB, 0xC0)]] = True
+_HALF[[0x80, *range(0x9B, 0xA6)]] = True
+_WIDE = [(0xE3, 0x80, _ANY), (0xEF, 0xBC, _FULL), (0xEF, 0xBD, _HALF)]
+
 
 def fold(data: np.ndarray) -> np.ndarray:
-    """Lower-case A-Z and the accented letters of Latin-1, ASCII punctuation to spaces; places stay the same."""
+    """Lower-case A-Z and the accented letters of Latin-1, ASCII, CJK and full-width punctuation to spaces; places stay the same."""
     out = _FOLD[data]
     if len(data) > 1:
         high = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
         out[high] += 32
+    if len(data) > 2:
+        for lead, second, third in _WIDE:
+            at = np.flatnonzero((data[:-2] == lead) & (data[1:-1] == second))
+            at = at[third[data[at + 2]]]
+            for k in range(3):
+                out[at + k] = 32
+    return out
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`words` of folded text, with every character of a script without spaces as a word of its own."""
+    starts, ends, first = words(data, offsets)
+    at = np.flatnonzero(data[:-1] >= 0xE0)
+    lead, second = data[at], data[at + 1]
+    # Thai and Lao; Myanmar and Khmer; kana and Han
+    own = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    own |= (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))
+    own |= (lead == 0xE3) & (second >= 0x81) | (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xEF) & (second >= 0xA4) & (second <= 0xAB)
+    own |= (lead == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    if not own.any():
+        return starts, ends, first
+    at = at[own]
+    past = at + np.where(lead[own] == 0xF0, 4, 3)
+    starts = np.union1d(starts, np.concatenate((at, past[np.append(data, 0x20)[past] != 0x20])))
+    ends = np.union1d(ends, np.concatenate((past, at[np.append(data, 0x20)[at - 1] != 0x20])))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` word hashes."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = mixed(out + hashes[k : len(hashes) - n + 1 + k])
     return out
 
 
@@ -108,7 +152,7 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tupl
             counts, total = np.zeros(len(sent.value) + 2, np.int64), 0
             for i, j in steps(offsets):
                 part = fold(data[offsets[i] : offsets[j]])
-                starts, ends, _ = words(part, offsets[i : j + 1] - offsets[i])
+                starts, ends, _ = cut(part, offsets[i : j + 1] - offsets[i])
                 at = find(Hashes(part).of(starts, ends))
                 counts[:-2] += np.bincount(at[at >= 0], minlength=len(sent.value))
                 total += len(starts)
@@ -126,7 +170,7 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tupl
 
 def least_score(lengths: np.ndarray, threshold: float) -> np.ndarray:
     """The alignment score from which a passage is a copy of an item of so many words."""
-    return np.maximum(1, np.ceil(threshold * MATCH * lengths - 1e-9)).astype(np.int64)
+    return np.clip(np.ceil(threshold * MATCH * lengths - 1e-9), 1, RUN * MATCH).astype(np.int64)
 
 
 def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: float):
@@ -140,7 +184,7 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
     """
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
     data = fold(data)
-    starts, ends, first = words(data, offsets)
+    starts, ends, first = cut(data, offsets)
     hashes = Hashes(data).of(starts, ends)
     sequences = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
     vocabulary, inverse = np.unique(hashes, return_inverse=True)
@@ -150,10 +194,12 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
     lengths = np.array([len(x) for x in sequences], np.int64)
     wanted = least_score(lengths, threshold)
     need = np.ones(len(sequences), np.int64)
-    keys, item_of, place = [], [], []
+    keys, item_of, place, short = [], [], [], {}
     for k, sequence in enumerate(sequences):
         n = len(sequence)
         if n < LEAST_WORDS:
+            if n and length * np.exp(log_p[first[k] : first[k + 1]].sum()) <= SHORT_CHANCE:
+                short.setdefault(n, []).append(k)
             continue
         own = np.exp(log_p[first[k] : first[k + 1]])
         often = length * own[:-1] * (own[1:] + np.append(own[2:], 0.0)) * 2
@@ -172,12 +218,18 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
     order = np.argsort(keys.astype(np.uint64), kind="stable")
     unique, begin = np.unique(keys.astype(np.uint64)[order], return_index=True)
     sent = docs.sparkSession.sparkContext.broadcast(
-        (unique, np.append(begin, len(keys)), item_of[order], place[order], sequences, lengths, wanted, need, [i for i, _ in items])
+        (unique, np.append(begin, len(keys)), item_of[order], place[order], sequences, lengths, wanted, need, short, [i for i, _ in items])
     )
 
     def make():
-        unique, begin, item_of, place, sequences, lengths, wanted, need, names = sent.value
+        unique, begin, item_of, place, sequences, lengths, wanted, need, short, names = sent.value
         find = Finder(unique)
+        whole = []
+        for n, those in short.items():
+            codes = np.array([runs_of(sequences[k], n)[0] for k in those], np.uint64)
+            order = np.argsort(codes, kind="stable")
+            distinct, at = np.unique(codes[order], return_index=True)
+            whole.append((n, Finder(distinct), np.split(np.array(those)[order], at[1:])))
         drift = MATCH * lengths - wanted
 
         def windows(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -225,8 +277,17 @@ def _matcher(docs: DataFrame, items: list[tuple], text_col: str, threshold: floa
             for i, j in steps(offsets):
                 base = offsets[i]
                 part = fold(data[base : offsets[j]])
-                starts, ends, first = words(part, offsets[i : j + 1] - base)
+                starts, ends, first = cut(part, offsets[i : j + 1] - base)
                 hashes = Hashes(part).of(starts, ends)
+                for n, look, those in whole:
+                    found = look(runs_of(hashes, n))
+                    hit = np.flatnonzero(found >= 0)
+                    row = np.searchsorted(first, hit, side="right") - 1
+                    for h, r in zip(hit.tolist(), row.tolist()):
+                        if h + n <= first[r + 1]:
+                            doc_at = int(offsets[i + r] - base)
+                            for k in those[found[h]].tolist():
+                                yield i + r, names[k], 1.0, 1, int(starts[h]) - doc_at, int(ends[h + n - 1]) - doc_at
                 for row, item, n, low, high in windows(hashes, first):
                     lo = np.maximum(first[row], low - drift[item])
                     hi = np.minimum(first[row + 1], high + lengths[item] + drift[item])
@@ -256,7 +317,10 @@ def contaminated(
 
     The items are the stated query set: they go to the tasks in blocks of at most ``block_bytes`` (a longer item is a block of its
     own), and each block meets all documents in one scan; nothing of the documents is collected but counts of the
-    block's words. Items of under eight words match nothing. Null texts are empty; rows with a null id are
+    block's words. Of items of over 100 words an alignment that scores as 40 words in a row is a copy, too; its
+    ``score`` is then under the threshold. Items of under eight words match where all their words stand in a row, unless the words' frequencies
+    alone would bring that into more than 5 % of the documents (then, like items without a word, they match nothing). Every
+    character of a script without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) is a word. Null texts are empty; rows with a null id are
     reported under null; repeated rows count once; empty tables give no rows.
     """
     kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
