@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.util import Hashes, mixed, partitions, ragged, scan, steps, stored, text_bytes
+from tidemark.llm.util import Hashes, mixed, partitions, scan, steps, stored, text_bytes
 
 GRAM = 32
-#: Phrases of one trigger that are compared in one task's memory; the strings of commoner triggers are dealt singly.
+#: Phrases of one trigger that are compared in one task's memory; the strings of commoner triggers are compared by Spark's joins.
 RUN_ROWS = 1 << 16
 STEP = 1 << 19
 
@@ -93,43 +93,97 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int]]:
         yield i, raws[i], k
 
 
-def phrases(docs: DataFrame, length: int) -> DataFrame:
-    """The parse of every text: ``(trigger, text, at)``, the phrase's start and sizes packed into ``at``."""
+def _parsed(docs: DataFrame, length: int, schema: str, keep: np.ndarray | None, row_of, once: bool) -> DataFrame:
+    """``row_of(ids, keys, data, offsets, parse, codes)`` of the texts in steps, for the phrases that ``keep`` (if given) asks for.
+
+    With ``once`` a task takes each distinct text one time, else each batch does, at its smallest id.
+    """
 
     def make():
+        told: set[int] = set()
+
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            keys, raws = [], []
+            ids, keys, raws = [], [], []
 
             def emit() -> pa.RecordBatch:
                 data = np.frombuffer(b"".join(raws), np.uint8)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in raws]))).astype(np.int64)
                 row, lo, count, trigger = parse(data, offsets, length)
-                code = Hashes(data, seed=9).of(trigger, trigger + GRAM)
-                at = _pack(lo - offsets[row], count, trigger - lo)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), pa.array(np.array(keys, np.int64)[row]), pa.array(at)], ["trigger", "text", "at"]
-                )
+                code = Hashes(data, seed=9).of(trigger, trigger + GRAM).view(np.int64)
+                if keep is not None:
+                    row, lo, count, trigger, code = (x[keep(code)] for x in (row, lo, count, trigger, code))
+                return row_of(batch.column("id").take(pa.array(ids, pa.int64())), np.array(keys, np.int64), data, offsets, (row, lo, count, trigger), code)
 
             size = 0
-            for _, raw, key in _texts(batch):
-                if len(raw) < length:
+            for i, raw, key in _texts(batch):
+                if len(raw) < length or (once and key in told):
                     continue
+                if once:
+                    told.add(key)
+                ids.append(i)
                 keys.append(key)
                 raws.append(raw)
                 size += len(raw)
                 if size >= STEP:
                     yield emit()
-                    keys, raws, size = [], [], 0
+                    ids, keys, raws, size = [], [], [], 0
             if raws:
                 yield emit()
 
         return work
 
-    return scan(docs, ["id", "t", "ord"], "trigger long, text long, at long", make)
+    return scan(docs, ["id", "t", "ord"], schema, make)
+
+
+def phrases(docs: DataFrame, length: int, without: np.ndarray | None = None) -> DataFrame:
+    """The parse of every text: ``(trigger, text, at)``, the phrase's start and sizes packed into ``at``.
+
+    Phrases of the triggers ``without`` are left out. A text that stands in several tasks' rows gives its phrases in each of them.
+    """
+
+    def row_of(ids, keys, data, offsets, parsed, code):
+        row, lo, count, trigger = parsed
+        at = _pack(lo - offsets[row], count, trigger - lo)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(keys[row]), pa.array(at)], ["trigger", "text", "at"])
+
+    keep = None
+    if without is not None and len(without):
+        sent = docs.sparkSession.sparkContext.broadcast(without)
+        keep = lambda code: ~np.isin(code, sent.value)
+    return _parsed(docs, length, "trigger long, text long, at long", keep, row_of, once=True)
+
+
+def _strings(docs: DataFrame, length: int, common: np.ndarray, once: bool) -> DataFrame:
+    """``(code, id, text, at)`` of every string whose trigger is one of ``common``: its fingerprint and its start as a range of one."""
+    kind = docs.schema["id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+
+    def row_of(ids, keys, data, offsets, parsed, code):
+        row, lo, count, _ = parsed
+        many = np.repeat(row, count)
+        start = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+        codes = Hashes(data, seed=11).of(start, start + length).view(np.int64)
+        at = _pack(start - offsets[many], np.ones(len(start), np.int64), 0)
+        return pa.RecordBatch.from_arrays([pa.array(codes), ids.take(pa.array(many)), pa.array(keys[many]), pa.array(at)], ["code", "id", "text", "at"])
+
+    return _parsed(docs, length, f"code long, id {kind}, text long, at long", lambda code: np.isin(code, sent.value), row_of, once)
+
+
+def common_repeats(docs: DataFrame, common: np.ndarray, length: int) -> DataFrame:
+    """``(text, at)`` as of :func:`repeated_starts` for the strings of very common triggers.
+
+    The first occurrence of a string is a minimum that tasks form in part before the shuffle; all others are kept by a join
+    that Spark may split, so no string's occurrences meet in one task's memory.
+    """
+    known = F.col("id").isNotNull().alias("known")
+    least = _strings(docs, length, common, False).groupBy("code").agg(F.min(F.struct(known, "id", "text", "at")).alias("least"), F.min(F.struct("text", "at")).alias("a"), F.max(F.struct("text", "at")).alias("b"))
+    least = stored(least.where("a < b").select("code", F.col("least.text").alias("first_text"), F.col("least.at").alias("first_at")))
+    found = _strings(docs, length, common, True).select("code", "text", "at").join(least, "code")
+    return found.where("text != first_text or at != first_at").select("text", "at")
 
 
 def _with_texts(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts ``(text, at, trigger, often)`` of a text followed by the text itself, ``(id, ord, more, zip)``, its first row first.
+    """Facts ``(text, at, trigger)`` of a text followed by the text itself, ``(id, ord, more, zip)``, its first row first.
 
     Texts travel compressed, and at most once per input batch.
     """
@@ -155,35 +209,33 @@ def _with_texts(docs: DataFrame, facts: DataFrame) -> DataFrame:
     ])
     texts = scan(docs, ["id", "t", "ord", "more"], schema, make)
     both = facts.select(
-        "text", F.lit(0).cast("byte").alias("part"), "at", "trigger", "often", F.lit(None).cast(kinds["id"]).alias("id"),
+        "text", F.lit(0).cast("byte").alias("part"), "at", "trigger", F.lit(None).cast(kinds["id"]).alias("id"),
         F.lit(None).cast("long").alias("ord"), F.lit(None).cast(kinds["more"]).alias("more"), F.lit(None).cast("binary").alias("zip")
     ).unionByName(
-        texts.select("text", F.lit(1).cast("byte").alias("part"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"), "id", "ord", "more", "zip")
+        texts.select("text", F.lit(1).cast("byte").alias("part"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("trigger"), "id", "ord", "more", "zip")
     )
     return both.repartition(partitions(docs), "text").sortWithinPartitions("text", "part", "id", "ord", "at")
 
 
-def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, object, bytes, list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
-    """``(key, id, more, text, at, trigger, often)`` per text of :func:`_with_texts`, whole runs over batch borders."""
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, object, bytes, list[np.ndarray], list[np.ndarray]]]:
+    """``(key, id, more, text, at, trigger)`` per text of :func:`_with_texts`, whole runs over batch borders."""
     unpack = zstandard.ZstdDecompressor().decompress
-    now, at, trigger, often, told = None, [], [], [], False
+    now, at, trigger, told = None, [], [], False
     for batch in batches:
         n = batch.num_rows
         text, part = batch.column("text").to_numpy(), batch.column("part").to_numpy()
         places, triggers = batch.column("at").to_numpy(), batch.column("trigger").to_numpy()
-        oftens = batch.column("often").to_numpy(zero_copy_only=False)
         ids, more, zips = batch.column("id"), batch.column("more"), batch.column("zip")
         cuts = np.concatenate(([0], np.flatnonzero((text[1:] != text[:-1]) | (part[1:] != part[:-1])) + 1, [n])) if n else [0]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if text[s] != now:
-                now, at, trigger, often, told = int(text[s]), [], [], [], False
+                now, at, trigger, told = int(text[s]), [], [], False
             if part[s] == 0:
                 at.append(places[s:e])
                 trigger.append(triggers[s:e])
-                often.append(oftens[s:e])
             elif not told:
                 told = True
-                yield now, ids[int(s)].as_py(), more[int(s)].as_py(), unpack(zips[int(s)].as_py()), at, trigger, often
+                yield now, ids[int(s)].as_py(), more[int(s)].as_py(), unpack(zips[int(s)].as_py()), at, trigger
 
 
 def _joined(arrays: list[np.ndarray]) -> np.ndarray:
@@ -191,22 +243,18 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 def dictionary(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """The shared phrases ``(trigger, id, text, at, bytes)``; strings of very common triggers as rows of their own."""
+    """The shared phrases ``(trigger, id, text, at, bytes)``, each once."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for key, id_, _, raw, at, trigger, often in _each_text(batches):
+        for key, id_, _, raw, at, trigger in _each_text(batches):
             if not at:
                 continue
-            at, trigger, often = _joined(at), _joined(trigger), _joined(often)
-            lo, count = at >> 24, (at >> 12) & 4095
-            for a, t, x, n in zip(at[~often].tolist(), trigger[~often].tolist(), lo[~often].tolist(), count[~often].tolist()):
+            at, first = np.unique(_joined(at), return_index=True)
+            lo, count, trigger = at >> 24, (at >> 12) & 4095, _joined(trigger)[first]
+            for a, t, x, n in zip(at.tolist(), trigger.tolist(), lo.tolist(), count.tolist()):
                 held.append((t, id_, key, a, raw[x : x + n + length - 1]))
-            if often.any():
-                single = ragged(np.arange(len(raw)), lo[often], count[often])
-                codes = Hashes(np.frombuffer(raw, np.uint8), seed=11).of(single, single + length).view(np.int64)
-                held.extend((c, id_, key, x << 24 | 1 << 12, b"") for c, x in zip(codes.tolist(), single.tolist()))
             if len(held) > 20_000:
                 yield _dictionary_rows(held, id_type)
                 held = []
@@ -234,16 +282,12 @@ def _repeats(table: pa.Table, length: int) -> pa.RecordBatch:
     trigger, at = table["trigger"].to_numpy(), table["at"].to_numpy()
     lo, count, to_trigger = at >> 24, (at >> 12) & 4095, at & 4095
     data, offsets = text_bytes(table["bytes"])
-    empty = np.diff(offsets) == 0
     phrase = np.repeat(np.arange(len(at)), count)
     step = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    code = np.empty(len(phrase), np.uint64)
-    whole = ~empty[phrase]
-    begin = offsets[:-1][phrase[whole]] + step[whole]
-    code[whole] = Hashes(data, seed=11).of(begin, begin + length)
-    code[~whole] = 0
+    begin = offsets[:-1][phrase] + step
+    code = Hashes(data, seed=11).of(begin, begin + length)
     run = np.concatenate(([0], np.cumsum(trigger[1:] != trigger[:-1])))
-    code = mixed(code + mixed(run[phrase].astype(np.uint64) * np.uint64(128) + np.where(empty, 0, to_trigger)[phrase].astype(np.uint64) - step.astype(np.uint64) * whole.astype(np.uint64)))
+    code = mixed(code + mixed(run[phrase].astype(np.uint64) * np.uint64(128) + to_trigger[phrase].astype(np.uint64) - step.astype(np.uint64)))
     order = np.argsort(code, kind="stable")
     again = np.zeros(len(code), bool)
     ranked = code[order]
@@ -337,14 +381,15 @@ def remove_repeats(
     ])
     rows = stored(scan(base, ["id", "t", "ord", "more"], schema, name))
     # a trigger is shared if it stands in two texts or at two places of one
-    same = Window.partitionBy("trigger")
-    ordered = same.orderBy("text", "at")
-    seen = phrases(base, length).select(
-        "*", F.count(F.lit(1)).over(same).alias("n"), F.min("text").over(same).alias("a"), F.max("text").over(same).alias("b"),
-        F.min("at").over(same).alias("c"), F.max("at").over(same).alias("d"), F.lag("text").over(ordered).alias("e"), F.lag("at").over(ordered).alias("f"),
-    )
-    shared = seen.where("(a < b or c < d) and not (text <=> e and at <=> f)").select("text", "at", "trigger", (F.col("n") > RUN_ROWS).alias("often"))
+    place = F.xxhash64("text", "at")
+    often = phrases(base, length).groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    often = stored(often.where("a < b").select("trigger", "n"))
+    # at most one of them for each RUN_ROWS phrases
+    common = often.where(F.col("n") > RUN_ROWS).select("trigger").toArrow()["trigger"].to_numpy()
+    shared = phrases(base, length, common).join(often.where(F.col("n") <= RUN_ROWS).select("trigger"), "trigger").select("text", "at", "trigger")
     starts = repeated_starts(dictionary(base, shared, length), length)
+    if len(common):
+        starts = starts.unionByName(common_repeats(base, common, length))
     arrow = [to_arrow_type(id_type), to_arrow_type(more_type)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +402,7 @@ def remove_repeats(
             names = ["id", "more", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names[: len(columns)])
 
-        for _, id_, extra, raw, at, _, _ in _each_text(batches):
+        for _, id_, extra, raw, at, _ in _each_text(batches):
             kept, spans = raw, 0
             if at:
                 at = _joined(at)
@@ -375,7 +420,7 @@ def remove_repeats(
         if held:
             yield rows_of()
 
-    facts = starts.select("text", "at", F.lit(0).cast("long").alias("trigger"), F.lit(False).alias("often"))
+    facts = starts.select("text", "at", F.lit(0).cast("long").alias("trigger"))
     fields = [StructField("id", id_type), StructField("more", more_type), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept_sha256", StringType())]
     fields += [StructField("kept", BinaryType()), StructField("kept_text", StringType())] if texts else []
     firsts = _with_texts(base, facts).mapInArrow(task, StructType(fields))
