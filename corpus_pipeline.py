@@ -17,19 +17,21 @@ from tidemark.llm.queries import read
 from tidemark.llm.simhash import near_duplicates, row_name
 from tidemark.llm.util import stored
 
-#: Least share of the posterior that the predicted language must have.
-LEAST_SCORE = 0.5
+#: Least share of the posterior that the predicted language of a text must have, and the characters from which it is asked for.
+LEAST_SCORE, LEAST_CHARS = 0.5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: texts without a letter, null texts and texts of no clear language go.
+    """Language identification: texts without a letter, null texts and longer texts of no clear language go.
 
+    A text of under ``LEAST_CHARS`` characters is too short to judge by its share; it goes only without a letter.
     Learnt from the rows whose crc32(doc_id) is not 2 modulo 4, as the operator's query is. ``lang`` stays as given.
     """
     train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) != 2
     own = {c: f"_kept_{c}" for c in docs.columns if c in ("lang_pred", "score", "log_prob")}
     told = identify(docs.withColumnsRenamed(own), train)
-    told = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score", "log_prob")
+    clear = (F.col("score") >= LEAST_SCORE) | (F.char_length("text") < LEAST_CHARS)
+    told = told.where((F.col("lang_pred") != UNKNOWN) & clear).drop("lang_pred", "score", "log_prob")
     return told.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
