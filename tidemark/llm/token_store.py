@@ -9,24 +9,22 @@ in ascending key order, so the concatenated payloads are the corpus in that orde
 from __future__ import annotations
 
 import json
-import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import mixed, partitions, scan, shared_folder, stored
+from tidemark.llm.chunks import ByteLevel, ChunkTable, row_sums
+from tidemark.llm.util import mixed, partitions, scan, shared_folder, stored, text_bytes
 
-#: Payload bytes after which a shard is closed, and entries of the per-task word cache.
-SHARD_BYTES, CACHE = 32 << 20, 300_000
+#: Payload bytes after which a shard is closed.
+SHARD_BYTES = 32 << 20
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -37,108 +35,26 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Whole-text ids with the tokenizers library, each distinct chunk encoded once while it stays in the cache.
-
-    A byte-level tokenizer splits at every space before a non-space, and white space never joins what stands
-    before it. So texts are cut there, and a chunk's ids do not depend on its neighbours. Texts with one of the
-    tokenizer's own special strings or a control character on which regex dialects differ are encoded whole.
-    """
+    """Whole-text ids with the tokenizers library, each distinct chunk encoded once while the worker remembers it."""
 
     def __init__(self, path: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        spec = json.loads(self.lib.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.cut = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.type = np.dtype("<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        whole = [re.escape(t["content"]) for t in spec["added_tokens"]] + ["[\x1c-\x1f]"]
-        self.whole = re.compile("|".join(whole)).search
-        self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        self.lib = ByteLevel(path)
+        self.type = np.dtype("<u2" if self.lib.size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
-        # two generations of each cache: what is still used moves up before the older one goes
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        # fixed values: the split pattern and the byte alphabet of byte-level tokenizers
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.tokenize = self.lib.model.tokenize
-        self.table = [np.array([i], self.type).tobytes() for i in range(self.lib.get_vocab_size(with_added_tokens=True))]
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.old_pieces.get(piece)
-            if got is None:
-                if piece.isascii() and piece.isprintable():
-                    coded = piece.replace(" ", "\u0120")
-                else:
-                    coded = "".join([self.alphabet[b] for b in piece.encode()])
-                got = b"".join([self.table[t.id] for t in self.tokenize(coded)])
-            if len(self.pieces) >= CACHE // 2:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = got
-        return got
-
-    def _chunk(self, x: str) -> bytes:
-        """Ids of a chunk; one word, perhaps with a comma or full stop, needs no pattern."""
-        lead = b""
-        if x[0] == "\n" and len(x) > 1 and not x[1].isspace():
-            lead, x = self._piece("\n"), x[1:]
-        body = x[1:] if x[0] == " " else x
-        if body.isalpha():
-            return lead + self._piece(x)
-        if body[-1:] in (",", ".") and body[:-1].isalpha():
-            return lead + self._piece(x[:-1]) + self._piece(x[-1])
-        return lead + b"".join([self._piece(p) for p in self.split(x)])
-
-    def _new(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE:
-            self.old, self.cache = self.cache, {}
-        other = []
-        for x in chunks:
-            got = self.old.get(x)
-            if got is None:
-                if not x.isascii() and max(x) >= "\u0250":
-                    other.append(x)
-                    continue
-                # letters and digits below are the same in every version of the character tables
-                got = self._chunk(x)
-            self.cache[x] = got
-        if other:
-            found = self.lib.encode_batch_fast(other, add_special_tokens=False)
-            self.cache.update(zip(other, (np.array(x.ids, self.type).tobytes() for x in found)))
+        self.table = ChunkTable(lambda chunks: {"ids": self.lib.ids(chunks)}, {"ids": self.type})
+
+    def rows(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of every text (null: empty) and the end id, as payload bytes."""
+        data, offsets = text_bytes(column)
+        for _, _, chunk, first in self.table.scan(data, offsets, self.lib.cut, self.lib.keep):
+            ids = self.table.of["ids"]
+            flat = ids.take(chunk).tobytes()
+            at = np.concatenate(([0], np.cumsum(row_sums(ids.lengths(chunk), first)))) * self.type.itemsize
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                yield flat[a:b] + self.end
 
     def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` and the end id, as payload bytes."""
-        if not self.cut or self.whole(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.type).tobytes() + self.end
-        found, gaps = text.split(), text.count(" ") + text.count("\n")
-        if gaps + 1 == len(found) and gaps + len("".join(found)) == len(text):
-            # single spaces and newlines only: words that follow a space are looked up with it
-            parts = text.replace("\n", " \n").split(" ")
-            chunks = [parts[0], *[x if x[0] == "\n" else " " + x for x in parts[1:]]]
-        else:
-            chunks = self.chunks(text)
-        try:
-            return b"".join([self.cache[x] for x in chunks]) + self.end
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(chunks), CACHE // 4):
-            part = chunks[i : i + CACHE // 4]
-            young = self.cache
-            self._new([x for x in set(part) if x not in young])
-            if self.cache is not young:  # a new generation began: bring the rest of the part into it
-                self._new([x for x in set(part) if x not in self.cache])
-            out.extend([self.cache[x] for x in part])
-        return b"".join(out) + self.end
+        return next(self.rows(pa.array([text], pa.string())))
 
 
 @lru_cache(1)
@@ -291,8 +207,7 @@ class TokenStore:
                 out.append((part, seq, name, known[0], known[-1], keys[0] is None, len(keys), n))
 
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encode(text.as_py() or "")
+                for key, ids in zip(batch.column(0).to_pylist(), encode.rows(batch.column(1))):
                     keys.append(key)
                     payload.append(ids)
                     held += len(ids) + 40
