@@ -157,3 +157,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = contaminated(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")
+
+
+@query("op13_sentencepiece_spans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, digests of the ids and of the decoded text, and source bytes covered by pieces, of every document."""
+    from tidemark.llm.piece_map import encode
+
+    return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
