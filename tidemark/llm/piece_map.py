@@ -201,6 +201,7 @@ class Pieces:
         self.control = np.array([self.lib.is_control(i) for i in range(n)])
         self.byte = np.array([self.lib.is_byte(i) for i in range(n)])
         unknown = np.array([self.lib.is_unknown(i) for i in range(n)])
+        self.marked = np.array([x.startswith(MARK) for x in names]) & ~unknown
         surface = trainer.get(44, " ⁇ ".encode())
         self.bytes = [
             b"" if self.control[i] else surface if unknown[i] else bytes([int(x[3:5], 16)]) if self.byte[i] else x.replace(MARK, " ").encode()
@@ -249,7 +250,7 @@ class Pieces:
                 b -= 1
             text = told[ends[a] : ends[b]]
             if a < b and not held[b] - held[a] and not (self.normalizer.squeeze and text[:2] == b"  "):
-                if text[:1] == b" " and not self.byte[ids[a]] and (self.normalizer.prefix or self.normalizer.squeeze):
+                if self.marked[ids[a]] and (self.normalizer.prefix or self.normalizer.squeeze):
                     text = text[1:]
                 try:
                     text.decode()
