@@ -138,10 +138,14 @@ class ChunkTable:
     def scan(self, data: np.ndarray, offsets: np.ndarray, cut: bool = True, keep: list[bytes] = []) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """``(i, j, table row of every chunk, first chunk of each row)`` for steps of the rows ``i`` to ``j``."""
         for i, j in steps(offsets, CHUNK_STEP):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, first = chunk_starts(part, at, cut, keep)
-            chunks, code = distinct(part, starts)
-            yield i, j, self.rows(chunks)[code], first
+            rows, code, first = self.step(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], cut, keep)
+            yield i, j, rows[code], first
+
+    def step(self, data: np.ndarray, offsets: np.ndarray, cut: bool = True, keep: list[bytes] = []) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Table rows of the distinct chunks, the index of every chunk among them, and the first chunk of each row."""
+        starts, first = chunk_starts(data, offsets, cut, keep)
+        chunks, code = distinct(data, starts)
+        return self.rows(chunks), code, first
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -165,3 +165,20 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.piece_map import encode
 
     return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and corpus counts of the id pairs of two tokenizers, for every document."""
+    from tidemark.llm.pair_align import align
+
+    return align(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_target_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight, score and rank of every document for the distribution of the benchmark's texts."""
+    from tidemark.llm.target_resample import resample
+
+    done = resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return done.withColumnRenamed("id", "doc_id")
