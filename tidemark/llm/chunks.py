@@ -17,7 +17,7 @@ import pyarrow as pa
 from tidemark.llm.util import ragged, steps
 
 #: Bytes of text in one step, and entries and key bytes that a worker's table may hold before it starts anew.
-CHUNK_STEP, TABLE_ROWS, TABLE_BYTES = 4 << 20, 400_000, 24 << 20
+CHUNK_STEP, TABLE_ROWS, TABLE_BYTES = 4 << 20, 800_000, 32 << 20
 #: Bytes of distinct chunks that are given to a tokenizer as one text.
 JOIN_BYTES = 1 << 13
 

@@ -26,7 +26,7 @@ from tidemark.llm.util import mixed, partitions, ragged, steps, stored, text_byt
 #: Pairs in a block of the index, and in a round: a round's index (about 8 bytes a pair, and 9 of results) goes to every task.
 BLOCK_PAIRS, ROUND_PAIRS = 1 << 15, 1 << 22
 #: Bytes of text in one step.
-ALIGN_STEP = 2 << 20
+ALIGN_STEP = 4 << 20
 
 
 class Aligner:
@@ -136,6 +136,11 @@ def _code(pair: np.ndarray) -> np.ndarray:
     return mixed(np.ascontiguousarray(pair).view(np.uint64))
 
 
+def _sorted_once(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Index:
     """Slots of the pairs of some blocks: a minimal perfect hash for each block, and the key of every slot."""
 
@@ -265,11 +270,11 @@ def _counts(docs: DataFrame, index, paths: tuple[str, str], fan: int) -> DataFra
                 slot, n = found(pairs.take(rows)), pairs.lengths(rows)
                 begin = np.cumsum(n) - n
                 doc = np.repeat(np.arange(j - i), np.diff(first))
-                both = np.unique(doc * len(rows) + code)
+                both = _sorted_once(doc * len(rows) + code)
                 doc, code = both // len(rows), both % len(rows)
                 many = n[code]
                 held = ragged(slot, begin[code], many)
-                one = np.unique((np.repeat(doc, many) * (found.size + 1) + held)[held >= 0])
+                one = _sorted_once((np.repeat(doc, many) * (found.size + 1) + held)[held >= 0])
                 np.add.at(counts, one % (found.size + 1), 1)
         part = TaskContext.get().partitionId() % fan
         for block, start in found.start.items():
