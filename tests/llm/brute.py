@@ -72,3 +72,31 @@ def repeats(texts, n=100):
 
 def sha(b):
     return hashlib.sha256(b if isinstance(b, bytes) else b.encode()).hexdigest()
+
+
+def _line_fails(line):
+    import regex
+
+    from tidemark.llm.line_clean import BOILERPLATE
+
+    words = tokens(line)
+    n, symbols = len(words), len(re.findall(r"[#*$%&|<>]", line))
+    alone = sum(w in set("|>»›·•/") for w in words)
+    shout = 1 + len(re.findall(r"[!?]{2,}", line))
+    return n > 0 and (
+        (re.search(BOILERPLATE, line.lower()) and n <= 40) or (symbols >= 2 and 5 * symbols > n) or (alone >= 2 and 5 * alone > n)
+        or ("!!" in line and 10 * shout > 3 * n + 10) or not regex.search(r"[\p{L}\p{N}]", line)
+        or (n < 10 and not re.search(r"[.!?…:;\"”»。！？)\]][ \t-\r]*\Z", line))
+    )
+
+
+def cleaned(text):
+    """``(clean text, words kept, kept)`` by the line rules, one line after the other."""
+    seen, lines = set(), []
+    for line in (text or "").split("\n"):
+        if _line_fails(line) or (tokens(line) and line in seen):
+            continue
+        seen.add(line)
+        lines.append(line)
+    n, left = len(tokens(text)), sum(len(tokens(x)) for x in lines)
+    return "\n".join(lines), left, not line_counts(text)["base_failed"] and 100 * left >= 50 * n

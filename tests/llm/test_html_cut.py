@@ -57,3 +57,15 @@ def test_edge_cases(spark):
     assert next(r for r in got if r.page_id == len(odd)).n_chars == 499_999
     assert extract(df.limit(0)).count() == 0
     assert [b.text for b in blocks("<p>a<br>b<i>c</i></p>d")] == ["a bc", "d"]
+
+
+def test_open_marked_sections_take_linear_time():
+    import time
+
+    page = "<p>" + "<![CDATA[ x " * 40_000
+    start = time.time()
+    assert blocks(page) == [] and time.time() - start < 10
+    assert main_text("<main><p><![CDATA[A text that stands in a marked section.]]> And more words. <![CDATA[ open > Rest of it all.</p></main>")[0].endswith("Rest of it all.")
+    start = time.time()
+    blocks("<i>" * 30_000 + "</u>" * 30_000)
+    assert time.time() - start < 10

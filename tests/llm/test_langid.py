@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, queries
-from tidemark.llm.langid import PART, Lattice, default_vocabulary, identify, pieces
+from tidemark.llm.langid import Lattice, default_vocabulary, identify, pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def _brute(word, prob, index):
     part = b" " + word
     alpha = [1.0] + [0.0] * len(part)
     for j in range(1, len(part) + 1):
-        for i in range(max(0, j - PART), j):
+        for i in range(max(0, j - 128), j):
             k = index.get(part[i:j])
             if k is not None:
                 alpha[j] += alpha[i] * prob[k]
@@ -32,7 +32,7 @@ def test_forward_sums_all_segmentations():
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     seen = set()
-    for rows, m in lattice.parts(data, np.concatenate(([0], ends[:-1])), ends):
+    for rows, m, _ in lattice.parts(data, np.concatenate(([0], ends[:-1])), ends):
         got = lattice.forward(m, lattice.ids(m), p)[-1]
         for r, g in zip(rows.tolist(), got):
             seen.add(r)
@@ -49,12 +49,58 @@ def test_expected_counts_cover_every_byte():
     long = b"a" * 100
     data = np.frombuffer(b"hello" + long, np.uint8)
     total = 0
-    for rows, m in lattice.parts(data, np.array([0, 5]), np.array([5, 105])):
-        lattice.expected(m, np.array([3.0, 1.0])[rows], p, out)
+    for rows, m, lengths in lattice.parts(data, np.array([0, 5]), np.array([5, 105])):
+        lattice.expected(m, lengths, np.array([3.0, 1.0])[rows], p, out)
         total += (np.array([3.0, 1.0])[rows] * m.shape[1]).sum()
     assert math.isclose(sum(n * len(t) for n, t in zip(out, table)), total, rel_tol=1e-9) and total == 3 * 6 + 101
 
 
+def _log_brute(word, logs, index):
+    part = b" " + word
+    alpha = [0.0]
+    for j in range(1, len(part) + 1):
+        terms = [alpha[i] + logs[index[part[i:j]]] for i in range(max(0, j - 128), j) if part[i:j] in index]
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return alpha
+
+
+def test_rare_scripts_and_long_words_do_not_underflow():
+    """Floors of 1e-12 over a whole word, and unspaced sentences, against a lattice in logarithms; no word is cut."""
+    path = default_vocabulary()
+    table, index = pieces(path), {p: i for i, p in enumerate(pieces(path))}
+    rng = np.random.default_rng(1)
+    p = np.vstack([np.full((len(table), 2), 1e-12), np.zeros((1, 2))])
+    common = np.array([len(t) <= 3 and t.isascii() for t in table])
+    p[:-1][common, 0] = rng.random(int(common.sum())) / 5_000
+    words = ["ⵜⴰⵎⴰⵣⵉⵖⵜⴰ", "a", "漢字かな交じり文" * 220, "ⵜⴰⵎⴰⵣⵉⵖⵜⴰⵜⴰⵎⴰ", "--------" * 30, "x" * 700, "longerthanthirtytwobytesbutonlyjust"]
+    raw = [w.encode() for w in words]
+    lattice, data = Lattice(path), np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(r) for r in raw])
+    seen = 0
+    for rows, m, lengths in lattice.parts(data, np.concatenate(([0], ends[:-1])), ends):
+        got = lattice.log_sums(m, lengths, p)
+        for r, g in zip(rows.tolist(), got):
+            seen += 1
+            for k in range(2):
+                assert math.isclose(g[k], _log_brute(raw[r], np.log(p[:-1, k]), index)[-1], rel_tol=1e-9)
+        out = np.zeros(len(table))
+        lattice.expected(m, lengths, np.ones(len(rows)), p[:, 1:], out)
+        size = np.full(len(m), m.shape[1]) if lengths is None else lengths
+        assert np.isfinite(out).all() and math.isclose(sum(n * len(t) for n, t in zip(out, table)), size.sum(), rel_tol=1e-6)
+    assert seen == len(words)
+
+
+def test_score_is_a_share_for_every_text(spark):
+    path = default_vocabulary()
+    p = np.vstack([np.full((len(pieces(path)), 2), 1e-14), np.zeros((1, 2))])
+    texts = ["ⵜⴰⵎⴰⵣⵉⵖⵜⴰ " * 50, "漢字かな交じり文" * 300, "plain", "ⵜ" * 3000, "", None, "123"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(df, ["aa", "bb"], p, path).collect()}
+    assert [got[i].lang_pred for i in range(7)] == ["aa"] * 4 + ["und"] * 3
+    assert all(0 <= r.score <= 1 and math.isfinite(r.log_prob) for r in got.values()) and got[0].score == 0.5
+
+
 def test_query_is_accurate_on_held_out_rows(spark):
     docs = {d.doc_id: d for d in queries.read(spark, SF, "documents").collect()}
     got = {r.doc_id: r for r in queries.QUERIES["op4_language_id"](spark, SF).collect()}

@@ -39,3 +39,27 @@ def test_window_edges(spark):
     got = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
         assert got[i].n_repeat_words == brute.line_counts(t)["n_repeat_words"]
+
+
+def test_verdict_equals_plain_python(spark):
+    import random
+
+    rnd = random.Random(6)
+    lines = ["", " ", "Home | About | Help", "A line of more than ten words that ends in no sign at all here", "Short one.", "no end", "a $$ b %% c", "WOW!! NOW!! YES!!", "All rights reserved.", "---", "x » y » z", "日本語。"]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(12)))) for i in range(200)]
+    rows += [(1000 + d.doc_id, d.text) for d in queries.read(spark, SF, "documents").collect()]
+    got = {r.doc_id: r for r in clean_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=3).collect()}
+    for i, t in rows:
+        text, left, _ = brute.cleaned(t)
+        assert (got[i].clean_text, got[i].n_kept_words) == (text, left), i
+        assert got[i].kept == (not got[i].base_failed and 2 * left >= got[i].n_words)
+    kept = {r.doc_id: r.kept for r in queries.QUERIES["op9_line_first_cleaning"](spark, SF).collect()}
+    assert all(kept[i - 1000] == brute.cleaned(t)[2] for i, t in rows if i >= 1000)
+
+
+def test_many_lines_of_which_one_repeats(spark):
+    """The time grows with the number of lines: 120,000 lines would not end in a square of it."""
+    lines = [f"This is line {i}, and it is long enough to stay in the text of the page." for i in range(120_000)]
+    lines[60_000] = lines[5]
+    got = clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert got.n_dup_lines == 1 and got.clean_text == "\n".join(lines[:60_000] + lines[60_001:])

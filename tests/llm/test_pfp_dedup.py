@@ -88,3 +88,12 @@ def test_texts_beyond_the_packed_size_tie_to_the_left():
     assert count.sum() == len(data) - 99 and ((trigger >= lo) & (trigger - lo <= 68)).all()
     r2, l2, c2, t2 = parse(data[:5000], np.array([0, 5000]), 100)
     assert (l2[:20] == lo[:20]).all() and (trigger[:20] >= lo[:20]).all()
+
+
+def test_windows_that_share_a_polynomial(spark):
+    from .test_tokens import twins
+
+    texts = dict(enumerate([*twins(1024), *twins(2048)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for length in (512, 1024):
+        _compare(remove_repeats(df, length).collect(), texts, length)

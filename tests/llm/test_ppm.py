@@ -101,3 +101,13 @@ def test_query_equals_brute_force(spark):
     trie = Trie([t for _, t, x in docs if x], 5)
     for i, t, x in docs[:12]:
         assert math.isclose(got[i][0].score, trie.score(t), rel_tol=1e-9)
+
+
+def test_words_that_share_a_polynomial(spark):
+    from .test_tokens import twins
+
+    a, b = twins(1024)
+    df = spark.createDataFrame([(0, a, True), (1, b, False)], "doc_id long, text string, learn boolean")
+    got = {r.id: r for r in score_documents(df, F.col("learn"), 2).collect()}
+    assert (got[0].n_known, got[1].n_known) == (2, 1)
+    assert math.isclose(got[1].base_score, math.log10(1 / 5) + math.log10(2 / 5), rel_tol=1e-12)

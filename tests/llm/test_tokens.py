@@ -32,6 +32,19 @@ def test_word_tokenizer_equals_the_library(spark):
     assert encode(df.limit(0)).count() == 0
 
 
+def twins(n):
+    """Two different words of ``n`` bytes (a power of two) that any polynomial modulo 2^64 with an odd base maps to one value."""
+    return ["".join("ab"[i.bit_count() % 2 ^ k] for i in range(n)) for k in (0, 1)]
+
+
+def test_words_that_share_a_polynomial(spark):
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [w for n in (256, 512, 1024, 2048) for w in twins(n)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, " ".join(texts)])], "doc_id long, text string")
+    for r in encode(df, arrays=True).collect():
+        assert r.ids == tk.encode([*texts, " ".join(texts)][r.id], add_special_tokens=False).ids
+
+
 def test_word_query_equals_the_library(spark):
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     docs = {d.doc_id: d.text for d in queries.read(spark, SF, "documents").collect()}

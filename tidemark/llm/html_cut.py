@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.util import scan
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z][^<>]*(?:>|\Z)",
-    re.S,
+_REST = (
+    r"<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|</?[a-zA-Z][^<>]*(?:>|\Z)"
 )
+_COMMENT = r"<!--(?:.*?-->|.*\Z)|"
+_TAG = re.compile(_COMMENT + r"<!\[CDATA\[.*?\]\]>|" + _REST, re.S)
+#: For what follows the last end of a marked section: an open one there is a comment up to the next ``>``.
+_TAG_AFTER = re.compile(_COMMENT + _REST, re.S)
 _HINT = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Fixed element sets: contents that are never text, that stand in blocks of their own, and that have no end tag.
@@ -91,6 +94,12 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     now: Block | None = None
     serial, at, n = 0, 0, len(html)
+    marked = html.rfind("]]>")
+    standing: Counter[str] = Counter()
+
+    def leave(k: int) -> None:
+        standing.subtract(f.name for f in stack[k:])
+        del stack[k:]
 
     def say(text: str) -> None:
         nonlocal now
@@ -109,7 +118,7 @@ def blocks(html: str) -> list[Block]:
             now.linked += len(text)
 
     while at < n:
-        m = _TAG.search(html, at)
+        m = (_TAG if at < marked else _TAG_AFTER).search(html, at)
         if m is None:
             say(html[at:])
             break
@@ -123,11 +132,11 @@ def blocks(html: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group("end"):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if standing[name] > 0 else ():
                 if stack[k].name == name:
                     if any(f.name in BLOCK for f in stack[k:]):
                         now = None
-                    del stack[k:]
+                    leave(k)
                     break
             else:
                 if name in BLOCK:
@@ -142,7 +151,7 @@ def blocks(html: str) -> list[Block]:
             if stack[-1].name != "" and name != "hr":
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p":
-                        del stack[k:]
+                        leave(k)
                         break
                     if stack[k].name in SCOPE or stack[k].name in IMPLIED:
                         break
@@ -150,7 +159,7 @@ def blocks(html: str) -> list[Block]:
             if ends:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in ends:
-                        del stack[k:]
+                        leave(k)
                         break
                     if stack[k].name in SCOPE:
                         break
@@ -159,6 +168,7 @@ def blocks(html: str) -> list[Block]:
         if name in VOID or m.group("attrs").endswith("/") and name not in BLOCK:
             continue
         serial += 1
+        standing[name] += 1
         stack.append(Frame(name, serial, stack[-1], m.group("attrs")))
     for b in out:
         b.text = " ".join(unescape("".join(b.parts)).split())

@@ -16,8 +16,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tidemark.llm.util import LOWER, Finder, Hashes, distinct_words, ragged, scan, steps, stored, text_bytes
 
 UNKNOWN = "und"
-#: Bytes of a word that one lattice covers; longer words are cut into parts of this many bytes.
+#: Bytes of a word (with the space before it) up to which words of one length share a matrix; longer ones go by logarithms.
 PART = 32
+#: Bytes of long words in one group, and start places of it whose pieces are looked up at once.
+GROUP_BYTES, GROUP_PLACES = 1 << 18, 1 << 10
+#: Least probability of a word for which plain products are exact enough; rarer words go by logarithms.
+LEAST = 1e-250
 #: Smoothing count of every piece.
 FLOOR = 0.1
 
@@ -33,54 +37,86 @@ def pieces(path: str) -> tuple[bytes, ...]:
     """The byte pieces of a rank file; all 256 single bytes are among them, so every text can be segmented."""
     with open(path, "rb") as f:
         found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return tuple(sorted({p for p in found if len(p) <= PART} | {bytes([b]) for b in range(256)}))
+    return tuple(sorted(found | {bytes([b]) for b in range(256)}))
 
 
 class Lattice:
-    """Piece ids of all substrings of word parts, and the sums over all segmentations."""
+    """Piece ids of all substrings of words, and the sums over all segmentations."""
 
     def __init__(self, path: str):
         vocabulary = pieces(path)
         self.size = len(vocabulary)
-        self.longest = max(map(len, vocabulary))
+        self.lengths = sorted({len(p) for p in vocabulary})
         flat = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(p) for p in vocabulary])
-        starts = np.concatenate(([0], ends[:-1]))
-        self.find = Finder(Hashes(flat).of(starts, ends))
-
-    def parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``(word indexes, byte matrix)`` for word parts of equal length; a word's first part begins with a space."""
-        lengths = ends - starts + 1
-        for n in np.unique(np.minimum(lengths, PART + 1)).tolist():
-            if n <= PART:
-                pick = np.flatnonzero(lengths == n)
-                for i in range(0, len(pick), 1 << 13):
-                    rows = pick[i : i + (1 << 13)]
-                    m = np.full((len(rows), n), 32, np.uint8)
-                    if n > 1:
-                        m[:, 1:] = data[starts[rows][:, None] + np.arange(n - 1)]
-                    yield rows, m
-            else:
-                for w in np.flatnonzero(lengths > PART).tolist():
-                    whole = np.concatenate(([np.uint8(32)], data[starts[w] : ends[w]]))
-                    cut = len(whole) // PART * PART
-                    for i in range(0, cut, PART << 12):
-                        m = whole[i : min(cut, i + (PART << 12))].reshape(-1, PART)
-                        yield np.full(len(m), w), m
-                    if cut < len(whole):
-                        yield np.array([w]), whole[cut:][None, :]
-
-    def ids(self, m: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece id (or -1) of ``m[:, i : i + length]`` for every ``(i, length)`` that any row has."""
+        sizes = np.array([len(p) for p in vocabulary], np.int64)
+        ends = np.cumsum(sizes)
+        self.find = Finder(Hashes(flat).of(ends - sizes, ends))
+        # the longest piece that may begin with the same four bytes (by a hash of them, so never too small)
+        self.reach = np.zeros(1 << 20, np.uint8)
+        long = sizes >= 4
+        np.maximum.at(self.reach, self._prefix(flat)[(ends - sizes)[long]], np.minimum(sizes[long], 255).astype(np.uint8))
+
+    @staticmethod
+    def _prefix(flat: np.ndarray) -> np.ndarray:
+        """A 20-bit code of the four bytes from every place (from the last three: of what is left)."""
+        wide = np.concatenate((flat, np.zeros(3, np.uint8))).astype(np.uint32)
+        code = wide[:-3] | (wide[1:-2] << np.uint32(8)) | (wide[2:-1] << np.uint32(16)) | (wide[3:] << np.uint32(24))
+        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
+
+    def parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """``(word indexes, byte matrix, lengths)``: words with a space before them, none cut.
+
+        Words of up to ``PART`` bytes come with others of their length (``lengths`` is None), longer ones in groups of
+        like lengths, filled up at the end.
+        """
+        size = ends - starts + 1
+        short = size <= PART
+        for n in np.unique(size[short]).tolist():
+            pick = np.flatnonzero(size == n)
+            for i in range(0, len(pick), 1 << 13):
+                rows = pick[i : i + (1 << 13)]
+                m = np.full((len(rows), n), 32, np.uint8)
+                if n > 1:
+                    m[:, 1:] = data[starts[rows][:, None] + np.arange(n - 1)]
+                yield rows, m, None
+        long = np.flatnonzero(~short)
+        long = long[np.argsort(-size[long], kind="stable")]
+        i = 0
+        while i < len(long):
+            widest = int(size[long[i]])
+            rows = long[i : i + max(1, GROUP_BYTES // widest)]
+            rows = rows[size[rows] * 2 >= widest]
+            m = np.zeros((len(rows), widest), np.uint8)
+            for k, w in enumerate(rows.tolist()):
+                m[k, 0], m[k, 1 : size[w]] = 32, data[starts[w] : ends[w]]
+            yield rows, m, size[rows]
+            i += len(rows)
+
+    def ids(self, m: np.ndarray, lengths: np.ndarray | None = None, low: int = 0, high: int | None = None) -> dict[tuple[int, int], np.ndarray]:
+        """Piece id (or -1) of ``m[:, i : i + length]`` for every ``(i, length)`` that any row has, for ``low <= i < high``."""
         rows, n = m.shape
-        hashes = Hashes(np.ascontiguousarray(m).reshape(-1))
-        base = np.arange(rows) * n
+        high = n if high is None else min(n, high)
+        stop = min(n, high + self.lengths[-1])
+        part = np.ascontiguousarray(m[:, low:stop])
+        flat, width = part.reshape(-1), stop - low
+        hashes, reach = Hashes(flat), self.reach[self._prefix(flat)].reshape(rows, width)
+        ends = np.full(rows, width) if lengths is None else np.minimum(lengths - low, width)
         out = {}
-        for length in range(1, min(n, self.longest) + 1):
-            at = (base[:, None] + np.arange(n - length + 1)).reshape(-1)
-            got = self.find(hashes.of(at, at + length)).reshape(rows, -1)
+        for length in self.lengths:
+            places = min(high - low, width - length + 1)
+            if places <= 0:
+                break
+            open_ = np.arange(places) + length <= ends[:, None]
+            if length >= 4:
+                open_ &= reach[:, :places] >= length
+            row, i = np.nonzero(open_)
+            if not len(row):
+                continue
+            at = row * width + i
+            got = np.full((rows, places), -1, np.int64)
+            got[row, i] = self.find(hashes.of(at, at + length))
             for i in np.flatnonzero((got >= 0).any(axis=0)).tolist():
-                out[i, length] = got[:, i]
+                out[low + i, length] = got[:, i]
         return out
 
     def forward(self, m: np.ndarray, ids: dict, p: np.ndarray) -> np.ndarray:
@@ -88,31 +124,69 @@ class Lattice:
         rows, n = m.shape
         alpha = np.zeros((n + 1, rows, p.shape[1]))
         alpha[0] = 1.0
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                piece = ids.get((i, j - i))
-                if piece is not None:
-                    alpha[j] += alpha[i] * p[piece]
+        for (i, length), piece in sorted(ids.items()):
+            alpha[i + length] += alpha[i] * p[piece]
         return alpha
 
-    def expected(self, m: np.ndarray, weights: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
+    def log_forward(self, m: np.ndarray, lengths: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """The logarithm of :meth:`forward`, for rows of any lengths and probabilities."""
+        rows, n = m.shape
+        alpha = np.full((n + 1, rows, log_p.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for low in range(0, n, GROUP_PLACES):
+            for (i, length), piece in sorted(self.ids(m, lengths, low, low + GROUP_PLACES).items()):
+                np.logaddexp(alpha[i + length], alpha[i] + log_p[piece], out=alpha[i + length])
+        return alpha
+
+    def log_sums(self, m: np.ndarray, lengths: np.ndarray | None, p: np.ndarray) -> np.ndarray:
+        """The log probability of every row in every language, summed over all its segmentations."""
+        if lengths is None:
+            whole = self.forward(m, self.ids(m), p)[-1]
+            few = np.flatnonzero(whole.min(axis=1) < LEAST)
+            with np.errstate(divide="ignore"):
+                out = np.log(whole)
+            if len(few):
+                out[few] = self.log_sums(m[few], np.full(len(few), m.shape[1]), p)
+            return out
+        with np.errstate(divide="ignore"):
+            alpha = self.log_forward(m, lengths, np.log(p))
+        return alpha[lengths, np.arange(len(m))]
+
+    def expected(self, m: np.ndarray, lengths: np.ndarray | None, weights: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
         """Add to ``out`` the expected number of uses of each piece in the weighted rows (``p`` of one language)."""
+        if lengths is not None:
+            return self._log_expected(m, lengths, weights, p, out)
         ids = self.ids(m)
         rows, n = m.shape
         alpha = self.forward(m, ids, p)[:, :, 0]
+        few = np.flatnonzero(alpha[n] < LEAST)
+        if len(few):
+            self._log_expected(m[few], np.full(len(few), n), weights[few], p, out)
         beta = np.zeros((n + 1, rows))
         beta[n] = 1.0
-        for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get((i, j - i))
-                if piece is not None:
-                    beta[i] += beta[j] * p[piece, 0]
-        scale = weights / alpha[n]
+        for (i, length), piece in sorted(ids.items(), reverse=True):
+            beta[i] += beta[i + length] * p[piece, 0]
+        scale = np.where(alpha[n] < LEAST, 0.0, weights / np.maximum(alpha[n], LEAST))
         for (i, length), piece in ids.items():
             used = alpha[i] * p[piece, 0] * beta[i + length] * scale
             has = piece >= 0
             out += np.bincount(piece[has], used[has], len(out))
 
+    def _log_expected(self, m: np.ndarray, lengths: np.ndarray, weights: np.ndarray, p: np.ndarray, out: np.ndarray) -> None:
+        rows, n = m.shape
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        alpha = self.log_forward(m, lengths, log_p)[:, :, 0]
+        whole = alpha[lengths, np.arange(rows)]
+        beta = np.full((n + 1, rows), -np.inf)
+        beta[lengths, np.arange(rows)] = 0.0
+        for low in reversed(range(0, n, GROUP_PLACES)):
+            for (i, length), piece in sorted(self.ids(m, lengths, low, low + GROUP_PLACES).items(), reverse=True):
+                behind = log_p[piece, 0] + beta[i + length]
+                np.logaddexp(beta[i], behind, out=beta[i])
+                has = piece >= 0
+                np.add.at(out, piece[has], weights[has] * np.exp(alpha[i, has] + behind[has] - whole[has]))
+
 
 def language_words(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
     """``(lang, word, n)``: how often each lower-cased (A-Z) word stands in the rows of each non-null language."""
@@ -170,8 +244,8 @@ def learn(table: DataFrame, path: str, rounds: int = 2) -> tuple[list[str], np.n
                     n = part["n"].to_numpy().astype(float)
                     for i, j in steps(offsets, 1 << 20):
                         at = offsets[i : j + 1] - offsets[i]
-                        for rows, m in lattice.parts(data[offsets[i] : offsets[j]], at[:-1], at[1:]):
-                            lattice.expected(m, n[i:j][rows], prob[:, k : k + 1], sums[k])
+                        for rows, m, lengths in lattice.parts(data[offsets[i] : offsets[j]], at[:-1], at[1:]):
+                            lattice.expected(m, lengths, n[i:j][rows], prob[:, k : k + 1], sums[k])
             k, piece = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(sums[k, piece])], ["lang", "piece", "n"])
 
@@ -212,8 +286,8 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str, text_co
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 keys, starts, ends, inverse, first = distinct_words(part, at)
                 logs = np.zeros((len(keys) + 1, len(names)))
-                for rows, m in lattice.parts(part, starts, ends):
-                    np.add.at(logs, rows, np.log(lattice.forward(m, lattice.ids(m), prob)[-1]))
+                for rows, m, lengths in lattice.parts(part, starts, ends):
+                    logs[rows] = lattice.log_sums(m, lengths, prob)
                 row = np.repeat(np.arange(j - i), np.diff(first))
                 for k in range(len(names)):
                     total[i:j, k] = np.bincount(row, logs[inverse, k], j - i)

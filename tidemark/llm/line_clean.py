@@ -93,6 +93,20 @@ def line_verdicts(lines: Column) -> Column:
     return F.transform(lines, judge)
 
 
+def first_lines(judged: Column) -> Column:
+    """The judged lines without those that equal an earlier one; lines without a word all stay.
+
+    Lines sorted with their places put equal ones side by side, so the work grows with their number, not its square.
+    """
+
+    def firsts(a: Column) -> Column:
+        ranked = F.sort_array(F.transform(a, lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"), x["words"].alias("words"))))
+        new = F.transform(F.array(ranked), lambda s: F.filter(s, lambda x, k: (x["words"] == 0) | ~F.get(s, k - 1)["line"].eqNullSafe(x["line"])))[0]
+        return F.sort_array(F.transform(new, lambda x: x["i"]))
+
+    return F.transform(F.array(judged), lambda a: F.transform(firsts(a), lambda i: F.get(a, i)))[0]
+
+
 def clean_lines(
     docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, min_kept_percent: int = 50, prefix: str = ""
 ) -> DataFrame:
@@ -121,10 +135,7 @@ def clean_lines(
     )
     passed = F.filter("_judged", lambda x: x["failed"].isNull())
     # an equal line has an equal verdict, so repeats are found among the lines that pass
-    once = F.when(
-        F.col(f"{p}n_dup_lines") > 0,
-        F.transform(F.array(passed), lambda a: F.filter(a, lambda x, i: (x["words"] == 0) | (F.array_position(F.transform(a, lambda y: y["line"]), x["line"]) == i + 1)))[0],
-    ).otherwise(passed)
+    once = F.when(F.col(f"{p}n_dup_lines") > 0, first_lines(passed)).otherwise(passed)
     failed = (F.col(f"{p}n_words") < min_words) | (100 * F.col(f"{p}n_repeat_words") > max_repeat_percent * F.col(f"{p}n_words"))
     done = counted.withColumn(f"{p}base_failed", failed).withColumn("_kept", once)
     kept_words = F.aggregate("_kept", F.lit(0).cast("long"), lambda a, x: a + x["words"])

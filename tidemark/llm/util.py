@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from tidemark.session import ensure_checkpoint_dir
@@ -113,11 +114,17 @@ def byte_codes(seed: int) -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
+#: Bytes from which a range gets a hash of its bytes: differences of a polynomial modulo 2^64 can cancel out in long ones.
+LONG_RANGE = 256
+
+
 class Hashes:
-    """Polynomial hashes of any byte range of ``data`` in constant time per range, by prefix sums modulo 2^64."""
+    """Hashes of any byte range of ``data``: polynomials modulo 2^64 by prefix sums, in constant time per range, and
+    XXH64 for ranges of ``LONG_RANGE`` bytes or more."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
+        self.data, self.seed = data, seed
         self.sums = np.zeros(n + 1, np.uint64)
         np.take(byte_codes(seed), data, out=self.sums[1:])
         self.sums[1:] *= _power("up", _MULTIPLIER, n)
@@ -125,7 +132,10 @@ class Hashes:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * _power("down", _INVERSE, len(self.sums))[starts]
-        return mixed(raw + (ends - starts).astype(np.uint64))
+        out = mixed(raw + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts >= LONG_RANGE).tolist():
+            out[k] = xxhash.xxh64_intdigest(self.data[starts[k] : ends[k]].tobytes(), self.seed)
+        return out
 
 
 def scan(df: DataFrame, columns: list, schema, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
