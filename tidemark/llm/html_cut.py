@@ -127,7 +127,7 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         name = m.group("name")
         if name is None:
-            if m.group(0).startswith("<![CDATA["):
+            if m.re is _TAG and m.group(0).startswith("<![CDATA[") and m.group(0).endswith("]]>"):
                 say(m.group(0)[9:-3])
             continue
         name = name.lower()
