@@ -59,6 +59,16 @@ def embedding_delta(neighbor: str = "neighbor_embeds", original: str = "input_em
     return vec_sub(original, neighbor)
 
 
+def modality_deltas(embeds: DataFrame, kind: str, sign: str = "neighbor_minus_input", id_col: str = "sample_id") -> DataFrame:
+    """``(id, k, {kind}_delta)`` from media vectors whose original stands at ``k = -1``.
+
+    The original's vector comes from its own row, joined back. Null where either side has no vector.
+    """
+    own = embeds.filter(F.col("k") == -1).select(id_col, F.col("embeds").alias("input_embeds"))
+    rows = embeds.filter(F.col("k") >= 0).withColumnRenamed("embeds", "neighbor_embeds").join(own, id_col, "left")
+    return rows.select(id_col, "k", embedding_delta(sign=sign).alias(f"{kind}_delta"))
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ("ds_name", "model_name")) -> DataFrame:
     """Per-group statistics, defaults mean 0 / std 1 / min 0 / diff 1 when the group has none."""
     out = df.join(stats, list(by), "left")
@@ -69,9 +79,11 @@ def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ("ds_name"
 
 
 def build_deltas(samples: DataFrame, embeds: DataFrame, losses: DataFrame, sign: str = "neighbor_minus_input",
-                 stats: DataFrame | None = None) -> DataFrame:
+                 stats: DataFrame | None = None, modality: DataFrame | None = None) -> DataFrame:
     """``(sample_id, k, ds_name, model_name, label, loss_delta, embedding_delta)`` for every model and label.
 
+    ``modality`` (:func:`modality_deltas`) adds its delta columns, null where a neighbour has none.
+
     ``embeds``: ``(sample_id, k, embeds)`` with ``k = -1`` for the original;
     ``losses``: ``(sample_id, k, model_name, label, neighbor_loss, input_loss)``.
     """
@@ -87,6 +99,8 @@ def build_deltas(samples: DataFrame, embeds: DataFrame, losses: DataFrame, sign:
         loss_delta(sign=sign).alias("loss_delta"),
         embedding_delta(sign=sign).alias("embedding_delta"),
     )
+    if modality is not None:
+        out = out.join(modality, KEY, "left")
     if stats is not None:
         out = attach_stats(out, stats)
     return out

@@ -69,9 +69,25 @@ def plugin_embedding(df: DataFrame, text: str, embed_fn: Callable[[pd.Series], l
     return df.withColumn(out, run(F.col(text)))
 
 
-def explode_neighbors(nbrs: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """E01 (no aligned media list): distinct neighbour texts per sample, each keeping its first ``k``."""
-    return nbrs.groupBy(id_col, "neighbor").agg(F.min("k").alias("k"))
+def explode_neighbors(nbrs: DataFrame, id_col: str = "sample_id", media: DataFrame | None = None,
+                      ignore_media: bool = False) -> DataFrame:
+    """The neighbours that are embedded, ``(id, neighbor, k)`` and with ``media`` the ``path`` of each.
+
+    ``media`` has a row per sample, ``(id, media_path, media_neighbors array<string>)``. A list that is not ignored and
+    has one path per neighbour is zipped with the neighbours in the order of ``k``, repeats kept; any other sample (list
+    null, of another length, or no row) keeps its distinct neighbours, each at its first ``k``, with the base path.
+    """
+    if media is None:
+        return nbrs.groupBy(id_col, "neighbor").agg(F.min("k").alias("k"))
+    # a sample has a fixed number of neighbours, so its list is short
+    lists = nbrs.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("k", "neighbor"))).alias("_ns"))
+    both = lists.join(media.select(id_col, "media_path", "media_neighbors"), id_col, "left")
+    zipped = F.zip_with("_ns", "media_neighbors", lambda n, p: F.struct(n["neighbor"].alias("neighbor"), n["k"].alias("k"), p.alias("path")))
+    names = F.transform("_ns", lambda n: n["neighbor"])
+    first = F.filter("_ns", lambda n, i: F.array_position(names, n["neighbor"]) == i + 1)
+    base = F.transform(first, lambda n: F.struct(n["neighbor"].alias("neighbor"), n["k"].alias("k"), F.col("media_path").alias("path")))
+    aligned = F.lit(not ignore_media) & F.coalesce(F.size("media_neighbors") == F.size("_ns"), F.lit(False))
+    return both.select(id_col, F.inline(F.when(aligned, zipped).otherwise(base)))
 
 
 def compose_text(input_col: Column, answer_col: Column, neighbor_col: Column | None, user_answer: bool) -> Column:
@@ -83,8 +99,8 @@ def compose_text(input_col: Column, answer_col: Column, neighbor_col: Column | N
     return F.concat_ws(" ", neighbor_col, answer_col)
 
 
-def _texts(samples: DataFrame, nbrs: DataFrame, user_answer: bool, id_col: str) -> DataFrame:
-    distinct = explode_neighbors(nbrs, id_col)
+def _texts(samples: DataFrame, nbrs: DataFrame, user_answer: bool, id_col: str, specs: DataFrame | None = None) -> DataFrame:
+    distinct = explode_neighbors(nbrs, id_col) if specs is None else specs.select(id_col, "neighbor", "k")
     s = samples.select(id_col, "input", "answer")
     nb = distinct.join(s, id_col).select(
         id_col, "k", compose_text(F.col("input"), F.col("answer"), F.col("neighbor"), user_answer).alias("text"))
@@ -100,6 +116,19 @@ def embed_stage(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False,
 
 
 def embed_vectors(samples: DataFrame, nbrs: DataFrame, user_answer: bool = False, dim: int = DIM,
-                  id_col: str = "sample_id") -> DataFrame:
-    """E05 as dense vectors ``(sample_id, k, embeds)``; texts without tokens have no row, as in the long form."""
-    return hashed_vectors(_texts(samples, nbrs, user_answer, id_col), [id_col, "k"], "text", dim)
+                  id_col: str = "sample_id", specs: DataFrame | None = None) -> DataFrame:
+    """E05 as dense vectors ``(sample_id, k, embeds)``; texts without tokens have no row, as in the long form.
+
+    ``specs`` are the neighbours to embed where they are aligned with media (:func:`explode_neighbors`).
+    """
+    return hashed_vectors(_texts(samples, nbrs, user_answer, id_col, specs), [id_col, "k"], "text", dim)
+
+
+def media_vectors(specs: DataFrame, media: DataFrame, vectors: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """E04 / E05 for media: ``(id, k, embeds)`` of every neighbour's path and, at ``k = -1``, of the sample's own.
+
+    ``vectors`` is ``(path, vector)`` with one row per distinct path, so a path that many neighbours share is
+    embedded once. A path that is null or has no vector gives a null ``embeds``.
+    """
+    asked = specs.select(id_col, "k", "path").unionByName(media.select(id_col, F.lit(-1).alias("k"), F.col("media_path").alias("path")))
+    return asked.join(vectors.select("path", F.col("vector").alias("embeds")), "path", "left").select(id_col, "k", "embeds")

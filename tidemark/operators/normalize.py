@@ -62,12 +62,14 @@ def norm_linear(loss: str = "loss_delta", min_loss: str = "min_loss", diff: str
 
 
 def assemble(df: DataFrame, model_name: str, sigmas_type: str = "none", stats: DataFrame | None = None,
-             modality_cols: Sequence[str] = ("image_delta", "video_delta", "audio_delta")) -> DataFrame:
+             modality_cols: Sequence[str] = ("image_delta", "video_delta", "audio_delta"),
+             modality_dim: int | None = None) -> DataFrame:
     """Attack features ``[loss'] ++ embedding_delta (++ modality delta)``.
 
     ``sigmas_type``: ``none`` | ``std`` | ``linear``. The modality vector
     (first present of image, video, audio) is added unless the model name
-    holds "baseline".
+    holds "baseline". A row without any gets ``modality_dim`` zeros if that is
+    given, so that all rows have one length, else no modality entries.
     """
     out = df
     if sigmas_type == "std":
@@ -79,5 +81,5 @@ def assemble(df: DataFrame, model_name: str, sigmas_type: str = "none", stats: D
     parts = [F.array(F.col("loss_feature")), F.col("embedding_delta")]
     present = [c for c in modality_cols if c in out.columns]
     if present and "baseline" not in model_name.lower():
-        parts.append(F.coalesce(*[F.col(c) for c in present], F.array().cast("array<double>")))
+        parts.append(F.coalesce(*[F.col(c) for c in present], F.array_repeat(F.lit(0.0), modality_dim or 0)))
     return out.withColumn("features", F.concat(*parts))

@@ -528,6 +528,105 @@ def d08(spark, sf_dir):
     return DL.legacy_groups(s).select("sample_id", "group_idx")
 
 
+# --------------------------------------------------------------------------- modality branch
+_SPECS_SQL = (
+    "nn AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY k) - 1 "
+    "AS pos FROM nbrs), ml AS (SELECT sample_id, 'media/' || CAST(sample_id * 13 % 520 AS VARCHAR) AS base, conv_id % 3 AS mkind "
+    "FROM samples), specs AS (SELECT nn.sample_id, neighbor, k, 'media/' || CAST((nn.sample_id * 7 + pos) % 520 AS VARCHAR) AS path "
+    "FROM nn JOIN ml USING (sample_id) WHERE mkind = 0 UNION ALL SELECT nn.sample_id, neighbor, min(k), base FROM nn "
+    "JOIN ml USING (sample_id) WHERE mkind <> 0 GROUP BY nn.sample_id, neighbor, base), "
+    "mf AS (SELECT 'media/' || CAST(vec_id AS VARCHAR) AS path, embedding AS v FROM embeddings)"
+)
+_MODALITY_SQL = (
+    f"{_SPECS_SQL}, md AS (SELECT sp.sample_id, sp.k, a.v AS nv, b.v AS iv FROM specs sp JOIN ml USING (sample_id) "
+    "LEFT JOIN mf a ON a.path = sp.path LEFT JOIN mf b ON b.path = ml.base), "
+    "mdd AS (SELECT sample_id, k, d.dim, CAST(nv[d.dim + 1] AS DOUBLE) - CAST(iv[d.dim + 1] AS DOUBLE) AS delta FROM md, "
+    "range(0, 64) d(dim) WHERE nv IS NOT NULL AND iv IS NOT NULL)"
+)
+
+
+def _aligned(spark, sf_dir, s, nb):
+    """Neighbours aligned with their media, and media deltas."""
+    media = V.media_lists(s, nb)
+    specs = EM.explode_neighbors(nb, media=media)
+    vectors = EM.media_vectors(specs, media, V.media_files(spark, sf_dir))
+    return specs, DL.modality_deltas(vectors, "image")
+
+
+@query("e01b_aligned_media", f"WITH {NEIGHBORS_SQL}, {_SPECS_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, neighbor, path FROM specs")
+def e01b(spark, sf_dir):
+    """Neighbours zipped with their own media where the lists have one length, else distinct with the base path."""
+    s = V.samples(spark, sf_dir)
+    nb = cut_lineage(N.neighbors(s))
+    return EM.explode_neighbors(nb, media=V.media_lists(s, nb)).select("sample_id", "k", "neighbor", "path")
+
+
+@query("d05_modality_delta", f"WITH {NEIGHBORS_SQL}, {_MODALITY_SQL} SELECT sample_id, CAST(k AS BIGINT) AS k, "
+       "CAST(dim AS BIGINT) AS dim, round(delta, 6) AS delta FROM mdd UNION ALL SELECT sample_id, CAST(k AS BIGINT), NULL, NULL "
+       "FROM md WHERE nv IS NULL OR iv IS NULL")
+def d05(spark, sf_dir):
+    """Every entry of the media delta of every neighbour; one row of nulls where a side has no vector."""
+    s = V.samples(spark, sf_dir)
+    _, deltas = _aligned(spark, sf_dir, s, cut_lineage(N.neighbors(s)))
+    return deltas.select("sample_id", "k", F.posexplode_outer("image_delta").alias("dim", "delta"))
+
+
+_DISTINCT_SQL = "dn AS (SELECT sample_id, neighbor, min(k) AS k FROM nbrs GROUP BY sample_id, neighbor), "
+_MODAL_DELTA_SQL = _DELTA_SQL.replace(_DISTINCT_SQL, f"{_MODALITY_SQL}, dn AS (SELECT sample_id, neighbor, k FROM specs), ")
+
+
+def _modal_deltas(spark, sf_dir):
+    s = V.samples(spark, sf_dir)
+    nb = cut_lineage(N.neighbors(s))
+    specs, deltas = _aligned(spark, sf_dir, s, nb)
+    embeds = cut_lineage(EM.embed_vectors(s, nb, specs=specs))
+    return cut_lineage(DL.build_deltas(s, embeds, _losses(spark, sf_dir, s, nb), modality=deltas))
+
+
+@query(
+    "z06b_assemble_modality",
+    f"WITH {_MODAL_DELTA_SQL}, zs AS (SELECT ds_name, model_name, min(loss_delta) AS lo, max(loss_delta) - min(loss_delta) "
+    "AS diff FROM deltas GROUP BY ALL), zf AS (SELECT d.*, CASE WHEN diff = 0 THEN d.loss_delta - lo ELSE (d.loss_delta - lo) / "
+    "diff END AS lf FROM deltas d JOIN zs USING (ds_name, model_name)), "
+    "tsum AS (SELECT sample_id, k, sum((dim + 2) * delta) AS t FROM dd GROUP BY ALL), "
+    "msum AS (SELECT sample_id, k, sum((dim + 66) * delta) AS m FROM mdd GROUP BY ALL) "
+    "SELECT zf.sample_id, CAST(zf.k AS BIGINT) AS k, model_name, round(lf, 6) AS loss_feature, CAST(129 AS BIGINT) AS n_features, "
+    "round(lf + t + coalesce(m, 0), 5) AS weighted_sum FROM zf JOIN tsum USING (sample_id, k) LEFT JOIN msum USING (sample_id, k)",
+)
+def z06b(spark, sf_dir):
+    """Loss (scaled to its group's range), text delta and media delta in one vector; the sum of its entries times their places."""
+    d = _modal_deltas(spark, sf_dir)
+    out = NZ.assemble(d, "ModalityAllLossNormLinear", "linear", NZ.loss_min_range(d), modality_dim=64)
+    weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("sample_id", "k", "model_name", "loss_feature", F.size("features").alias("n_features"),
+                      F.round(weighted, 5).alias("weighted_sum"))
+
+
+@query(
+    "l02b_score_loss_whole",
+    f"WITH {SAMPLES_SQL}, {_lm_sql('lma', 'true')}, tx AS (SELECT sample_id, input || ' ' || answer AS text "
+    f"FROM samples), {_score_sql('sc', 'lma', 'tx', 'sample_id')} SELECT sample_id, round(loss, 6) AS loss FROM sc",
+)
+def l02b(spark, sf_dir):
+    """Loss under the bigram model of all documents."""
+    s = V.samples(spark, sf_dir).select("sample_id", F.concat_ws(" ", "input", "answer").alias("text"))
+    return LO.score_loss(s, ["sample_id"], "text", LO.train_bigram_lm(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "d01c_unmatched_by_model",
+    f"WITH {_DELTA_SQL} SELECT model_name, CAST(count(*) AS BIGINT) AS n FROM losses l WHERE NOT EXISTS (SELECT 1 FROM keys kk "
+    "WHERE kk.sample_id = l.sample_id AND kk.k = l.k) GROUP BY model_name",
+)
+def d01c(spark, sf_dir):
+    """Loss rows without an embedding, for every model."""
+    s = V.samples(spark, sf_dir)
+    nb = cut_lineage(N.neighbors(s))
+    embeds = EM.embed_vectors(s, nb).filter(F.col("k") >= 0)
+    left = _losses(spark, sf_dir, s, nb).join(embeds.select("sample_id", "k"), ["sample_id", "k"], "left_anti")
+    return left.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _media_samples(spark, sf_dir):
     s = V.samples(spark, sf_dir)
     return s.withColumn("modality", F.when(F.pmod("conv_id", F.lit(5)) == 0,

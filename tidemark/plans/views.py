@@ -84,3 +84,21 @@ def event_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_loss",
         (F.col("value") - F.col("input_loss")).alias("loss_delta"),
     )
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media files with their vectors, ``(path, vector array<double>)``: one file per row of ``embeddings``."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("media/"), F.col("vec_id").cast("string")).alias("path"),
+                    F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def media_lists(samples: DataFrame, nbrs: DataFrame) -> DataFrame:
+    """``(sample_id, media_path, media_neighbors)``: lists of one path per neighbour, of one path too few, or null."""
+    path = lambda n: F.concat(F.lit("media/"), F.pmod(n, F.lit(520)).cast("string"))
+    count = nbrs.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    kind = F.pmod(F.col("conv_id"), F.lit(3))
+    many = F.when(kind == 0, F.col("n")).when(kind == 1, F.col("n") - 1)
+    paths = F.transform(F.sequence(F.lit(0), many - 1), lambda i: path(F.col("sample_id") * 7 + i))
+    return samples.join(count, "sample_id").select(
+        "sample_id", path(F.col("sample_id") * 13).alias("media_path"), F.when(many >= 1, paths).alias("media_neighbors"))
