@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import vec_dot
 from tidemark.operators import attack as AT
 from tidemark.operators import metrics as M
+from tidemark.operators import named_models as NM
 from tidemark.operators import normalize as NZ
 from tidemark.operators.folds import train_test_split
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
-from tidemark.plans.q_pipeline import EVENTS_SQL, _deltas
+from tidemark.plans.q_pipeline import EVENTS_SQL, _deltas, _modal_deltas
 
 COEFS = AT.loglinear_coefs(4)
 
@@ -47,6 +48,49 @@ def m06(spark, sf_dir):
     return M.metrics_table(scores, by=["ds_name"])
 
 
+def _named(name: str):
+    """Deltas with media → features of the variant → fit on the training samples → validation metrics per dataset."""
+
+    def run(spark, sf_dir):
+        d = _modal_deltas(spark, sf_dir)
+        split = train_test_split(d, "sample_id", 0.3)
+        model = NM.train_named(name, split.filter(~F.col("is_test")), modality_dim=64, max_iter=20)
+        return NM.validate(model, split.filter(F.col("is_test")))
+
+    run.__doc__ = f"{name}: {_named.__doc__}"
+    return run
+
+
+#: One query for every named variant.
+for _query, _name in {
+    "m02_baseline": "BaseLine", "m03_modality_all": "ModalityAll",
+    "m04_baseline_std": "BaseLineLossNormSTD", "m04_modality_std": "ModalityAllLossNormSTD",
+    "m04_baseline_linear": "BaseLineLossNormLinear", "m04_modality_linear": "ModalityAllLossNormLinear",
+    "m05_periodic_baseline": "PeriodicBaseLine", "m05_periodic_modality": "PeriodicModalityAll",
+}.items():
+    query(_query)(_named(_name))
+
+
+def _network(spark, sf_dir):
+    f = V.features(spark, sf_dir)
+    return f, AT.train(f, 64, hidden=(32, 16), max_iter=60)
+
+
+@query("a01b_network_gradients")
+def a01b(spark, sf_dir):
+    """Integrated gradients through the fitted network (100 nodes); ``gap`` = Σattr − (f(x) − f(0))."""
+    f, model = _network(spark, sf_dir)
+    return NM.network_attributions(model, f, "vec_id").select("vec_id", "label", "attr_sum", "gap")
+
+
+@query("a02b_network_smoothgrad")
+def a02b(spark, sf_dir):
+    """Mean attribution through the network over 250 noisy copies of every row (σ = 0.02), norms of its halves."""
+    f, model = _network(spark, sf_dir)
+    got = NM.network_attributions(model, f, "vec_id", noise_samples=AT.SMOOTHGRAD_SAMPLES)
+    return NM.block_norms(got, {"first": (0, 32), "second": (32, 32)}).drop("attr")
+
+
 def _linear(spark, sf_dir):
     f = V.features(spark, sf_dir)
     model = AT.fit_linear(f)
