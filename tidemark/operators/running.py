@@ -5,7 +5,7 @@ Here the rows are range-partitioned into slices once, each row is written to
 the reliable checkpoint folder together with its slice number, and both
 branches read that one table: local running sums in a window partitioned by
 ``(slice, group)``, and a per-slice totals table (at most ``slices + groups``
-rows) that gives the offset of every earlier slice. The slice is stored with
+rows), whose own running sums give the offset of every slice. The slice is stored with
 the row, so the branches agree whatever columns they read, however often a
 task is repeated, and at every size.
 """
@@ -44,16 +44,11 @@ def running_totals(
     along = Window.partitionBy("_slice", *groups).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.sum(c).over(along).alias(f"_loc_{c}") for c in sum_cols])
     totals = sliced.groupBy("_slice", *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    # offsets: a join of the totals with those of earlier slices, at most (slices + groups) rows on either side
-    now, past = totals.alias("now"), totals.alias("past")
-    earlier = F.col("past._slice") < F.col("now._slice")
-    for g in groups:
-        earlier = earlier & F.col(f"past.{g}").eqNullSafe(F.col(f"now.{g}"))
-    offsets = now.join(past, earlier, "left").groupBy("now._slice", *[f"now.{g}" for g in groups]).agg(
-        *[F.coalesce(F.sum(f"past._tot_{c}"), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]
-    )
-    offsets = offsets.select(
-        F.col("_slice").alias("_at"), *[F.col(g).alias(f"_of_{g}") for g in groups], *[f"_off_{c}" for c in sum_cols]
+    # offsets: running sums over the totals, one row a slice and group
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("_slice").alias("_at"), *[F.col(g).alias(f"_of_{g}") for g in groups],
+        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
     )
     same = F.col("_slice") == F.col("_at")
     for g in groups:
