@@ -26,7 +26,7 @@ from tidemark.llm.util import mixed, partitions, ragged, steps, stored, text_byt
 #: Pairs in a block of the index, and in a round: a round's index (about 8 bytes a pair, and 9 of results) goes to every task.
 BLOCK_PAIRS, ROUND_PAIRS = 1 << 15, 1 << 22
 #: Bytes of text in one step.
-ALIGN_STEP = 4 << 20
+ALIGN_STEP = 3 << 20
 
 
 class Aligner:
