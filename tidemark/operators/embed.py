@@ -9,7 +9,7 @@ L2-normalised. Vectors are one aggregation per text with a sum for each bucket.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,7 +62,7 @@ def plugin_embedding(df: DataFrame, text: str, embed_fn: Callable[[pd.Series], l
     """E03 plug-in: ``embed_fn`` (texts → vectors) runs per Arrow batch; one model load per worker."""
 
     @F.pandas_udf("array<double>")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([list(map(float, v)) for v in embed_fn(s)])
 

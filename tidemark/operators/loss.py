@@ -99,7 +99,7 @@ def plugin_loss(df: DataFrame, text: str, score_fn: Callable[[pd.Series], Sequen
     """L02 plug-in: ``score_fn`` (texts → losses) runs per Arrow batch, one model per worker."""
 
     @F.pandas_udf("double")
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([float(x) for x in score_fn(s)])
 
