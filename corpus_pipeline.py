@@ -47,8 +47,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Suffix-array dedup: bytes in 100-byte strings that start earlier go; ``n_chars`` follows the new text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     kept = remove_repeats(docs, 100, texts=True, carry=others)
-    length = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
-    new = {"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": length}
+    new = {"doc_id": F.col("id"), "text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
     return kept.select([(new[c] if c in new else F.col("more")[c]).alias(c) for c in docs.columns])
 
 
