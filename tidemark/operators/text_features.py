@@ -8,6 +8,7 @@ be. A bounded vocabulary is broadcast; an unbounded one is joined normally.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,33 @@ def tfidf_vectors(counts: DataFrame, idf: DataFrame, id_col: str = "doc_id", bou
     return raw.select(id_col, "idx", (F.col("raw") / norm).alias("value"))
 
 
+def term_vectors(tf: DataFrame, train_ids: DataFrame, vectorizer: str = "tf", id_col: str = "doc_id") -> DataFrame:
+    """H08/H09 over all terms of the training rows: ``(id, term, value)``, keyed by term, without an index.
+
+    The vocabulary is a joined table of one row a term, never a list in a row or on the driver.
+    """
+    voc = tf.join(train_ids.select(id_col), id_col, "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = tf.join(voc, "term")
+    if vectorizer == "count":
+        return known.select(id_col, "term", F.col("tf").cast("double").alias("value"))
+    if vectorizer != "tf":
+        raise ValueError(f"unknown vectorizer {vectorizer!r}")
+    n = train_ids.agg(F.count(F.lit(1)).alias("_n"))
+    raw = known.crossJoin(F.broadcast(n)).select(
+        id_col, "term", (F.col("tf") * (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0)).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))  # a document's distinct terms
+    return raw.select(id_col, "term", (F.col("raw") / norm).alias("value"))
+
+
+def sparse(long: DataFrame, ids: DataFrame, size: int, id_col: str = "doc_id", out: str = "features") -> DataFrame:
+    """ML vectors of ``size`` with the non-zero entries of each id alone (empty for ids without entries)."""
+    agg = long.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_e"))
+    at = F.coalesce(F.col("_e.idx"), F.array().cast("array<int>"))
+    values = F.coalesce(F.col("_e.value"), F.array().cast("array<double>"))
+    vector = F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())
+    return ids.join(agg, id_col, "left").withColumn(out, vector(at, values)).drop("_e")
+
+
 def dense(long: DataFrame, ids: DataFrame, size: int, id_col: str = "doc_id", out: str = "features") -> DataFrame:
     """Dense ``array<double>`` of ``size`` per id (zeros for ids without entries); size is the bounded vocab."""
     agg = long.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m"))

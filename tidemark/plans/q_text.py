@@ -10,6 +10,7 @@ from tidemark.operators import text_features as TF
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
 from tidemark.plans.sqlkit import CORPUS
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 TERMS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0)"
@@ -26,13 +27,14 @@ def _tf_sql(src: str) -> str:
     )
 
 
-def _vectors_sql(k: int, vectorizer: str) -> str:
+def _vectors_sql(k: int | None, vectorizer: str) -> str:
     """CTEs ``voc`` and ``vec`` (long entries) with the vocabulary and idf fitted on training rows."""
+    top = "" if k is None else f"ORDER BY c DESC, term LIMIT {k}"
     base = (
         f"{CORPUS}, {SPLIT_SQL}, {_tf_sql('split')}, "
         "train_tf AS (SELECT tf.* FROM tf JOIN split USING (doc_id) WHERE NOT is_test), "
         "voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM "
-        f"(SELECT term, sum(tf) AS c FROM train_tf GROUP BY term ORDER BY c DESC, term LIMIT {k})), "
+        f"(SELECT term, sum(tf) AS c FROM train_tf GROUP BY term {top})), "
         "cnt AS (SELECT doc_id, idx, CAST(tf AS DOUBLE) AS value FROM tf JOIN voc USING (term))"
     )
     if vectorizer == "count":
@@ -168,3 +170,24 @@ def h14(spark, sf_dir):
     params, priors = NB.multinomial_fit(labelled.filter(~F.col("is_test")), train_ids, size)
     test_ids = docs.filter(F.col("is_test")).select("doc_id")
     return NB.multinomial_predict(params, priors, labelled.filter(F.col("is_test")).drop("label"), test_ids)
+
+
+def _whole_vocabulary(spark, sf_dir, model_type, vectorizer):
+    docs = _split(spark, sf_dir)
+    tf = TF.term_counts(docs)
+    train, test = docs.filter(~F.col("is_test")).select("doc_id", "label"), docs.filter(F.col("is_test")).select("doc_id")
+    entries = cut_lineage(TF.term_vectors(tf, train, vectorizer))
+    params, const = NB.sparse_fit(entries.join(train, "doc_id"), train, model_type)
+    return NB.sparse_predict(params, const, entries, test)
+
+
+@query("h13b_gaussian_whole_vocabulary", f"WITH {_vectors_sql(None, 'tf')}, {_GAUSS_SQL}")
+def h13b(spark, sf_dir):
+    """Gaussian naive Bayes on tf-idf entries of every term of the training rows, nothing dense."""
+    return _whole_vocabulary(spark, sf_dir, "gaussian", "tf")
+
+
+@query("h14b_multinomial_whole_vocabulary", f"WITH {_vectors_sql(None, 'tf')}, {_MULTI_SQL}")
+def h14b(spark, sf_dir):
+    """Multinomial naive Bayes on tf-idf entries of every term of the training rows (the `gutenberg` profile's model)."""
+    return _whole_vocabulary(spark, sf_dir, "multi", "tf")
