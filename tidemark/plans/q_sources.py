@@ -12,6 +12,7 @@ from tidemark.sources import labelled as L
 from tidemark.sources import parts as P
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
+from tidemark.streaming import incremental as INC
 from tidemark.streaming import scorer as ST
 
 
@@ -140,3 +141,11 @@ def s14b(spark, sf_dir):
     # the static sides are computed once, not again in every micro-batch
     first, stats = (cut_lineage(df) for df in _z04_like(spark, sf_dir))
     return ST.incremental_normalised_losses(spark, sf_dir, first, stats)
+
+
+@query("s14c_incremental_scores", _s14b_sql())
+def s14c(spark, sf_dir):
+    """The same scores from keyed stream state (first loss and moments), with no pass over the events before the stream."""
+    root = P.shared_path(spark, "incremental")
+    INC.ingest(spark, sf_dir, root, "events.parquet")
+    return INC.scores(spark, root)
