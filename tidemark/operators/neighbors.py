@@ -155,17 +155,21 @@ def context_model(prep: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tri, bi, uni.select(F.col("tok").alias("fill"))
 
 
+def context_fills(contexts: DataFrame, model: tuple) -> DataFrame:
+    """``(_l, _r, fill)`` of distinct contexts ``(left, right)``: by both sides, else by the left one, else the commonest token."""
+    tri, bi, uni = model
+    fills = contexts.join(tri.withColumnRenamed("fill", "f3"), ["left", "right"], "left").join(
+        bi.withColumnRenamed("fill", "f2"), ["left"], "left").crossJoin(F.broadcast(uni.withColumnRenamed("fill", "f1")))
+    return fills.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("f3", "f2", "f1").alias("fill"))
+
+
 def _substitutions(prep: DataFrame, n_each: int, seed: int, id_col: str, model: tuple | None) -> DataFrame:
     """``(id, subs)``: the substitution neighbours of every sample that has masked positions, in order."""
-    tri, bi, uni = model or context_model(prep)
     masks = prep.select(id_col, "tokens", F.posexplode(_each(n_each, lambda j: _chosen("substitution", j, seed, id_col))).alias("j", "places"))
     at = F.transform("places", lambda p: F.struct(
         p.alias("pos"), F.when(p > 0, F.get(F.col("tokens"), p - 1)).alias("left"), F.get(F.col("tokens"), p + 1).alias("right")))
     masked = masks.select(id_col, "j", F.explode(at).alias("x")).select(id_col, "j", "x.pos", "x.left", "x.right")
-    contexts = masked.select("left", "right").distinct()
-    fills = contexts.join(tri.withColumnRenamed("fill", "f3"), ["left", "right"], "left").join(
-        bi.withColumnRenamed("fill", "f2"), ["left"], "left").crossJoin(F.broadcast(uni.withColumnRenamed("fill", "f1")))
-    fills = fills.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.coalesce("f3", "f2", "f1").alias("fill"))
+    fills = context_fills(masked.select("left", "right").distinct(), model or context_model(prep))
     filled = masked.join(fills, F.col("left").eqNullSafe(F.col("_l")) & F.col("right").eqNullSafe(F.col("_r")))
     # at most 40 masks for each of a sample's neighbours
     per = filled.groupBy(id_col).agg(F.collect_list(F.struct("j", "pos", "fill")).alias("masks"))
@@ -189,8 +193,8 @@ def substitution_neighbors(prep: DataFrame, n_each: int = N_NEIGHBORS // 4, seed
                            id_col: str = "sample_id", model: tuple | None = None) -> DataFrame:
     """N08 (re-aimed): ``m`` hash-chosen content tokens replaced by the context model's fill.
 
-    Masks are filled in one pass from the original neighbours (not one round
-    at a time); a sample without content tokens yields no substitution
+    Masks are filled in one pass from the original neighbours;
+    :func:`tidemark.operators.masked_fill.substitution_rounds` fills them one at a time. A sample without content tokens yields no substitution
     neighbours, as a failed fill does in the reference.
     """
     return _rows(_with_substitutions(prep, n_each, seed, id_col, model), "substitution", F.col("subs"), id_col)

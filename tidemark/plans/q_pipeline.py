@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import masked_fill as MF
 from tidemark.operators import neighbors as N
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
@@ -142,6 +143,26 @@ def n08(spark, sf_dir):
     return N.substitution_neighbors(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
 
 
+# one recursion step per mask: the position first in the hash order of the round, filled from the present neighbours
+_ROUNDS_SQL = (
+    "RECURSIVE {ctes}, turn AS (SELECT sample_id, CAST(j AS INTEGER) AS j, m, 0 AS r, tokens AS toks FROM prep, range(0, 6) g(j) "
+    "WHERE n_content > 0 OR m <= 0 UNION ALL SELECT q.sample_id, q.j, q.m, q.r, CASE WHEN q.pos IS NULL THEN q.toks ELSE "
+    "q.toks[1:q.pos] || [coalesce(tri.fill, bi.fill, (SELECT fill FROM uni))] || q.toks[q.pos + 2:] END FROM ("
+    "SELECT *, CASE WHEN pos > 0 THEN toks[pos] END AS lft, toks[pos + 2] AS rgt FROM (SELECT sample_id, j, m, r + 1 AS r, toks, "
+    "CAST(string_split(list_min(list_transform(list_filter(range(0, len(toks)), lambda p: NOT regexp_matches(toks[p + 1], {punct})), "
+    "lambda p: md5('42|' || CAST(sample_id AS VARCHAR) || '|substitution|' || CAST(j AS VARCHAR) || '|' || CAST(r + 1 AS VARCHAR) "
+    "|| '|' || CAST(p AS VARCHAR)) || '|' || CAST(p AS VARCHAR))), '|')[2] AS BIGINT) AS pos FROM turn WHERE r < m)) q "
+    "LEFT JOIN tri ON tri.lft = q.lft AND tri.rgt = q.rgt LEFT JOIN bi ON bi.lft = q.lft) "
+    "SELECT sample_id, CAST(j AS BIGINT) AS j, array_to_string(toks, ' ') AS neighbor FROM turn WHERE r = greatest(m, 0)"
+)
+
+
+@query("n08b_substitution_rounds", "WITH " + _ROUNDS_SQL.replace("{ctes}", f"{SAMPLES_SQL}, {PREP_SQL}, {CTX_SQL}").replace("{punct}", PUNCT_SQL))
+def n08b(spark, sf_dir):
+    """Substitution neighbours with one mask filled at a time, each seeing the fills before it."""
+    return MF.substitution_rounds(_prep(spark, sf_dir)).select("sample_id", "j", "neighbor")
+
+
 NEIGHBORS_SQL = (
     f"{SAMPLES_SQL}, {PREP_SQL}, {CTX_SQL}, {_kind_sql('substitution')}, {_kind_sql('deletion')}, "
     f"{_kind_sql('duplication')}, {SWAP_SQL}, "
