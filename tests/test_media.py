@@ -1,7 +1,9 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import attack as AT
 from tidemark.operators import media as MD
@@ -88,3 +90,31 @@ def test_attributions_of_the_rows_own_class(spark):
     assert smooth[1] == pytest.approx([0.5, 4.0], abs=0.05) and smooth[2] == pytest.approx([1.5, -2.0], abs=0.05)
     q = {(r.label, r.q): r.value for r in AT.attr_quantiles(spark.createDataFrame([(0, float(i)) for i in range(5)], "label int, v double"), "v").collect()}
     assert q[(0, 0.5)] == 2.0 and q[(0, 0.05)] == pytest.approx(0.2)
+
+
+def _brute_frames(vid, total, seed=42):
+    md5 = lambda *p: hashlib.md5("|".join(str(x) for x in p if x is not None).encode()).hexdigest()
+    u = lambda tag: int(md5(seed, vid, tag)[:8], 16) / 4294967296.0
+    n_drop = 0 if total < 2 else max(0, min(total - 1, int(total * (0.05 + 0.10 * u("drop")))))
+    kept = set(sorted(range(total), key=lambda f: md5(seed, vid, "d", f))[n_drop:])
+    n = min(max(1, int(len(kept) * (0.3 + 0.2 * u("transform")))), len(kept))
+    marked = set(sorted(kept, key=lambda f: md5(seed, vid, "t", f))[:n]) if total >= 2 else set()
+    return {(vid, f, f in kept, f in marked) for f in range(total)}
+
+
+def test_frames_are_chosen_within_the_row(spark):
+    sizes = {1: 1, 2: 2, 3: 5, 4: 117, None: 31}
+    videos = spark.createDataFrame([*sizes.items(), (9, None)], "video_id long, total_frames long")
+    got = [tuple(r) for r in MD.perturb_frames(videos).collect()]
+    assert len(got) == len(set(got)) and set(got) == set().union(*(_brute_frames(v, n) for v, n in sizes.items()))
+    # no frame is shuffled or sorted outside its row
+    plan = MD._frames_in_row(videos.withColumn("n_drop", F.lit(0)).withColumn("tr_ratio", F.lit(0.4)), 42, "video_id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "Exchange" not in text
+
+
+def test_frames_of_repeated_ids_are_ranked_together(spark):
+    twice = spark.createDataFrame([(7, 40), (7, 40)], "video_id long, total_frames long")
+    got = MD.perturb_frames(twice).collect()
+    n_drop = int(40 * (0.05 + 0.10 * int(hashlib.md5(b"42|7|drop").hexdigest()[:8], 16) / 4294967296.0))
+    assert len(got) == 80 and sum(not r["kept"] for r in got) == n_drop
