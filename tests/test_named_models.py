@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -92,3 +93,40 @@ def test_aligned_media_and_deltas(spark):
     back = {(r.sample_id, r.k): r.image_delta for r in DL.modality_deltas(embeds, "image", sign="input_minus_neighbor").collect()}
     assert back[1, 0] == [-0.5, -2.0]
     assert EM.explode_neighbors(nbrs.limit(0), media=media).count() == 0
+
+
+def test_smoothgrad_equals_plain_draws(spark):
+    """The noise is drawn by rows, once for an id, and rows of equal or null ids keep their own features."""
+    rows = [(1, [1.0, 2.0]), (1, [0.5, -1.0]), (None, [3.0, 0.0]), (5, [])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+
+    def gauss(i, s, at):
+        h = hashlib.md5("|".join(str(x) for x in (42, i, s, at) if x is not None).encode()).hexdigest()
+        u1, u2 = (int(h[:8], 16) + 1.0) / 4294967297.0, int(h[8:16], 16) / 4294967296.0
+        return math.sqrt(-2 * math.log(u1)) * math.cos(2 * math.pi * u2)
+
+    coef = [2.0, -3.0]
+    out = AT.smoothgrad_linear(df, coef, "id", samples=7, sigma=0.5)
+    assert "Generate explode" in out._jdf.queryExecution().optimizedPlan().toString()  # not one expression of a row
+    got = sorted((str(r["id"]), [v and round(v, 9) for v in r["attr"]]) for r in out.collect())
+    want = [(str(i), [round((v + 0.5 * sum(gauss(i, s, at) for s in range(1, 8)) / 7) * coef[at], 9) for at, v in enumerate(x)])
+            for i, x in rows]
+    assert [g for g in got if g[0] != "5"] == sorted(w for w in want if w[0] != "5") and len(got) == 4
+
+
+def test_path_integral_by_layers_equals_the_gradients_mean():
+    net = NM.Network.__new__(NM.Network)
+    rng = np.random.default_rng(1)
+    net.mean, net.scale = rng.normal(size=6), rng.uniform(0.5, 2, size=6)
+    for sizes in ([6, 2], [6, 5, 2], [6, 5, 4, 2]):
+        net.layers = [(rng.normal(size=(a, b)), rng.normal(size=b)) for a, b in zip(sizes[:-1], sizes[1:])]
+        x, target = rng.normal(size=(9, 6)), rng.integers(0, 2, 9)
+        node, weight = np.polynomial.legendre.leggauss(30)
+        want = x * sum(w / 2 * net.gradient((n + 1) / 2 * x, target) for n, w in zip(node, weight))
+        assert np.allclose(net.integrated(x, target, 30, rows=4), want, atol=1e-12)
+
+
+def test_attributions_run_in_many_tasks(spark):
+    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(40)], "id long, label int, features array<double>").coalesce(1)
+    model = AT.train(df, 2, hidden=(3,), max_iter=2)
+    assert NM.network_attributions(model, df, "id", steps=4).rdd.getNumPartitions() > 1
