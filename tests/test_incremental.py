@@ -69,3 +69,20 @@ def test_nulls_and_one_user(spark, events):
     stats = INC.group_moments(totals, INC.first_losses(totals)).collect()
     assert [(r["ds_name"], r["model_name"], r["mean"], r["std"]) for r in stats] == [("x", "no_leak", 1.0, 1.0)]
     assert os.path.isdir(os.path.join(root.replace("file:", ""), "checkpoint", "totals"))
+
+
+def test_a_lot_costs_a_call_a_bucket_not_a_key(spark, events, tmp_path):
+    """Many users in few states: the totals equal those of a state for each key, also over two lots."""
+    folder, root = shared_path(spark, "lots"), shared_path(spark, "state")
+    for i in (0, 1):
+        _lot(events, folder, i)
+        INC.ingest(spark, folder, root, salts=3, buckets=2)
+    states = spark.read.format("statestore").load(os.path.join(root, "checkpoint", "totals"))
+    assert states.count() == 2
+    got = {r["user_id"]: r for r in INC.latest_totals(spark, root).groupBy("user_id").agg(
+        F.sum("n").alias("n"), F.sum(F.col("k") * F.col("mean")).alias("s")).collect()}
+    want = events.filter(F.pmod(F.col("event_id"), F.lit(3)) < 2).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")).collect()
+    assert len(got) == len(want)
+    for r in want:
+        assert got[r["user_id"]]["n"] == r["n"] and got[r["user_id"]]["s"] == pytest.approx(r["s"])

@@ -4,7 +4,9 @@ New loss files feed two append-only streams. The first writes the rows. The
 second keeps keyed stream state: for each (user, type, salt) the number, mean
 and squared deviations of the losses and the earliest event, and appends the
 new totals of every key that changed. The salt spreads a user who holds a
-large part of the rows. :func:`scores` merges the latest totals: the earliest
+large part of the rows. The keys are dealt to a fixed number of buckets, each
+one state (its keys' totals as an Arrow table), so a lot costs one pandas
+call for each bucket it touches, not one for each key. :func:`scores` merges the latest totals: the earliest
 event of a user's keys is the original loss, and shifting a key's mean by it
 gives the group moments of the deltas, so late files may also move a user's
 first event. No pass over the rows is needed before or besides the stream.
@@ -23,6 +25,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,11 @@ from tidemark.streaming.scorer import EVENTS_SCHEMA, run_available_now, stream_t
 SALTS = 16  # parts of a user's rows of one type; changes the spread, not the result
 TOTALS = "n long, k long, mean double, m2 double, at long, id long, first double"
 OUTPUT = f"user_id long, event_type string, salt int, {TOTALS}"
+KEY = ["user_id", "no_user", "event_type", "no_type", "salt"]  # nulls stand as 0 or an empty type with a flag
+BUCKETS = 2048  # keys are dealt to so many states; changes the time, not the result
+STATE_SCHEMA = pa.schema([
+    ("user_id", pa.int64()), ("no_user", pa.bool_()), ("event_type", pa.string()), ("no_type", pa.bool_()), ("salt", pa.int32()), ("n", pa.int64()),
+    ("k", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64()), ("at", pa.int64()), ("id", pa.int64()), ("first", pa.float64())])
 ROW_SCHEMA = T.StructType([EVENTS_SCHEMA[c] for c in ("event_id", "user_id", "event_type", "value")])
 EARLIEST = -(2**62)
 
@@ -44,38 +52,60 @@ def model_of(user: Column) -> Column:
     return F.when(m == 0, F.lit("no_leak")).when(m == 1, F.lit("leak")).otherwise(F.lit("other"))
 
 
+def _partial(rows: pd.DataFrame) -> pd.DataFrame:
+    """Totals of the keys of some rows."""
+    groups = rows.groupby(KEY, dropna=False, sort=False)["value"]
+    rows = rows.assign(n=1, k=rows["value"].notna().astype("int64"), mean=rows["value"].fillna(0.0), first=rows["value"],
+                       m2=((rows["value"] - groups.transform("mean")) ** 2).fillna(0.0), id=rows["event_id"])
+    return _merge(rows.assign(mean=groups.transform("mean").fillna(0.0)), own_means=True)
+
+
+def _merge(parts: pd.DataFrame, own_means: bool = False) -> pd.DataFrame:
+    """One row a key: counts, pooled mean and squared deviations, and the earliest event (the first of equal ones)."""
+    groups = parts.groupby(KEY, dropna=False, sort=False)
+    k = groups["k"].transform("sum")
+    mean = parts["mean"]
+    if not own_means:
+        mean = ((parts["k"] * parts["mean"]).groupby([parts[c] for c in KEY], dropna=False, sort=False).transform("sum") / k.where(k > 0)).fillna(0.0)
+        parts = parts.assign(m2=parts["m2"] + parts["k"] * (parts["mean"] - mean) ** 2)
+    sums = parts.assign(mean=mean).groupby(KEY, dropna=False, sort=False).agg(
+        n=("n", "sum"), k=("k", "sum"), mean=("mean", "first"), m2=("m2", "sum")).reset_index()
+    heads = parts.sort_values(["at", "id"], kind="stable").drop_duplicates(KEY)
+    return sums.merge(heads[[*KEY, "at", "id", "first"]], on=KEY)
+
+
 def _add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new rows of one key into its totals (pairwise update of mean and squared deviations)."""
-    n, k, mean, m2, at, eid, first = state.get if state.exists else (0, 0, 0.0, 0.0, None, None, None)
-    for rows in batches:
-        if not len(rows):
-            continue
-        x = rows["value"].dropna()
-        if len(x):
-            more, its_mean = len(x), float(x.mean())
-            gap = its_mean - mean
-            m2 += float(((x - its_mean) ** 2).sum()) + gap * gap * k * more / (k + more)
-            mean += gap * more / (k + more)
-            k += more
-        n += len(rows)
-        head = rows.sort_values(["at", "event_id"], kind="stable").iloc[0]
-        if at is None or (int(head["at"]), int(head["event_id"])) < (at, eid):
-            at, eid = int(head["at"]), int(head["event_id"])
-            first = None if pd.isna(head["value"]) else float(head["value"])
-    state.update((n, k, mean, m2, at, eid, first))
-    yield pd.DataFrame([(*key, n, k, mean, m2, at, eid, first)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    """Fold the new rows of one bucket of keys into their totals, all keys at once; the changed totals come out."""
+    new = [_partial(rows) for rows in batches if len(rows)]
+    if not new:
+        return
+    parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+    totals = _merge(pd.concat([*parts, *new], ignore_index=True))
+    buffer = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(totals, STATE_SCHEMA, preserve_index=False)
+    with pa.ipc.new_stream(buffer, STATE_SCHEMA) as out:
+        out.write_table(table)
+    state.update((buffer.getvalue().to_pybytes(),))
+    changed = totals.merge(pd.concat([p[KEY] for p in new]).drop_duplicates(), on=KEY) if parts else totals
+    changed = changed.astype({"user_id": object, "first": object})
+    changed.loc[changed["no_user"], "user_id"] = None
+    changed.loc[changed["no_type"], "event_type"] = None
+    changed = changed.where(changed.notna(), None)
+    yield changed[[c.split()[0] for c in OUTPUT.split(", ")]]
 
 
 def ingest(spark: SparkSession, folder: str, root: str, file_glob: str = "*.parquet", salts: int = SALTS,
-           max_files_per_trigger: int = 100) -> None:
+           max_files_per_trigger: int = 100, buckets: int = BUCKETS) -> None:
     """Take in every file of ``folder`` that ``root`` has not seen yet, and stop. May be called again at any time."""
     events = stream_table(spark, folder, file_glob, EVENTS_SCHEMA, max_files_per_trigger)
     run_available_now(events.select(*ROW_SCHEMA.names), os.path.join(root, "rows"), os.path.join(root, "checkpoint", "rows"))
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
     keyed = events.select(
-        "user_id", "event_type", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int").alias("salt"), "value",
+        F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNull().alias("no_user"),
+        F.coalesce("event_type", F.lit("")).alias("event_type"), F.col("event_type").isNull().alias("no_type"), salt.alias("salt"),
+        F.pmod(F.xxhash64("user_id", "event_type", salt), F.lit(buckets)).cast("int").alias("bucket"), "value",
         F.coalesce(F.unix_micros("ts"), F.lit(EARLIEST)).alias("at"), F.coalesce("event_id", F.lit(EARLIEST)).alias("event_id"))
-    totals = keyed.groupBy("user_id", "event_type", "salt").applyInPandasWithState(
-        _add, OUTPUT, TOTALS, "append", GroupStateTimeout.NoTimeout)
+    totals = keyed.groupBy("bucket").applyInPandasWithState(_add, OUTPUT, "totals binary", "append", GroupStateTimeout.NoTimeout)
     run_available_now(totals, os.path.join(root, "totals"), os.path.join(root, "checkpoint", "totals"))
 
 
