@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import attack as AT
 from tidemark.operators import media_attack as MA
+from tidemark.operators import named_models as NM
 from tidemark.session import stored
 
 WORDS = [f"w{i}" for i in range(9)]
@@ -30,3 +32,18 @@ def test_joint_attack_makes_media_vectors_once(spark):
         F.col("id").cast("double"), F.sqrt("id"), F.lit(1.0))).alias("features"))
     got = MA.joint_attack(_docs(spark), media, max_features=4, model_type="gaussian", pca_dim=None, n_splits=3)
     assert sorted(r.fold for r in got.collect()) == [0, 1, 2] and calls.value == 40
+
+
+def test_network_training_reads_its_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(AT, "SPREAD_ROWS", 10)
+    calls, same = _counted(spark, "array<double>")
+    df = spark.range(40).select((F.col("id") % 2).cast("int").alias("label"), same(F.array(F.sin("id"), F.cos("id"))).alias("features"))
+    AT.train(df, 2, hidden=(3,), max_iter=3)
+    assert calls.value == 40
+
+
+def test_statistics_of_a_named_model_are_stored(spark):
+    rows = spark.createDataFrame([(i // 2, i % 2, "d", "m", i % 2, float(i % 7), [float(i), 1.0]) for i in range(20)],
+                                 "sample_id long, k int, ds_name string, model_name string, label int, loss_delta double, embedding_delta array<double>")
+    model = NM.train_named("BaseLineLossNormLinear", rows, hidden=(3,), max_iter=2)
+    assert model.stats.inputFiles() and [tuple(r) for r in model.stats.collect()] == [("d", "m", 0.0, 6.0)]
