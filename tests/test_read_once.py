@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import attack as AT
 from tidemark.operators import media_attack as MA
 from tidemark.operators import named_models as NM
+from tidemark.operators import text_features as TF
 from tidemark.session import stored
 
 WORDS = [f"w{i}" for i in range(9)]
@@ -47,3 +48,10 @@ def test_statistics_of_a_named_model_are_stored(spark):
                                  "sample_id long, k int, ds_name string, model_name string, label int, loss_delta double, embedding_delta array<double>")
     model = NM.train_named("BaseLineLossNormLinear", rows, hidden=(3,), max_iter=2)
     assert model.stats.inputFiles() and [tuple(r) for r in model.stats.collect()] == [("d", "m", 0.0, 6.0)]
+
+
+def test_terms_of_a_text_are_counted_once(spark):
+    calls, same = _counted(spark, "string")
+    docs = _docs(spark).repartition(2).withColumn("text", same("text"))
+    long, voc = TF.fit_transform(docs, F.col("label") >= 0, 4)
+    assert voc.count() == 4 and long.count() > 40 and calls.value == 40

@@ -10,7 +10,7 @@ from tidemark.operators import text_features as TF
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
 from tidemark.plans.sqlkit import CORPUS
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 from tidemark.sources.tables import table
 
 TERMS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0)"
@@ -138,7 +138,7 @@ def h13(spark, sf_dir):
     docs = _split(spark, sf_dir)
     long, voc = TF.fit_transform(docs, ~F.col("is_test"), 34, "tf")
     size = voc.count()  # bounded by max_features
-    dense = TF.dense(long, docs.select("doc_id", "label", "is_test"), size)
+    dense = stored(TF.dense(long, docs.select("doc_id", "label", "is_test"), size))  # read by every part of the fit
     params, priors = NB.gaussian_fit(dense.filter(~F.col("is_test")))
     return NB.gaussian_predict(params, priors, dense.filter(F.col("is_test")))
 
@@ -174,11 +174,11 @@ def h14(spark, sf_dir):
 
 def _whole_vocabulary(spark, sf_dir, model_type, vectorizer):
     docs = _split(spark, sf_dir)
-    tf = TF.term_counts(docs)
+    tf = stored(TF.term_counts(docs))
     train, test = docs.filter(~F.col("is_test")).select("doc_id", "label"), docs.filter(F.col("is_test")).select("doc_id")
-    entries = cut_lineage(TF.term_vectors(tf, train, vectorizer))
+    entries = stored(TF.term_vectors(tf, train, vectorizer))
     params, const = NB.sparse_fit(entries.join(train, "doc_id"), train, model_type)
-    return NB.sparse_predict(params, const, entries, test)
+    return NB.sparse_predict(params, const, entries.join(test, "doc_id", "left_semi"), test)
 
 
 @query("h13b_gaussian_whole_vocabulary", f"WITH {_vectors_sql(None, 'tf')}, {_GAUSS_SQL}")
