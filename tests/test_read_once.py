@@ -1,9 +1,11 @@
 """Costly steps run once: rows are counted as a function sees them, or in the tables that are stored."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import attack as AT
 from tidemark.operators import media_attack as MA
+from tidemark.operators import naive_bayes as NB
 from tidemark.operators import named_models as NM
 from tidemark.operators import text_features as TF
 from tidemark.session import stored
@@ -55,3 +57,12 @@ def test_terms_of_a_text_are_counted_once(spark):
     docs = _docs(spark).repartition(2).withColumn("text", same("text"))
     long, voc = TF.fit_transform(docs, F.col("label") >= 0, 4)
     assert voc.count() == 4 and long.count() > 40 and calls.value == 40
+
+
+@pytest.mark.parametrize("model_type", ["gaussian", "multi"])
+def test_sparse_fit_reads_the_entries_once(spark, model_type):
+    calls, same = _counted(spark, "double")
+    entries = spark.createDataFrame([(i, i % 2, WORDS[i % 4], float(1 + i % 3)) for i in range(12)], "doc_id long, label int, term string, value double")
+    ids = entries.select("doc_id", "label")
+    params, const = NB.sparse_fit(entries.withColumn("value", same("value")), ids, model_type)
+    assert params.count() == 4 and const.count() == 1 and calls.value == 12
