@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import attack as AT
+from tidemark.operators import bow_attack as B
 from tidemark.operators import media_attack as MA
 from tidemark.operators import naive_bayes as NB
 from tidemark.operators import named_models as NM
@@ -66,3 +67,22 @@ def test_sparse_fit_reads_the_entries_once(spark, model_type):
     ids = entries.select("doc_id", "label")
     params, const = NB.sparse_fit(entries.withColumn("value", same("value")), ids, model_type)
     assert params.count() == 4 and const.count() == 1 and calls.value == 12
+
+
+def test_trials_that_differ_in_the_model_share_their_vectors(spark, monkeypatch):
+    docs = _docs(spark, 60)
+    folded, tf = B._folded(docs, "original", "doc_id", "label", 3, 42), TF.term_counts(docs)
+    trials = [{"max_features": 5, "vectorizer": v, "model_type": m} for v in ("tf", "count") for m in ("multi", "gaussian")]
+    sizes = []
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "stored", counted)
+    got = {(r.trial, r.doc_id): r.proba for r in B.nb_scores(folded, tf, trials, "doc_id", "label").collect()}
+    assert len(got) == 240 and sizes[1] == 2 * sizes[0]  # entries, then one vector for each of two forms
+    for t, trial in enumerate(trials):
+        for r in B.nb_scores(folded, tf, [trial], "doc_id", "label").collect():
+            assert got[t, r.doc_id] == pytest.approx(r.proba, abs=1e-12)
