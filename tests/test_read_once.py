@@ -9,6 +9,7 @@ from tidemark.operators import media_attack as MA
 from tidemark.operators import naive_bayes as NB
 from tidemark.operators import named_models as NM
 from tidemark.operators import text_features as TF
+from tidemark.plans import q_attack as QA
 from tidemark.session import stored
 
 WORDS = [f"w{i}" for i in range(9)]
@@ -86,3 +87,11 @@ def test_trials_that_differ_in_the_model_share_their_vectors(spark, monkeypatch)
     for t, trial in enumerate(trials):
         for r in B.nb_scores(folded, tf, [trial], "doc_id", "label").collect():
             assert got[t, r.doc_id] == pytest.approx(r.proba, abs=1e-12)
+
+
+def test_split_vectors_are_dealt_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(QA, "SPREAD_ROWS", 10)
+    monkeypatch.setattr(QA.V, "corpus", lambda *_: _docs(spark))
+    rows = QA._split_vectors(spark, None)
+    assert rows.count() == 40 and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows.unpersist()
