@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import attack as AT
 from tidemark.operators import bow_attack as B
+from tidemark.operators import masked_fill as MF
 from tidemark.operators import media_attack as MA
 from tidemark.operators import naive_bayes as NB
 from tidemark.operators import named_models as NM
+from tidemark.operators import neighbors as N
 from tidemark.operators import text_features as TF
 from tidemark.plans import q_attack as QA
 from tidemark.session import stored
@@ -89,6 +91,21 @@ def test_trials_that_differ_in_the_model_share_their_vectors(spark, monkeypatch)
             assert got[t, r.doc_id] == pytest.approx(r.proba, abs=1e-12)
 
 
+def test_rows_without_rounds_left_are_not_written_again(spark, monkeypatch):
+    sizes = []
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(MF, "stored", counted)
+    prep = N.prepare(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c"), (3, "solo")], "sample_id long, input string"))
+    m = [r["m"] for r in prep.collect()]
+    assert MF.substitution_rounds(prep, load=lambda: lambda texts: ["x"] * len(texts)).count() == 18
+    assert sizes == [18] + [6 * sum(x >= r for x in m) for r in range(1, max(m) + 1)]
+
+
 def test_split_vectors_are_dealt_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(QA, "SPREAD_ROWS", 10)
     monkeypatch.setattr(QA.V, "corpus", lambda *_: _docs(spark))

@@ -3,9 +3,9 @@
 Every neighbour of every sample is one row that holds its present tokens. A
 round masks one content token of each row that has rounds left, fills it, and
 splits the result again, so a later round sees what earlier ones put in and
-may mask it anew. All rows take a round together: there are as many rounds as
-the largest mask count (at most 40), each one Spark job whose result goes to
-the checkpoint folder.
+may mask it anew. All rows with rounds left take a round together: there are as
+many rounds as the largest mask count (at most 40), each one Spark job whose
+result goes to the checkpoint folder; a row that is done is not read again.
 
 The filler is the corpus context model, or any loaded model: a function that
 returns a filler from texts with one mask to replacement strings. It is loaded
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import ASCII_PUNCT_CLASS, tokens
 from tidemark.operators import neighbors as N
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, stored
 
 MASK = "<extra_id_0>"  # fixed value: the mask token of the reference's filler
 Filler = Callable[[pd.Series], "list[str]"]
@@ -69,13 +69,22 @@ def substitution_rounds(prep: DataFrame, n_each: int = N.N_NEIGHBORS // 4, seed:
     if load is None:
         model = tuple(cut_lineage(t) for t in (model or N.context_model(prep)))  # read again in every round
     rounds = prep.agg(F.max("m")).first()[0] or 0
+    keep = [id_col, "j", "toks"]
+
+    def placed(rows: DataFrame, r: int) -> DataFrame:
+        """The rows with the place that round ``r`` masks, null in those that are done; found once, as it hashes every token."""
+        here = rows.withColumn("r", F.lit(r)).withColumn("pos", F.when(F.col("m") >= r, _place(seed, id_col))).drop("r")
+        return stored(here.withColumn("left", F.when(F.col("pos") > 0, F.get("toks", F.col("pos") - 1))).withColumn(
+            "right", F.get("toks", F.col("pos") + 1)))
+
+    here, done = placed(rows, 1), []
     for r in range(1, rounds + 1):
-        here = rows.withColumn("r", F.lit(r)).withColumn("pos", F.when(F.col("m") >= r, _place(seed, id_col)))
-        here = here.withColumn("left", F.when(F.col("pos") > 0, F.get("toks", F.col("pos") - 1))).withColumn(
-            "right", F.get("toks", F.col("pos") + 1))
-        turn, rest = here.filter(F.col("pos").isNotNull()), here.filter(F.col("pos").isNull())
+        done.append(here.filter(F.col("pos").isNull()).select(*keep))  # no later round changes these
+        turn = here.filter(F.col("pos").isNotNull())
         filled = _model_fill(turn, model) if load is None else _loaded_fill(turn, load, mask)
         put = F.flatten(F.transform("toks", lambda t, i: F.when(i == F.col("pos"), tokens(F.coalesce("fill", F.lit("")))).otherwise(F.array(t))))
-        keep = [id_col, "j", "toks", "m"]
-        rows = cut_lineage(filled.withColumn("toks", put).select(*keep).unionByName(rest.select(*keep)))
+        here = placed(filled.withColumn("toks", put).select(*keep, "m"), r + 1)
+    rows = here.select(*keep)
+    for part in done:
+        rows = rows.unionByName(part)
     return rows.select(id_col, F.lit("substitution").alias("kind"), "j", F.array_join("toks", " ").alias("neighbor"))
